@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op8_chat_prefix_targets
+from .matroska import op7_matroska
+from .pii import op3_pii
 from .token_counts import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_token_counts": op9_token_counts}
+    found = [op3_pii, op7_matroska, op8_chat_prefix_targets, op9_token_counts]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

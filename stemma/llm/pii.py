@@ -28,7 +28,7 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 #: Words on either side of an entity that count as beside it.
 WINDOW = 10
 SUPPORT = 2
-GENERALISE, REMOVE = 0.9, 0.99
+GENERALISE, REMOVE = 0.75, 0.99
 #: Pre-aggregated terms that a task holds at once.
 HELD_TERMS = 300_000
 

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op8_chat_prefix_targets
 from .matroska import op7_matroska
+from .mixing import op6_source_mixing
 from .pii import op3_pii
 from .quality import op5_quality_rules
 from .token_counts import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_pii, op5_quality_rules, op7_matroska, op8_chat_prefix_targets, op9_token_counts]
+    found = [op3_pii, op5_quality_rules, op6_source_mixing, op7_matroska, op8_chat_prefix_targets, op9_token_counts]
     return {f.__name__: f for f in found}
 
 

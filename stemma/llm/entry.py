@@ -12,10 +12,11 @@ from .mixing import op6_source_mixing
 from .pii import op3_pii
 from .quality import op5_quality_rules
 from .token_counts import op9_token_counts
+from .unigram_scan import op2_sentencepiece_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_pii, op5_quality_rules, op6_source_mixing, op7_matroska, op8_chat_prefix_targets, op9_token_counts]
+    found = [op2_sentencepiece_scan, op3_pii, op5_quality_rules, op6_source_mixing, op7_matroska, op8_chat_prefix_targets, op9_token_counts]
     return {f.__name__: f for f in found}
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op8_chat_prefix_targets
+from .line_dedup import ORACLE as LINE_DEDUP_SQL
+from .line_dedup import op1_line_dedup
 from .matroska import op7_matroska
 from .mixing import op6_source_mixing
 from .pii import op3_pii
@@ -16,9 +18,9 @@ from .unigram_scan import op2_sentencepiece_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_sentencepiece_scan, op3_pii, op5_quality_rules, op6_source_mixing, op7_matroska, op8_chat_prefix_targets, op9_token_counts]
+    found = [op1_line_dedup, op2_sentencepiece_scan, op3_pii, op5_quality_rules, op6_source_mixing, op7_matroska, op8_chat_prefix_targets, op9_token_counts]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": LINE_DEDUP_SQL}

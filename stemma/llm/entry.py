@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op4_ivfpq_neighbours
 from .chat import op8_chat_prefix_targets
+from .group_join import op10_group_join
 from .line_dedup import ORACLE as LINE_DEDUP_SQL
 from .line_dedup import op1_line_dedup
 from .matroska import op7_matroska
@@ -19,7 +20,7 @@ from .unigram_scan import op2_sentencepiece_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op2_sentencepiece_scan, op3_pii, op4_ivfpq_neighbours, op5_quality_rules, op6_source_mixing, op7_matroska, op8_chat_prefix_targets, op9_token_counts]
+    found = [op1_line_dedup, op2_sentencepiece_scan, op3_pii, op4_ivfpq_neighbours, op5_quality_rules, op6_source_mixing, op7_matroska, op8_chat_prefix_targets, op9_token_counts, op10_group_join]
     return {f.__name__: f for f in found}
 
 

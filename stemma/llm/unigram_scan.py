@@ -25,7 +25,9 @@ result.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,17 +36,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, strings, table, tuned, written
-from .token_counts import model_path
+from .token_counts import model_path, pre_tokens
 
 BLANK = "▁"
 CHUNK = 1 << 15
 GRAIN = 1 / (1 << 20)
-CACHE_SIZE = 500_000
+CACHE_SIZE = 1_000_000
 LONGEST_CACHED = 48
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 #: What the library takes off the worst score for an unknown character.
 UNKNOWN_PENALTY = 10.0
 NONE = float("-inf")
+_BREAK = re.compile(f"[^{BLANK}]{BLANK}")
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -67,6 +70,25 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, v
 
 
+class Words(dict):
+    """Word without its first blank -> ids; two generations, of which the older goes when the newer one is full."""
+
+    def __init__(self, segment, size: int):
+        super().__init__()
+        self.segment, self.size, self.older = segment, size // 2, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.segment(BLANK + key.replace(" ", BLANK))
+        if len(key) <= LONGEST_CACHED:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 class Vocabulary:
     """Pieces of a model file, for segmenting and for decoding."""
 
@@ -88,69 +110,72 @@ class Vocabulary:
         self.reach = max(len(p) for p, _ in normal)
         self.ids = {p: k for k, (p, _, t) in enumerate(self.pieces) if t == NORMAL}
         self.scores = {p: round(s / GRAIN) * GRAIN for p, s in normal}
-        self.starts = {p[:n] for p, _ in normal for n in range(1, len(p) + 1)}
+        #: Every beginning of a piece; its score if it is a piece itself.
+        self.table = {p[:n]: None for p, _ in normal for n in range(1, len(p) + 1)} | self.scores
         self.unknown_score = round((min(s for _, s in normal) - UNKNOWN_PENALTY) / GRAIN) * GRAIN
         self.unknown = next(k for k, (*_, t) in enumerate(self.pieces) if t == UNKNOWN)
         self.bytes = {int(p[1:-1], 16): k for k, (p, _, t) in enumerate(self.pieces) if t == BYTE}
         self.raw = [bytes([int(p[1:-1], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(BLANK, " ").encode() for p, _, t in self.pieces]
-        self.cache: dict[str, tuple[float, bytes]] = {}
+        # What a piece adds to a path's score; of an unknown character's bytes, the first one has it all.
+        self.worth = np.array([self.unknown_score if t == UNKNOWN or t == BYTE and not 0x80 <= int(p[1:-1], 16) < 0xC0 else 0.0 if t == BYTE else self.scores.get(p, 0.0) for p, _, t in self.pieces])
+        self.words = Words(self.segment, CACHE_SIZE)
 
-    def found(self, piece: str) -> tuple[int, ...]:
-        """Ids of one piece of a segmentation."""
-        if piece in self.ids:
-            return (self.ids[piece],)
-        raw = piece.encode()
-        return tuple(self.bytes[c] for c in raw) if len(self.bytes) == 256 else (self.unknown,)
+    def found(self, piece: str) -> list[int]:
+        """Ids of one character that no piece is."""
+        return [self.bytes[c] for c in piece.encode()] if len(self.bytes) == 256 else [self.unknown]
 
     def forward(self, s: str, first: list[float], last: int) -> tuple[list[float], list[int]]:
         """Best scores up to each place of s and where the last piece begins; first: scores of the first places.
 
         Pieces begin before place `last` only.
         """
-        n, scores, starts, unknown = len(s), self.scores, self.starts, self.unknown_score
+        n, get, reach, unknown = len(s), self.table.get, self.reach, self.unknown_score
         best = first + [NONE] * (n + 1 - len(first))
         back = [-1] * (n + 1)
         for i in range(min(last, n)):
             b = best[i]
             if b == NONE:
                 continue
-            one = False
-            for j in range(i + 1, min(n, i + self.reach) + 1):
-                w = s[i:j]
-                if w not in starts:
+            one = True
+            for j in range(i + 1, min(n, i + reach) + 1):
+                x = get(s[i:j], NONE)
+                if x is None:
+                    one = one and j > i + 1
+                    continue
+                if x == NONE:
+                    one = one and j > i + 1
                     break
-                if w in scores:
-                    one = one or j == i + 1
-                    if (x := b + scores[w]) > best[j]:
-                        best[j], back[j] = x, i
+                x += b
+                if x > best[j]:
+                    best[j] = x
+                    back[j] = i
             if not one and (x := b + unknown) > best[i + 1]:
                 best[i + 1], back[i + 1] = x, i
         return best, back
 
-    def trace(self, s: str, back: list[int], end: int) -> tuple[int, list[int]]:
-        """Where the path to `end` begins, and its ids. Neighbouring unknown characters are one unknown piece."""
-        ends = [end]
-        while back[ends[-1]] >= 0:
-            ends.append(back[ends[-1]])
-        ends.reverse()
-        ids: list[int] = []
-        for a, b in zip(ends, ends[1:], strict=False):
-            got = self.found(s[a:b])
-            if got[0] != self.unknown or not ids or ids[-1] != self.unknown:
-                ids += got
-        return ends[0], ids
-
-    def word(self, w: str) -> tuple[float, bytes]:
-        """Score and ids of a word that begins and ends at breaks of the lattice."""
-        got = self.cache.get(w)
-        if got is None:
-            best, back = self.forward(w, [0.0], len(w))
-            got = best[-1], np.array(self.trace(w, back, len(w))[1], np.int32).tobytes()
-            if len(w) <= LONGEST_CACHED:
-                if len(self.cache) >= CACHE_SIZE:
-                    self.cache.clear()
-                self.cache[w] = got
-        return got
+    def trace(self, s: str, back: list[int], end: int) -> list[int]:
+        """The ids of the path to `end`."""
+        out, get = [], self.ids.get
+        while (a := back[end]) >= 0:
+            k = get(s[a:end])
+            if k is None:
+                out += self.found(s[a:end])[::-1]
+            else:
+                out.append(k)
+            end = a
+        out.reverse()
+        return out
+
+    def segment(self, w: str) -> bytes:
+        """The ids of a word that begins and ends at breaks of the lattice."""
+        return array("i", self.trace(w, self.forward(w, [0.0], len(w))[1], len(w))).tobytes()
+
+    def merged(self, ids: bytes) -> bytes:
+        """ids, with neighbouring unknown characters as one unknown piece."""
+        if len(self.bytes) == 256:
+            return ids
+        x = np.frombuffer(ids, np.int32)
+        return x[np.concatenate([np.ones(min(1, len(x)), bool), (x[1:] != self.unknown) | (x[:-1] != self.unknown)])].tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
@@ -162,19 +187,6 @@ def prepared(text: str) -> str:
     return BLANK + text.replace(" ", BLANK) if text else ""
 
 
-def breaks(s: str) -> list[str]:
-    """The words of s: runs of blanks with what follows them. s begins at a break."""
-    if BLANK * 2 not in s:
-        head, *rest = s.split(BLANK)
-        return ([head] if head else []) + [BLANK + x for x in rest]
-    out, begin = [], 0
-    for i in range(1, len(s)):
-        if s[i] == BLANK and s[i - 1] != BLANK:
-            out.append(s[begin:i])
-            begin = i
-    return [*out, s[begin:]]
-
-
 class Chunk:
     """Characters [a, b) of a prepared text, with what pieces that begin there can reach behind b.
 
@@ -183,26 +195,25 @@ class Chunk:
 
     def __init__(self, v: Vocabulary, s: str, size: int, before: str):
         self.v, self.s, self.size = v, s, size
-        inner = [i for i in range(1, size) if s[i] == BLANK and s[i - 1] != BLANK]
         opens = s[:1] == BLANK and before != BLANK or not before
-        if opens:
-            inner.insert(0, 0)
         # Between the first and the last break, words stand for themselves.
-        self.low, self.high = (inner[0], inner[-1]) if inner else (-1, -1)
-        self.middle = breaks(s[self.low : self.high]) if inner and self.high > self.low else []
-
-    def _across(self, first: list[float]) -> tuple[list[float], list[int], list[int], list[float]]:
-        """(scores at b and behind, back pointers from the last break, those up to the first break, scores there)."""
-        v, s = self.v, self.s
+        first = 0 if opens else m.start() + 1 if (m := _BREAK.search(s, 0, size)) else -1
+        last = size
+        while (last := s.rfind(BLANK, 0, last)) > 0 and s[last - 1] == BLANK:
+            pass
+        self.low, self.high = first, max(first, last)
+        middle = pre_tokens(s[self.low + 1 : self.high]) or [""] if self.high > self.low else []
+        self.middle = b"".join(map(v.words.__getitem__, middle))
+
+    def _head(self, first: list[float]) -> tuple[list[float], list[int]]:
+        """Up to the first break; up to b where there is none."""
         if self.low < 0:
-            best, back = v.forward(s, first[: len(s) + 1], self.size)
-            return best[self.size :], back, [], []
-        head_best, head_back = v.forward(s[: self.low], first[: self.low + 1], self.low) if self.low else (first[:1], [-1])
-        at = head_best[self.low]
-        for w in self.middle:
-            at += v.word(w)[0]
-        best, back = v.forward(s[self.high :], [at], self.size - self.high)
-        return best[self.size - self.high :], back, head_back, head_best
+            return self.v.forward(self.s, first[: len(self.s) + 1], self.size)
+        return self.v.forward(self.s[: self.low], first[: self.low + 1], self.low) if self.low else (first[:1], [-1])
+
+    def _tail(self) -> tuple[list[float], list[int]]:
+        """From the last break."""
+        return self.v.forward(self.s[self.high :], [0.0], self.size - self.high)
 
     def states(self) -> int:
         return self.v.reach
@@ -211,41 +222,42 @@ class Chunk:
         """Best score from each state at a to each state at b."""
         k = self.states()
         out = np.full((k, k), NONE)
+        if self.low >= 0:
+            behind = np.array(self._tail()[0][self.size - self.high :][:k]) + self.v.worth[np.frombuffer(self.middle, np.int32)].sum()
         for i in range(min(k, len(self.s) + 1)):
             first = [NONE] * k
             first[i] = 0.0
             if i > self.size:
                 out[i, i - self.size] = 0.0
-                continue
-            scores = self._across(first)[0][:k]
-            out[i, : len(scores)] = scores
+            elif self.low < 0:
+                scores = self._head(first)[0][self.size :][:k]
+                out[i, : len(scores)] = scores
+            elif i <= self.low:
+                out[i, : len(behind)] = self._head(first)[0][self.low] + behind
         return out
 
-    def through(self, first: list[float]) -> tuple[list[float], list[int]]:
-        """Given the best scores of states at a: those at b, and the state at a of the best path to each."""
+    def through(self, first: list[float]) -> list[int]:
+        """Given the best scores of states at a: the state at a of the best path to each state at b; -1 if none."""
         k = self.states()
-        scores, back, head_back, _ = self._across(first)
-        scores = (scores + [NONE] * k)[:k]
-        return scores, [self._begin(back, head_back, o) if scores[o] > NONE else -1 for o in range(k)]
+        best, back = self._head(first)
 
-    def _begin(self, back: list[int], head_back: list[int], out: int) -> int:
-        if self.low >= 0:
-            back, at = head_back, self.low
-        else:
-            at = self.size + out
-        while back[at] >= 0:
-            at = back[at]
-        return at
+        def begin(at: int) -> int:
+            if at >= len(best) or best[at] == NONE:
+                return -1
+            while back[at] >= 0:
+                at = back[at]
+            return at
+
+        return [begin(self.size + o) for o in range(k)] if self.low < 0 else [begin(self.low)] * k
 
     def ids(self, first: list[float], out: int) -> bytes:
         """The ids of the best path that reaches state `out` at b."""
-        _, back, head_back, _ = self._across(first)
-        v, s = self.v, self.s
+        v, s, back = self.v, self.s, self._head(first)[1]
         if self.low < 0:
-            return np.array(v.trace(s, back, self.size + out)[1], np.int32).tobytes()
-        head = v.trace(s[: self.low], head_back, self.low)[1] if self.low else []
-        tail = v.trace(s[self.high :], back, self.size - self.high + out)[1]
-        return b"".join([np.array(head, np.int32).tobytes(), *(v.word(w)[1] for w in self.middle), np.array(tail, np.int32).tobytes()])
+            return array("i", v.trace(s, back, self.size + out)).tobytes()
+        head = v.trace(s[: self.low], back, self.low) if self.low else []
+        tail = v.trace(s[self.high :], self._tail()[1], self.size - self.high + out)
+        return array("i", head).tobytes() + self.middle + array("i", tail).tobytes()
 
 
 def cut(s: str, reach: int, size: int = CHUNK) -> list[tuple[str, int, str]]:
@@ -290,8 +302,7 @@ def vocabulary(model: bytes) -> Vocabulary:
 
 
 def encode_whole(v: Vocabulary, text: str) -> bytes:
-    s = prepared(text)
-    return b"".join([v.word(w)[1] for w in breaks(s)]) if s else b""
+    return b"".join(map(v.words.__getitem__, pre_tokens(text)))
 
 
 def encode(docs: DataFrame, model: bytes, carried: list[str], chunk: int = CHUNK) -> DataFrame:
@@ -308,12 +319,17 @@ def encode(docs: DataFrame, model: bytes, carried: list[str], chunk: int = CHUNK
     def small(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value)
         for b in batches(rows):
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([encode_whole(v, t) for t in strings(b.column(n))], pa.binary())], names=[*carried, "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([v.merged(encode_whole(v, t)) for t in strings(b.column(n))], pa.binary())], names=[*carried, "ids"])
 
     # A text of one chunk is encoded where it is; one character more stands for the blank put before it.
     whole = given.where(F.length("__text") < chunk).mapInArrow(small, f"{keys}, ids binary")
     giant = given.where(F.length("__text") >= chunk)
 
+    def joined_unknown(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(shared.value)
+        for b in batches(rows):
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([v.merged(x) for x in b.column(n).to_pylist()], pa.binary())], names=[*carried, "ids"])
+
     def pieces(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for i in range(b.num_rows):
@@ -347,7 +363,7 @@ def encode(docs: DataFrame, model: bytes, carried: list[str], chunk: int = CHUNK
     def maps(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value)
         for b in batches(rows):
-            got = [Chunk(v, s, z, c).through(np.frombuffer(m).tolist())[1] for s, z, c, m in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
+            got = [Chunk(v, s, z, c).through(np.frombuffer(m).tolist()) for s, z, c, m in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int32()))], names=["__row", "no", "to"])
 
     def scanned_back(key, frame):
@@ -366,6 +382,8 @@ def encode(docs: DataFrame, model: bytes, carried: list[str], chunk: int = CHUNK
     parts = joined.join(ends, ["__row", "no"]).mapInArrow(traced, "__row bigint, no bigint, part binary")
     put = parts.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("no", "part"))).alias("parts")).select(F.col("__row").alias("__r"), F.aggregate(F.transform("parts", lambda p: p["part"]), F.lit(b""), lambda a, b: F.concat(a, b)).alias("ids"))
     long = chunks.where(F.col("no") == 0).select(*(F.col(f"`{c}`") for c in carried), "__row").join(put, F.col("__row") == F.col("__r")).select(*(F.col(f"`{c}`") for c in carried), "ids")
+    if len(v.bytes) < 256:
+        long = long.mapInArrow(joined_unknown, f"{keys}, ids binary")
     return whole.unionByName(long)
 
 

@@ -7,7 +7,8 @@ one document, are removed but for the first occurrence, by doc_id, text hash and
 
 Chunks meet by a 128-bit digest; then all bytes of every repeated chunk are compared, by grouping digest and text, and
 digests that stand for different texts are told apart by the texts. A hot chunk is summed up in each task first, and
-occurrences are joined with one row for each digest, a join that Spark splits where it is skewed.
+occurrences are joined with one row for each digest, a join that Spark splits where it is skewed. Texts are shuffled
+once, by document; chunks and digests otherwise.
 
 A null text stays null; an empty one is one empty line. A document that loses all its lines has an empty text. Rows
 that repeat doc_id and text are one document, whose chunks occur once; each of the rows gets its result. An empty table
@@ -20,7 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, fresh, strings, table, text_hash, tuned, written
@@ -70,59 +71,54 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_hash(F.col("text")).alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h bigint, no int, first int, lines int, digest binary")
 
 
-def _same(a: str, b: str):
-    return F.col(a).eqNullSafe(F.col(b))
+def _firsts(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "no")).alias("keep"))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, h, first, lines: the chunks to remove."""
+def _with_parts(docs: DataFrame, again: DataFrame, gone: Column, lines: str, mine: str) -> DataFrame:
+    """docs with lines instead of text and, as `__parts`, their repeated chunks; written.
+
+    The list of documents with repeated chunks grows with the corpus, so this join is never a broadcast.
+    """
+    parts = again.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.struct("no", "first", "lines", "digest", gone.alias("gone")).alias("part")).groupBy("__d", "__h").agg(F.collect_list("part").alias("__parts"))
+    cut_up = docs.withColumns({mine: text_hash(F.col("text")), lines: F.split("text", "\n")}).drop("text")
+    return written(cut_up.join(parts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col(mine) == F.col("__h")) & F.col(lines).isNotNull(), "left").drop("__d", "__h"), "line-parts")
+
+
+def marked(docs: DataFrame, lines: str, mine: str) -> DataFrame:
+    """docs with lines instead of text and, as `__parts`, their repeated chunks with `gone` for those to remove."""
     tuned(docs.sparkSession)
     found = written(chunks(docs).dropDuplicates(["doc_id", "h", "no"]), "line-chunks")
+    firsts = written(_firsts(found, "digest").where(F.col("n") > 1).select(F.col("digest").alias("g"), "keep"), "line-firsts")
+    again = written(found.join(firsts, F.col("digest") == F.col("g")).drop("g"), "line-again")
     place = F.struct("doc_id", "h", "no")
-    firsts = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("keep")).where(F.col("n") > 1).select(F.col("digest").alias("g"), "keep")
-    firsts = written(firsts, "line-firsts")
-    again = found.join(firsts, F.col("digest") == F.col("g"))
-    again = written(again.drop("g"), "line-again")
-
-    # Compare bytes: fetch every repeated chunk's text and see whether its digest has one text.
-    def texts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(rows):
-            out = []
-            for doc, h, text, parts in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                lines = text.split("\n")
-                out += [(doc, h, p["no"], p["digest"], "\n".join(lines[p["first"] : p["first"] + p["lines"]])) for p in parts]
-            kinds = [b.schema.field(0).type, pa.int64(), pa.int32(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["doc_id", "h", "no", "digest", "chunk"])
-
-    wanted = again.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_list(F.struct("no", "first", "lines", "digest")).alias("parts"))
-    held = docs.where(F.col("text").isNotNull()).select("doc_id", text_hash(F.col("text")).alias("h"), "text").join(wanted, _same("doc_id", "d") & _same("h", "g")).select("doc_id", "h", "text", "parts")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shown = held.mapInArrow(texts, f"doc_id {kind}, h bigint, no int, digest binary, chunk string")
-    kinds = written(shown.groupBy("digest", "chunk").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > 1).select("digest"), "line-collisions")
-    gone = again.where(~place.eqNullSafe(F.col("keep")))
-    if not kinds.isEmpty():  # digests of several texts: the first of each text stays
-        clash = shown.join(kinds, "digest", "left_semi").dropDuplicates(["doc_id", "h", "no"])
-        stays = clash.groupBy("digest", "chunk").agg(F.min(place).alias("keep")).select("keep.*")
-        gone = again.join(kinds, "digest", "left_anti").where(~place.eqNullSafe(F.col("keep"))).unionByName(again.join(kinds, "digest", "left_semi").alias("a").join(stays.alias("s"), F.col("a.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("a.h") == F.col("s.h")) & (F.col("a.no") == F.col("s.no")), "left_anti"))
-    return gone.select("doc_id", "h", "first", "lines")
+    held = _with_parts(docs, again, ~place.eqNullSafe(F.col("keep")), lines, mine)
+    # Compare bytes: every digest must stand for one text.
+    shown = held.where(F.col("__parts").isNotNull()).select("doc_id", F.col(mine).alias("h"), lines, F.explode("__parts").alias("p"))
+    shown = shown.select("doc_id", "h", "p.no", "p.digest", F.array_join(F.slice(lines, F.col("p.first") + 1, F.col("p.lines")), "\n").alias("chunk"))
+    clashing = written(shown.select("digest", "chunk").distinct().groupBy("digest").count().where(F.col("count") > 1).select("digest"), "line-clashes")
+    if clashing.isEmpty():
+        return held
+    # Digests of several texts: the first of each text stays.
+    clash = shown.join(clashing, "digest", "left_semi").dropDuplicates(["doc_id", "h", "no"])
+    stay = _firsts(clash, "digest", "chunk").select("keep.*").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("no").alias("k"))
+    kept = again.join(clashing.withColumn("clash", F.lit(True)), "digest", "left").join(stay.withColumn("stay", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("no") == F.col("k")), "left")
+    return _with_parts(docs, kept, F.when(F.col("clash"), F.col("stay").isNull()).otherwise(~place.eqNullSafe(F.col("keep"))), lines, mine)
 
 
 def dedup_lines(docs: DataFrame, *added: str) -> DataFrame:
     """docs without repeated chunks; n_chars, where there, follows the text. added: names for lines, removed lines."""
-    gone = repeated(docs)
-    by_doc = gone.groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("first", "lines")).alias("__gone"))
     mine, held = fresh(docs, "__text_hash", "__lines")
-    # Lines travel instead of texts; behind the join they are a column that places can be looked up in.
-    cut_up = docs.withColumns({mine: text_hash(F.col("text")), held: F.split("text", "\n")}).drop("text")
-    out = cut_up.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col(mine) == F.col("__h")) & F.col(held).isNotNull(), "left")
+    out = marked(docs, held, mine).withColumn("__gone", F.filter("__parts", lambda p: p["gone"]))
+    none = F.coalesce(F.size("__gone") <= 0, F.lit(True))
     places = F.flatten(F.transform("__gone", lambda g: F.sequence(g["first"], g["first"] + g["lines"] - 1)))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(held) - 1), places), lambda i: F.get(F.col(held), i))
     counts = [F.coalesce(F.array_size(held), F.lit(1)), F.coalesce(F.aggregate("__gone", F.lit(0), lambda a, g: a + g["lines"]), F.lit(0))]
     if added:
         out = out.withColumns(dict(zip(added, counts, strict=True)))
-    out = out.withColumn("text", F.array_join(F.when(F.col("__gone").isNull(), F.col(held)).otherwise(left), "\n"))
+    out = out.withColumn("text", F.array_join(F.when(none, F.col(held)).otherwise(left), "\n"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(none, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns), *added)
 
 

@@ -46,10 +46,11 @@ def event_tree(arrays: DataFrame) -> DataFrame:
     return leaves.unionByName(nations).unionByName(regions).unionByName(root)
 
 
-def nation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """node_id, parent_id, branch_length, depth: customer -> nation -> region -> root; lengths follow account balances."""
-    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    leaves = c.select(F.concat(F.lit("c"), "c_custkey").alias("node_id"), F.concat(F.lit("n"), "c_nationkey").alias("parent_id"), (F.col("c_custkey") % 7 + 1).cast("double").alias("branch_length"), F.lit(3).alias("depth"))
+def nation_tree(spark: SparkSession, sf_dir: str, of: str = "customer") -> DataFrame:
+    """node_id, parent_id, branch_length, depth: customer or supplier -> nation -> region -> root."""
+    c, n, r = (table(spark, sf_dir, t) for t in (of, "nation", "region"))
+    key, nation = {"customer": ("c_custkey", "c_nationkey"), "supplier": ("s_suppkey", "s_nationkey")}[of]
+    leaves = c.select(F.concat(F.lit("c"), key).alias("node_id"), F.concat(F.lit("n"), nation).alias("parent_id"), (F.col(key) % 7 + 1).cast("double").alias("branch_length"), F.lit(3).alias("depth"))
     nations = n.select(F.concat(F.lit("n"), "n_nationkey").alias("node_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), (F.col("n_nationkey") % 3 + 1).cast("double").alias("branch_length"), F.lit(2).alias("depth"))
     regions = r.select(F.concat(F.lit("r"), "r_regionkey").alias("node_id"), F.lit("root").alias("parent_id"), F.lit(1.0).alias("branch_length"), F.lit(1).alias("depth"))
     root = r.limit(1).select(F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0.0).alias("branch_length"), F.lit(0).alias("depth"))

@@ -13,7 +13,8 @@ among the documents of the nodes that it reaches.
    time, its nodes are verified against the hubs' first nodes, and components are merged. That finds the components of
    large groups of near copies with few pairs for each node.
 4. Every pair of groups of one list that may still join different components is then expanded into its nodes' pairs and
-   verified, each at the first shingle that both prefixes have. No pair is left out that could change a component.
+   verified, each at the first shingle that both prefixes have. Only pairs are left out whose sizes, shingles of their
+   own and common shingles in their prefixes leave too few common ones, which no verification could pass.
 
 Documents without words are linked with nothing: n_shingles 0 and their own doc_id as component. Null texts count as
 empty. Rows that repeat doc_id are documents of their own; a null doc_id never names a component unless all are null.
@@ -28,13 +29,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batches, fresh, table, tuned, written
 from .components import components
 
 WORDS, PERCENT = 5, 80
+#: Lists of a group that rounds look at: the first LOOKED_UP of its prefix, four times as many in each later round.
 ROUNDS, HUBS, LOOKED_UP = 3, 8, 4
 #: Shingles of a bucket of the frequency count, and that a task holds before it deals them out.
 BUCKET, FLUSH = 4_000_000, 4_000_000
@@ -248,16 +250,21 @@ def shared_shingles(docs: DataFrame, n_shingles: int, words: int = WORDS, percen
     return counted.groupBy("part").applyInPandas(gather, "node bigint, n bigint, tokens array<bigint>")
 
 
-def _fits(a: str, b: str, percent: int):
-    return (100 * F.least(a, b)) >= percent * F.greatest(a, b)
+def _fits(n: str, m: str, left_n: Column, left_m: Column, percent: int) -> Column:
+    """Whether sets of n and m shingles can be similar enough if only left_n and left_m of them can be common."""
+    n, m, common = F.col(n), F.col(m), F.least(left_n, left_m)
+    return ((100 * F.least(n, m)) >= percent * F.greatest(n, m)) & ((100 + percent) * common >= percent * (n + m))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b of the pairs (a, b) whose sets are similar enough: all shingles that both have are among their tokens."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    """a, b: the different components of pairs (a, b) of nodes whose sets are similar enough.
+
+    All shingles that both sets have are among their nodes' tokens.
+    """
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"), F.col("component").alias(f"c{x}"))
     both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("ca") != F.col("cb"))
+    return met.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
 
 def links(nodes: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, hubs: int = HUBS) -> DataFrame:
@@ -266,19 +273,17 @@ def links(nodes: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, hubs:
     prefix = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - rare).cast("int")))
     held = written(nodes.withColumn("prefix", prefix).withColumn("key", F.xxhash64("n", "prefix")), "nodes")
     # Groups: nodes with equal prefixes and sizes.
-    leaders = held.groupBy("key", "n", "prefix").agg(F.min("node").alias("leader"))
+    leaders = held.groupBy("key", "n", "prefix").agg(F.min("node").alias("leader"), F.min(F.col("n") - F.size("tokens")).alias("alone"))
     members = written(held.select("node", "key", "n").join(leaders.select(F.col("key").alias("k"), F.col("n").alias("m"), "leader"), (F.col("key") == F.col("k")) & (F.col("n") == F.col("m"))).select("leader", "node"), "members")
-    lists = written(leaders.select("leader", "n", F.posexplode("prefix").alias("place", "token")), "lists")
+    lists = written(leaders.select("leader", "n", "alone", F.posexplode("prefix").alias("place", "token")), "lists")
     labels = members.select("node", F.col("node").alias("component"))
-    edges = []
-
     def of_groups() -> DataFrame:
         """leader, component, null where a group's nodes are in several."""
         got = members.join(labels, "node").groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         return got.select("leader", F.when(F.col("low") == F.col("high"), F.col("low")).alias("component"))
 
     def open_lists(rows: DataFrame) -> DataFrame:
-        """token, leader, n, component of the rows of lists that hold several components."""
+        """The rows of lists that hold several components, with the component."""
         known = rows.join(of_groups(), "leader")
         several = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("all"), F.count("component").alias("plain"))
         several = several.where((F.col("low") != F.col("high")) | (F.col("plain") < F.col("all"))).select("token")
@@ -286,10 +291,7 @@ def links(nodes: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, hubs:
 
     def merged(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """labels, after the pairs that hold have joined their components."""
-        between = pairs.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
-        fresh_pairs = between.where(F.col("ca") != F.col("cb")).select("a", "b").distinct()
-        good = verified(fresh_pairs, held, percent).join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
-        joined = written(good.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
+        joined = written(verified(pairs.distinct(), held.join(labels, "node"), percent).distinct(), "links")
         if joined.isEmpty():
             return labels
         moved = components(joined).withColumnRenamed("component", "to").withColumnRenamed("node", "c")
@@ -298,27 +300,32 @@ def links(nodes: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, hubs:
     # Inside a group: every node against the group's first.
     labels = merged(members.where(F.col("leader") != F.col("node")).select(F.col("leader").alias("a"), F.col("node").alias("b")), labels)
     for r in range(rounds):
-        some = open_lists(lists.where(F.col("place") < LOOKED_UP).select("token", "leader", "n"))
+        some = open_lists(lists.where(F.col("place") < LOOKED_UP * 4**r).select("token", "leader", "n", "alone"))
         some = written(some, "open")
         if some.isEmpty():
             continue
-        from pyspark.sql import Window
-
-        chosen = some.withColumn("turn", F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("leader", F.lit(r)), "leader"))).where(F.col("turn") <= hubs)
-        chosen = chosen.select("token", F.col("leader").alias("hub"), F.col("n").alias("m"), F.col("component").alias("d"))
+        # First those that have most in common with others, then any.
+        turn = [F.col("alone")] if r == 0 else []
+        chosen = some.withColumn("turn", F.row_number().over(Window.partitionBy("token").orderBy(*turn, F.xxhash64("leader", F.lit(r)), "leader"))).where(F.col("turn") <= hubs)
+        chosen = chosen.select("token", F.col("leader").alias("hub"), F.col("n").alias("m"), F.col("alone").alias("alone2"), F.col("component").alias("d"))
         apart = F.coalesce(F.col("component") != F.col("d"), F.lit(True))
-        near = some.join(chosen, "token").where((F.col("leader") != F.col("hub")) & _fits("n", "m", percent) & apart).select("leader", "hub").distinct()
+        near = some.join(chosen, "token").where((F.col("leader") != F.col("hub")) & _fits("n", "m", F.col("n") - F.col("alone"), F.col("m") - F.col("alone2"), percent) & apart).select("leader", "hub").distinct()
         pairs = near.join(members, "leader").select(F.col("node").alias("a"), F.col("hub").alias("b"))
         labels = merged(pairs, labels)
     # All that is left, group by group.
-    rest = written(open_lists(lists.select("token", "leader", "n")), "open")
+    rest = written(open_lists(lists.select("token", "leader", "n", "alone", "place")), "open")
     if not rest.isEmpty():
         with_prefix = rest.join(leaders.select("leader", "prefix"), "leader")
-        left = with_prefix.select("token", F.col("leader").alias("g"), F.col("n").alias("n1"), F.col("component").alias("c1"), F.col("prefix").alias("p1"))
-        right = with_prefix.select("token", F.col("leader").alias("h"), F.col("n").alias("n2"), F.col("component").alias("c2"), F.col("prefix").alias("p2"))
+        # Before its first common shingle a set has none of the other's: what is left must suffice.
+        side = lambda g, i: with_prefix.select("token", F.col("leader").alias(g), F.col("n").alias(f"n{i}"), (F.col("n") - F.col("alone") - F.col("place")).alias(f"left{i}"), F.col("component").alias(f"c{i}"), F.col("prefix").alias(f"p{i}"))
+        left, right = side("g", 1), side("h", 2)
         apart = F.coalesce(F.col("c1") != F.col("c2"), F.lit(True))
-        first = F.array_intersect("p1", "p2")[0] == left["token"]
-        near = left.join(right, (left["token"] == right["token"]) & (F.col("g") < F.col("h")) & _fits("n1", "n2", percent) & apart & first).select("g", "h")
+        both = F.array_intersect("p1", "p2")
+        # Common shingles are in both prefixes or behind the one that ends first.
+        behind = lambda c: F.ceil(F.col(c) * percent / 100) - 1
+        enough = (100 + percent) * (F.size(both) + F.greatest(behind("n1"), behind("n2"))) >= percent * (F.col("n1") + F.col("n2"))
+        first = (both[0] == left["token"]) & enough
+        near = left.join(right, (left["token"] == right["token"]) & (F.col("g") < F.col("h")) & _fits("n1", "n2", F.col("left1"), F.col("left2"), percent) & apart & first).select("g", "h")
         one, two = members.select(F.col("leader").alias("g"), F.col("node").alias("a")), members.select(F.col("leader").alias("h"), F.col("node").alias("b"))
         labels = merged(near.join(one, "g").join(two, "h").select("a", "b"), labels)
     # Groups whose nodes are still apart: their nodes against each other.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.tables import held as _held
+
 ARRAY = ["group_id", "array_id"]
 
 
@@ -43,14 +45,6 @@ def closure(graph: DataFrame, check_cycles: bool = True, src: str = "src", dst:
     return held
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder where one is set, which cuts the lineage; persisted otherwise."""
-    context = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.persist()
-
-
 def topological_rank(arrays: DataFrame, order: DataFrame) -> DataFrame:
     """group_id, token, rank: a linear extension of the order, oldest first; ties go by token."""
     known = arrays.select("group_id", "token").distinct()

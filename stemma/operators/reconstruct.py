@@ -17,29 +17,35 @@ from .tree import ancestors, keys_of
 CLOSE = 1e-9
 
 
-def _messages(known: DataFrame, gain: float, loss: float) -> DataFrame:
+def _rate(x: float | str) -> float | Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def _messages(known: DataFrame, gain: float | str, loss: float | str) -> DataFrame:
     """For each state of the parent: the best own state and its ln likelihood; ties go to state 0."""
     t = F.col("branch_length")
     for p in (0, 1):
-        zero = F.log(transition(gain, loss, t, p, 0)) + F.col("l0")
-        one = F.log(transition(gain, loss, t, p, 1)) + F.col("l1")
+        zero = F.log(transition(_rate(gain), _rate(loss), t, p, 0)) + F.col("l0")
+        one = F.log(transition(_rate(gain), _rate(loss), t, p, 1)) + F.col("l1")
         known = known.withColumn(f"c{p}", (one > zero + CLOSE).cast("int")).withColumn(f"m{p}", F.greatest(zero, one))
     return known
 
 
-def joint_states(profile: DataFrame, tree: DataFrame, gain: float, loss: float, forced: DataFrame | None = None, prior: tuple[float, float] | None = None) -> DataFrame:
+def joint_states(profile: DataFrame, tree: DataFrame, gain: float | str, loss: float | str, forced: DataFrame | None = None, prior: tuple[float, float] | None = None) -> DataFrame:
     """group_id, node_id, token, state for all nodes. forced: group_id, node_id, token that must be present.
 
+    gain and loss may name columns of the tree, for rates by group.
     prior: ln probabilities of the root's states; by default of a branch as long as the root's longest child's from 0.
     """
     keys = keys_of(tree)
+    rates = [x for x in (gain, loss) if isinstance(x, str)]
     depths = [r[0] for r in tree.select("depth").distinct().orderBy(F.desc("depth")).collect()]
     impossible = F.lit(float("-inf"))
     tips = profile.select("group_id", "node_id", "token", F.when(F.col("present") == 0, 0.0).otherwise(impossible).alias("l0"), F.when(F.col("present") == 1, 0.0).otherwise(impossible).alias("l1"))
     must = forced.select("group_id", "node_id", "token").distinct().withColumn("must", F.lit(True)) if forced is not None else None
     below, levels = None, {}
     for depth in depths:
-        nodes = tree.where(F.col("depth") == depth).select(*keys, "node_id", "parent_id", "branch_length")
+        nodes = tree.where(F.col("depth") == depth).select(*keys, "node_id", "parent_id", "branch_length", *rates)
         got = tips.join(nodes, [*keys, "node_id"])
         if below is not None:
             got = got.unionByName(below.join(nodes, [*keys, "node_id"]).select(*got.columns))
@@ -49,7 +55,7 @@ def joint_states(profile: DataFrame, tree: DataFrame, gain: float, loss: float,
             if prior is None:
                 longest = tree.where(F.col("depth") == 1).groupBy(*keys).agg(F.max("branch_length").alias("longest"))
                 got = got.join(longest, keys) if keys else got.crossJoin(F.broadcast(longest))
-                p0, p1 = (F.log(transition(gain, loss, F.col("longest"), 0, s)) for s in (0, 1))
+                p0, p1 = (F.log(transition(_rate(gain), _rate(loss), F.col("longest"), 0, s)) for s in (0, 1))
             else:
                 p0, p1 = F.lit(prior[0]), F.lit(prior[1])
             levels[0] = got.select("group_id", "node_id", "token", (F.col("l1") + p1 > F.col("l0") + p0 + CLOSE).cast("int").alias("state"))
@@ -83,7 +89,7 @@ def contradictions(events: DataFrame, tree: DataFrame, order: DataFrame) -> Data
     return late.join(order, ["group_id", "younger", "token"], "left_semi").select("group_id", "node_id", "token").distinct()
 
 
-def refined_states(profile: DataFrame, tree: DataFrame, order: DataFrame, gain: float, loss: float, most: int = 100) -> tuple[DataFrame, DataFrame]:
+def refined_states(profile: DataFrame, tree: DataFrame, order: DataFrame, gain: float | str, loss: float | str, most: int = 100) -> tuple[DataFrame, DataFrame]:
     """(states, forced): reconstruct again, with what contradicts forced to be present at the parent, until none does."""
     forced = None
     for _ in range(most):

@@ -102,15 +102,20 @@ def refined_states(profile: DataFrame, tree: DataFrame, order: DataFrame, gain:
     raise RuntimeError("contradictions remain")
 
 
-def loss_blocks(states: DataFrame, tree: DataFrame, rank: DataFrame) -> DataFrame:
-    """group_id, node_id, block, size: runs of lost tokens among the parent's, by rank, broken by kept tokens."""
+def loss_block_tokens(states: DataFrame, tree: DataFrame, rank: DataFrame) -> DataFrame:
+    """group_id, node_id, block, token: runs of lost tokens among the parent's, by rank, broken by kept tokens."""
     keys = keys_of(tree)
     parent = states.where(F.col("state") == 1).select("group_id", F.col("node_id").alias("parent_id"), "token")
     child = states.select("group_id", "node_id", "token", "state")
     both = parent.join(tree.select(*keys, "node_id", "parent_id"), [*keys, "parent_id"]).join(child, ["group_id", "node_id", "token"]).join(rank, ["group_id", "token"])
     w = Window.partitionBy("group_id", "node_id").orderBy("rank")
     runs = both.withColumn("block", F.sum("state").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("state") == 0)
-    return runs.groupBy("group_id", "node_id", "block").agg(F.count(F.lit(1)).alias("size"))
+    return runs.select("group_id", "node_id", "block", "token")
+
+
+def loss_blocks(states: DataFrame, tree: DataFrame, rank: DataFrame) -> DataFrame:
+    """group_id, node_id, block, size."""
+    return loss_block_tokens(states, tree, rank).groupBy("group_id", "node_id", "block").agg(F.count(F.lit(1)).alias("size"))
 
 
 def loss_positions(states: DataFrame, tree: DataFrame, rank: DataFrame) -> DataFrame:

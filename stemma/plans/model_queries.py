@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from stemma import sinks, views
 from stemma.functions import scalar as fn
-from stemma.operators import align, arrays, fit, reconstruct, simulate, tree, visual
+from stemma.operators import align, arrays, filters, fit, reconstruct, simulate, tree, visual
 
-from .event_queries import ABOVE, GAIN, LOSS, STATES, Events
+from .event_queries import ABOVE, BLOCKS, GAIN, LOSS, STATES, Events
 from .table_queries import _raw
 
 QUERIES: dict = {}
@@ -168,3 +168,29 @@ def array_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "group_id")
     return sinks.as_json_map(c, "c_custkey", "c_mktsegment", "group_id")
+
+
+@query(STATES + BLOCKS + """,
+old AS (SELECT DISTINCT group_id, token FROM branch_events WHERE kind = 'gain' AND node_id = 'root'),
+tokens AS (SELECT group_id, node_id, CAST(block AS BIGINT) AS block, token FROM ordered WHERE state = 0)
+SELECT t.group_id, t.node_id, t.block, count(*) AS size, count(o.token) AS old_tokens FROM tokens t LEFT JOIN old o USING (group_id, token) GROUP BY ALL HAVING count(o.token) > 0""")
+def blocks_with_old_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Events(spark, sf_dir)
+    states = e.states
+    old = filters.old_tokens(reconstruct.branch_events(states, e.tree), e.tree)
+    blocks = filters.blocks_with(reconstruct.loss_block_tokens(states, e.tree, e.rank), old)
+    marked = blocks.join(old.withColumn("old", F.lit(1)), ["group_id", "token"], "left")
+    return marked.groupBy("group_id", "node_id", "block").agg(F.count(F.lit(1)).alias("size"), F.count("old").alias("old_tokens"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem SEMI JOIN (SELECT l_partkey FROM lineitem GROUP BY ALL HAVING count(*) >= 30) USING (l_partkey)")
+def common_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.common_categories(views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), "l_partkey", 30)
+
+
+@query("SELECT n_name, least(abs(n_nationkey * 10 - s), abs(n_nationkey * 10 - s - 40), abs(n_nationkey * 10 + 25 - s), abs(n_nationkey * 10 + 25 - s - 40)) AS distance FROM (SELECT n_name, n_nationkey::BIGINT AS n_nationkey, n_regionkey::BIGINT * 70 AS s FROM nation)")
+def gene_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = views.table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey").cast("long")
+    rows = n.select("n_name", (k * 10).alias("array_start"), (k * 10 + 25).alias("array_end"), F.array(F.struct((F.col("n_regionkey").cast("long") * 70).alias("start"), F.lit(40).cast("long").alias("length"))).alias("genes"))
+    return filters.with_gene_distance(rows).select("n_name", "distance")

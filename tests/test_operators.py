@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stemma.functions.scalar import decision
-from stemma.operators import align, analysis, arrays, cluster, fit, orient, reconstruct, simulate, tree
+from stemma.operators import align, analysis, arrays, cluster, filters, fit, orient, reconstruct, simulate, tree
 
 
 def long(spark, held, group="g"):
@@ -224,3 +224,16 @@ def test_orientation_and_analysis(spark):
     rows = spark.createDataFrame([(float(i),) for i in range(100)], "x double")
     assert analysis.below_quantile(rows, "x", 0.95).count() == 95
     assert spark.range(1).select(decision(F.lit(6.0))).first()[0] == "forward"
+
+
+def test_filters(spark):
+    rows = spark.createDataFrame([("a", 4, 100, 200, [(250, 30)], [None]), ("b", 3, None, 5, [], ["IE"]), ("c", 4, 1, 2, [(90_000, 5)], [None])], "array_id string, evidence_level int, array_start int, array_end int, genes array<struct<start:int,length:int>>, types array<string>")
+    assert [r.array_id for r in filters.by_evidence(rows).collect()] == ["a", "c"]
+    far = filters.with_gene_distance(rows)
+    assert [r.distance for r in far.collect()] == [50, None, 89_998]
+    assert [r.array_id for r in filters.near_genes_or_typed(far).collect()] == ["a", "b"]
+    names = spark.createDataFrame([("a",)], "array_id string")
+    assert filters.without_arrays(rows, names).count() == 2 and filters.only_arrays(rows, names).count() == 1
+    blocks = spark.createDataFrame([("g", "n", 1, 5), ("g", "n", 1, 6), ("g", "n", 2, 7)], "group_id string, node_id string, block int, token int")
+    old = spark.createDataFrame([("g", 5)], "group_id string, token int")
+    assert filters.blocks_with(blocks, old).count() == 2 and filters.blocks_with(blocks, old, all_of_them=True).count() == 0

@@ -8,6 +8,7 @@ Likelihoods of trees are sums of branches', so each is one aggregate whose parti
 from __future__ import annotations
 
 import math
+from decimal import Decimal, localcontext
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -168,3 +169,65 @@ def fit_corrected(branches: list[tuple[float, int, int, int]], tree: list[tuple[
     plain = fit_branches(branches)["rho_idm"]
     rho = math.exp(golden(lambda x: value(math.exp(x)), math.log(1e-8), math.log(1e4), close=1e-11))
     return rho, rho - plain
+
+
+# --- Blocks under the death process: losses that later join into one ---------------------------------------------
+
+
+def death_likelihoods(rho: float, alpha: float, t: float, longest: int) -> list[float]:
+    """Probabilities that 0, 1, ... `longest` neighbours are lost within t, next to a token that stays.
+
+    They solve p_i' = rho / alpha * sum over k < i of (1 - 1 / alpha)^(i - k - 1) (k + 1) p_k - i rho p_i, p_0 = 1, so
+    each is a sum of exp(-j rho t), j up to i, whose coefficients follow from the shorter ones'. Their signs alternate:
+    digits are kept as needed.
+    """
+    with localcontext() as c:
+        c.prec = 30 + 2 * longest
+        a, g = Decimal(alpha), 1 - 1 / Decimal(alpha)
+        powers = [Decimal(1)]
+        for _ in range(longest):
+            powers.append(powers[-1] * g)
+        step = Decimal(-rho * t).exp()
+        e = [Decimal(1)]
+        for _ in range(longest):
+            e.append(e[-1] * step)
+        parts: list[list[Decimal]] = [[Decimal(1)]]
+        for i in range(1, longest + 1):
+            sums = [sum((powers[i - k - 1] * (k + 1) * parts[k][j] for k in range(j, i)), Decimal(0)) / a for j in range(i)]
+            mine = [sums[j] / (i - j) for j in range(i)]
+            parts.append([*mine, -sum(mine)])
+        return [float(sum(x * y for x, y in zip(p, e, strict=False))) for p in parts]
+
+
+def precise_log_likelihood(rho: float, alpha: float, branches: list[tuple[float, int, list[int]]]) -> float:
+    """Of branches (t, kept tokens, block sizes)."""
+    out, known = 0.0, {}
+    longest = {}
+    for t, _, sizes in branches:
+        longest[t] = max([longest.get(t, 0), *sizes])
+    for t, kept, sizes in branches:
+        if t not in known:
+            known[t] = death_likelihoods(rho, alpha, t, longest[t])
+        out += sum(math.log(max(1e-40, known[t][k])) for k in sizes) - rho * t * kept
+    return out
+
+
+def fit_precise(branches: DataFrame, *keys: str) -> DataFrame:
+    """keys, rho, alpha, lnl of the death process; branches: keys, t, kept, sizes (array). Groups are bounded."""
+    kinds = {f.name: f.dataType.simpleString() for f in branches.schema.fields}
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        rows = [(float(t), int(k), [int(x) for x in s]) for t, k, s in zip(frame.t, frame.kept, frame.sizes, strict=True) if t > 0]
+        if not any(s for *_, s in rows):
+            return pd.DataFrame([{**dict(zip(keys, key, strict=True)), "rho": 0.0, "alpha": 1.0, "lnl": 0.0}])
+        value = lambda x, a: precise_log_likelihood(math.exp(x), math.exp(a), rows)
+        x, a = math.log(0.1), 0.3
+        for width in (3.0, 1.0, 0.3, 0.1, 0.03, 0.01):  # a shrinking cross around the best point
+            for _ in range(12):
+                best = max(((value(x + dx, max(0.0, a + da)), x + dx, max(0.0, a + da)) for dx, da in ((0, 0), (width, 0), (-width, 0), (0, width), (0, -width), (width, -width), (-width, width))), key=lambda v: v[0])
+                if (best[1], best[2]) == (x, a):
+                    break
+                x, a = best[1:]
+        return pd.DataFrame([{**dict(zip(keys, key, strict=True)), "rho": math.exp(x), "alpha": math.exp(a), "lnl": value(x, a)}])
+
+    return branches.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "rho double, alpha double, lnl double"]))

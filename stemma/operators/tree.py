@@ -93,6 +93,15 @@ def extended(tree: DataFrame, by: float) -> DataFrame:
     return tree.withColumn("branch_length", F.when(F.col("parent_id").isNull(), 0.0).otherwise(F.coalesce("branch_length", F.lit(0.0)) + by))
 
 
+def with_leaf_actions(tree: DataFrame, actions: DataFrame, length: float = MIN_BRANCH) -> DataFrame:
+    """Leaves with several arrays: split ones get a child for each array, pruned and missing ones go."""
+    keys = keys_of(tree)
+    a = actions.select(*keys, "node_id", "n", "action")
+    rest = tree.join(a.where(F.col("action").isin("prune", "missing")), [*keys, "node_id"], "left_anti").select(*keys, "node_id", "parent_id", "branch_length")
+    children = a.where(F.col("action") == "split").select(*keys, F.col("node_id").alias("parent_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
+    return rest.unionByName(children.select(*keys, F.concat_ws("_", "parent_id", F.col("i").cast("string")).alias("node_id"), "parent_id", F.lit(length).alias("branch_length")))
+
+
 # --- Distances between arrays and trees from them ---------------------------------------------------------------
 
 

@@ -194,3 +194,14 @@ def gene_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey").cast("long")
     rows = n.select("n_name", (k * 10).alias("array_start"), (k * 10 + 25).alias("array_end"), F.array(F.struct((F.col("n_regionkey").cast("long") * 70).alias("start"), F.lit(40).cast("long").alias("length"))).alias("genes"))
     return filters.with_gene_distance(rows).select("n_name", "distance")
+
+
+@query()
+def simulated_precise_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The death process fitted to the lost runs of each simulation's branches."""
+    nodes = simulate.simulate(_parameters(spark, sf_dir))
+    parents = nodes.select("sim_id", F.col("node_id").alias("parent_id"), F.col("tokens").alias("up"))
+    both = nodes.join(parents, ["sim_id", "parent_id"])
+    runs = F.filter(F.split(F.array_join(F.transform("up", lambda t: F.when(F.array_contains("tokens", t), ",").otherwise("x")), ""), ","), lambda s: s != "")
+    rows = both.select("sim_id", F.col("branch_length").alias("t"), F.size(F.array_intersect("up", "tokens")).cast("long").alias("kept"), F.transform(runs, lambda s: F.length(s)).alias("sizes"))
+    return fit.fit_precise(rows, "sim_id").select("sim_id", F.round("rho", 4).alias("rho"), F.round("alpha", 4).alias("alpha"), F.round("lnl", 4).alias("lnl"))

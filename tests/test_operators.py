@@ -237,3 +237,33 @@ def test_filters(spark):
     blocks = spark.createDataFrame([("g", "n", 1, 5), ("g", "n", 1, 6), ("g", "n", 2, 7)], "group_id string, node_id string, block int, token int")
     old = spark.createDataFrame([("g", 5)], "group_id string, token int")
     assert filters.blocks_with(blocks, old).count() == 2 and filters.blocks_with(blocks, old, all_of_them=True).count() == 0
+
+
+def test_death_process(spark):
+    rho, alpha, t, n = 0.7, 1.8, 0.9, 25
+    p, steps = [1.0] + [0.0] * n, 4000
+    g = 1 - 1 / alpha
+
+    def slope(p):
+        return [0.0] + [rho / alpha * sum(g ** (i - k - 1) * (k + 1) * p[k] for k in range(i)) - i * rho * p[i] for i in range(1, n + 1)]
+
+    h = t / steps
+    for _ in range(steps):
+        a = slope(p)
+        b = slope([x + h / 2 * y for x, y in zip(p, a, strict=True)])
+        p = [x + h * y for x, y in zip(p, b, strict=True)]
+    got = fit.death_likelihoods(rho, alpha, t, n)
+    assert all(math.isclose(x, y, rel_tol=1e-4) for x, y in zip(got, p, strict=True)) and len(fit.death_likelihoods(rho, alpha, t, 68)) == 69
+    assert math.isclose(got[1], (1 - math.exp(-rho * t)) / alpha)
+    rows = spark.createDataFrame([("g", 1.0, 6, [1, 3]), ("g", 0.5, 4, []), ("h", 1.0, 3, [])], "k string, t double, kept long, sizes array<int>")
+    r = {x.k: x for x in fit.fit_precise(rows, "k").collect()}
+    assert r["h"].lnl == 0 and r["g"].rho > 0 and r["g"].alpha >= 1
+    best = fit.precise_log_likelihood(r["g"].rho, r["g"].alpha, [(1.0, 6, [1, 3]), (0.5, 4, [])])
+    assert all(best >= fit.precise_log_likelihood(r["g"].rho * f, max(1.0, r["g"].alpha * e), [(1.0, 6, [1, 3]), (0.5, 4, [])]) - 1e-3 for f in (0.9, 1.1) for e in (0.9, 1.1))
+
+
+def test_leaves_with_several_arrays(spark):
+    t = spark.createDataFrame([("g", "r", None, 0.0), ("g", "a", "r", 1.0), ("g", "b", "r", 1.0), ("g", "c", "r", 1.0)], "group_id string, node_id string, parent_id string, branch_length double")
+    actions = spark.createDataFrame([("g", "a", 2, "split"), ("g", "b", 2, "prune"), ("g", "c", 1, "keep")], "group_id string, node_id string, n long, action string")
+    got = {(r.node_id, r.parent_id) for r in tree.with_leaf_actions(t, actions).collect()}
+    assert got == {("r", None), ("a", "r"), ("a_1", "a"), ("a_2", "a"), ("c", "r")}

@@ -98,7 +98,8 @@ def draw(sources: DataFrame, n_slots: int, n_sources: int, seed: int = SEED, sha
     ends = written(counts.withColumn("end", F.sum("n").over(by_source)), "draws")
     own = ["n_blocks", "factor", "power", "half"]
     facts = sources.select("k", "quota", *own)
-    ends = ends.join(facts, "k").withColumn("begin", F.col("end") - F.col("n"))
+    # Few intervals stand for many slots: spread them by what they will be.
+    ends = ends.join(facts, "k").withColumn("begin", F.col("end") - F.col("n")).repartition(max(1, min(20_000, n_slots // 100_000)), "shard", "k")
     kept = ends.where(F.col("begin") < F.col("quota")).select("shard", "k", *own, F.explode(F.sequence("begin", F.least("end", "quota") - 1)).alias("ordinal"))
     # The few draws beyond quotas, at the last shards, are numbered and meet the numbered slots that quotas still lack.
     every = Window.partitionBy(F.lit(0))
@@ -154,8 +155,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     sizes = held.select(F.col(mine[0]).alias("row"), "doc_id", "source", F.col(mine[1]).alias("size"), text_hash(F.col("text")).alias("h"))
     _, taken = mix(sizes)
     by_doc = taken.groupBy("row", "pass").agg(F.sum("words").alias("__words"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("__pieces")).withColumnRenamed("row", "__row")
-    out = held.join(by_doc, F.col(mine[0]) == F.col("__row")).withColumn("__all", F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
-    cut = F.array_join(F.flatten(F.transform("__pieces", lambda p: F.slice("__all", (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    out = held.join(by_doc, F.col(mine[0]) == F.col("__row"))
+    # The words are an element that the inner expression refers to: they are found once for a row, not for each piece.
+    taken_of = lambda w: F.array_join(F.flatten(F.transform("__pieces", lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    cut = F.element_at(F.transform(F.array(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))), taken_of), 1)
     out = out.withColumn("text", F.when(F.col("__words") == F.col(mine[1]), F.col("text")).otherwise(cut))
     if "n_chars" in rest:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

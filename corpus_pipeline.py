@@ -47,9 +47,8 @@ def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tuned(spark)
     kept = ["doc_id", "lang", "source", "n_chars"]
     hashed = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    encoded = unigram_scan.encode(hashed, model, [*kept, "text_sha256"]).withColumn("pieces", F.col("ids"))
-    back = unigram_scan.decode(encoded, model, [*kept, "text_sha256", "pieces"])
-    return back.select(*kept, (F.octet_length("pieces") / 4).cast("long").alias("n_pieces"), F.col("pieces").alias("ids"), (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
+    back = unigram_scan.encode(hashed, model, [*kept, "text_sha256"], decoded=True)
+    return back.select(*kept, (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
 
 
 STAGES = [

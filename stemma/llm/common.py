@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -61,3 +64,11 @@ def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
 
 def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in rows if b.num_rows)
+
+
+def release() -> None:
+    """Give freed memory back at the end of a task: Python workers live on, and later stages need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

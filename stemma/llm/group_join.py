@@ -32,16 +32,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, fresh, table, tuned, written
+from .common import batches, fresh, release, table, tuned, written
 from .components import components
 
 WORDS, PERCENT = 5, 80
 #: Lists of a group that rounds look at: the first LOOKED_UP of its prefix, four times as many in each later round.
 ROUNDS, HUBS, LOOKED_UP = 3, 8, 4
 #: Shingles of a bucket of the frequency count, and that a task holds before it deals them out.
-BUCKET, FLUSH = 4_000_000, 4_000_000
+BUCKET, FLUSH = 3_000_000, 2_000_000
 #: Bytes of text that are hashed at once.
-PIECE = 4_000_000
+PIECE = 1_000_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -150,6 +150,8 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for b in batches(rows):
             _, sizes, signs = shingles(b.column(1), words)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(signs)], names=["doc_id", "n", "node"])
+        _powers.clear()
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, node bigint")
@@ -206,6 +208,9 @@ def shared_shingles(docs: DataFrame, n_shingles: int, words: int = WORDS, percen
                 held, n = [], 0
         if n:
             yield flush()
+        held.clear()
+        _powers.clear()
+        release()
 
     def count(key, frame: pd.DataFrame) -> pd.DataFrame:
         """Of one bucket: the hashes that several nodes have, dealt out by node."""
@@ -231,7 +236,10 @@ def shared_shingles(docs: DataFrame, n_shingles: int, words: int = WORDS, percen
         some = df > 1
         h, node, size, df = h[some], node[some], size[some], df[some]
         out = [(p, _packed(*columns)) for p, columns in _dealt((node.view(_U) // width).astype(np.int32), n_buckets, h.view(np.int64), node, size, df.astype(np.int32))]
-        return pd.DataFrame(out, columns=["part", "blob"])
+        out = pd.DataFrame(out, columns=["part", "blob"])
+        del parts, h, node, size, order, again, same, new, df, some
+        release()
+        return out
 
     def gather(key, frame: pd.DataFrame) -> pd.DataFrame:
         """Of one part of the nodes: those that have enough shared hashes, with them."""
@@ -243,7 +251,10 @@ def shared_shingles(docs: DataFrame, n_shingles: int, words: int = WORDS, percen
         counts = np.diff(np.append(starts, len(node)))
         fine = 100 * counts >= percent * size[starts]
         rows = [(int(node[a]), int(size[a]), h[a : a + c]) for a, c in zip(starts[fine].tolist(), counts[fine].tolist(), strict=True)]
-        return pd.DataFrame(rows, columns=["node", "n", "tokens"])
+        rows = pd.DataFrame(rows, columns=["node", "n", "tokens"])
+        del parts, h, node, size, df, order
+        release()
+        return rows
 
     blobs = docs.select("text").mapInArrow(deal, "bucket int, blob binary")
     counted = blobs.groupBy("bucket").applyInPandas(count, "part int, blob binary")

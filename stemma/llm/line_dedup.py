@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, fresh, strings, table, text_hash, tuned, written
+from .common import batches, fresh, release, strings, table, text_hash, tuned, written
 
 #: Lines under the rolling hash (the SQL twin has 2 built in), and one in how many lines ends a chunk.
 WINDOW, DIVISOR = 2, 2
@@ -66,6 +66,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             at = pa.array(at, pa.int64())
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array([f[k] for f in found], t) for k, t in enumerate(kinds))], names=["doc_id", "h", "no", "first", "lines", "digest"])
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_hash(F.col("text")).alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h bigint, no int, first int, lines int, digest binary")

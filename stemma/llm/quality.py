@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, fresh, strings, table, tuned
+from .common import batches, fresh, release, strings, table, tuned
 
 #: Labelled rows that the classifier is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -76,6 +76,7 @@ def statistics(docs: DataFrame, carried: list[str], name: str = "statistics") ->
             x = np.array([measure(t) for t in strings(b.column(0))], np.float64)
             made = pa.StructArray.from_arrays([pa.array(x[:, k]) for k in range(len(STATISTICS))], fields=list(struct))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], made], names=[*carried, name])
+        release()
 
     (text,) = fresh(docs, "measured_text")
     chosen = docs.select(F.col("text").alias(text), *(F.col(f"`{c}`") for c in carried))

@@ -47,7 +47,8 @@ def coalescent(n: int, rng: np.random.Generator, random_lengths: bool = True) ->
 def fragment_length(ratio: float, rng: np.random.Generator, limit: int = 1000) -> int:
     i = np.arange(limit + 1)
     c = (i + 1) * (i + 2) / (2 * ratio)
-    p = c / np.cumprod(c + 1)
+    with np.errstate(over="ignore"):  # far terms are 0
+        p = c / np.cumprod(c + 1)
     return int(rng.choice(limit + 1, p=p / p.sum()))
 
 

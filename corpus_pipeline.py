@@ -4,7 +4,7 @@ Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 `run` writes each stage's result as Parquet and reads it again as the next one's input.
 
 1. quality: documents that the rule ensemble rejects go.
-2. line_dedup: repeated chunks of lines go, all but their first occurrence.
+2. line_dedup: repeated passages of two lines or more go, all but their first occurrence.
 3. near_duplicates: one document of each component stays, the one with the smallest doc_id.
 4. mixing: a row for each pass that takes words of a document, with the words it takes.
 5. sentencepiece: the pieces of every row, and whether decoding them gives the text back.
@@ -26,8 +26,8 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without chunks of lines that stand elsewhere before; some may be left with empty texts."""
-    return line_dedup.dedup_lines(docs)
+    """All documents, without passages that stand elsewhere before; some may be left with empty texts."""
+    return line_dedup.dedup_passages(docs)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

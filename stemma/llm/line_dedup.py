@@ -13,12 +13,17 @@ once, by document; chunks and digests otherwise.
 A null text stays null; an empty one is one empty line. A document that loses all its lines has an empty text. Rows
 that repeat doc_id and text are one document, whose chunks occur once; each of the rows gets its result. An empty table
 gives an empty result.
+
+Such cuts miss many repeats: a chunk of one line never goes, and a passage's first cut depends on the line before it.
+`dedup_passages` therefore takes every two neighbouring lines as a chunk. Chunks overlap, so a passage of `LINES` lines
+or more that stands elsewhere before goes as a whole, wherever it begins. A line goes only where an equal one stands at
+an earlier place, so the first occurrence of every line stays.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,7 +55,12 @@ def cuts(lines: list[str], divisor: int = DIVISOR, window: int = WINDOW) -> list
     return out
 
 
-def chunks(docs: DataFrame) -> DataFrame:
+def neighbours(lines: list[str]) -> list[tuple[int, int]]:
+    """(first line, lines) of all runs of `LINES` lines, which overlap."""
+    return [(i, LINES) for i in range(len(lines) - LINES + 1)]
+
+
+def chunks(docs: DataFrame, cut: Callable[[list[str]], list[tuple[int, int]]] = cuts) -> DataFrame:
     """doc_id, h (the text's hash), no, first, lines, digest: every chunk of several lines of every document."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +69,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             for i, text in enumerate(strings(b.column(2))):
                 if "\n" in text:
                     lines = text.split("\n")
-                    for no, (first, n) in enumerate(cuts(lines)):
+                    for no, (first, n) in enumerate(cut(lines)):
                         if n >= LINES:
                             at.append(i)
                             found.append((no, first, n, hashlib.blake2b("\n".join(lines[first : first + n]).encode(), digest_size=16).digest()))
@@ -73,7 +83,8 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def _firsts(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "no")).alias("keep"))
+    place = F.struct("doc_id", "h", "no")
+    return rows.groupBy(*keys).agg(F.min(place).alias("keep"), F.max(place).alias("last"))
 
 
 def _with_parts(docs: DataFrame, again: DataFrame, gone: Column, lines: str, mine: str) -> DataFrame:
@@ -86,12 +97,12 @@ def _with_parts(docs: DataFrame, again: DataFrame, gone: Column, lines: str, min
     return written(cut_up.join(parts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col(mine) == F.col("__h")) & F.col(lines).isNotNull(), "left").drop("__d", "__h"), "line-parts")
 
 
-def marked(docs: DataFrame, lines: str, mine: str) -> DataFrame:
+def marked(docs: DataFrame, lines: str, mine: str, found: DataFrame) -> DataFrame:
     """docs with lines instead of text and, as `__parts`, their repeated chunks with `gone` for those to remove."""
-    tuned(docs.sparkSession)
-    found = written(chunks(docs).dropDuplicates(["doc_id", "h", "no"]), "line-chunks")
-    firsts = written(_firsts(found, "digest").where(F.col("n") > 1).select(F.col("digest").alias("g"), "keep"), "line-firsts")
-    again = written(found.join(firsts, F.col("digest") == F.col("g")).drop("g"), "line-again")
+    found = written(found, "line-chunks")
+    # Rows that repeat doc_id and text have equal places, so they don't make a chunk a repeated one.
+    firsts = written(_firsts(found, "digest").where(~F.col("keep").eqNullSafe(F.col("last"))).select(F.col("digest").alias("g"), "keep"), "line-firsts")
+    again = written(found.join(firsts, F.col("digest") == F.col("g")).drop("g").distinct(), "line-again")
     place = F.struct("doc_id", "h", "no")
     held = _with_parts(docs, again, ~place.eqNullSafe(F.col("keep")), lines, mine)
     # Compare bytes: every digest must stand for one text.
@@ -109,8 +120,19 @@ def marked(docs: DataFrame, lines: str, mine: str) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, *added: str) -> DataFrame:
     """docs without repeated chunks; n_chars, where there, follows the text. added: names for lines, removed lines."""
+    tuned(docs.sparkSession)
+    return _without(docs, chunks(docs), *added)
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """docs without passages of `LINES` lines or more that stand elsewhere before, wherever these begin."""
+    tuned(docs.sparkSession)
+    return _without(docs, chunks(docs, neighbours))
+
+
+def _without(docs: DataFrame, found: DataFrame, *added: str) -> DataFrame:
     mine, held = fresh(docs, "__text_hash", "__lines")
-    out = marked(docs, held, mine).withColumn("__gone", F.filter("__parts", lambda p: p["gone"]))
+    out = marked(docs, held, mine, found).withColumn("__gone", F.filter("__parts", lambda p: p["gone"]))
     none = F.coalesce(F.size("__gone") <= 0, F.lit(True))
     places = F.flatten(F.transform("__gone", lambda g: F.sequence(g["first"], g["first"] + g["lines"] - 1)))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(held) - 1), places), lambda i: F.get(F.col(held), i))

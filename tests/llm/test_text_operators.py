@@ -73,6 +73,32 @@ def test_colliding_digests_are_told_apart(spark, docs, monkeypatch):
     assert Counter(texts_of(line_dedup.dedup_lines(docs))) == Counter((d, want[d, t]) for d, t in texts_of(docs))
 
 
+def test_pipeline_removes_repeated_passages_wherever_they_begin(spark, docs, none):
+    import corpus_pipeline
+
+    def plain(pairs):
+        seen, out = set(), {}
+        for doc, text in sorted(set(pairs), key=lambda p: (p[0] is not None, p[0] or 0)):
+            if text is None:
+                out[doc, text] = None
+                continue
+            rows, gone = text.split("\n"), set()
+            for k, two in enumerate(zip(rows, rows[1:], strict=False)):
+                gone |= {k, k + 1} if two in seen else set()
+                seen.add(two)
+            out[doc, text] = "\n".join(x for k, x in enumerate(rows) if k not in gone)
+        return out
+
+    rows = [(k, "\n".join([f"before {k}", *(f"passage {k // 10} line {i}" for i in range(2 + k // 10)), f"behind {k}"])) for k in range(30)]
+    few = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = dict(texts_of(corpus_pipeline.without_repeated_lines(spark, few, "")))
+    assert all(out[k] == (t if k % 10 == 0 else f"before {k}\nbehind {k}") for k, t in rows)
+    want = plain(texts_of(docs))
+    out = corpus_pipeline.without_repeated_lines(spark, docs, "")
+    assert Counter(texts_of(out)) == Counter((d, want[d, t]) for d, t in texts_of(docs))
+    assert out.columns == docs.columns and corpus_pipeline.without_repeated_lines(spark, none, "").count() == 0
+
+
 # --- pieces and tokens
 
 

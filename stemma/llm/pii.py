@@ -3,8 +3,8 @@
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. From the whole corpus the operator then
 estimates how strongly a term reveals a protected entity it stands beside: with n documents, PMI(t; e) =
 ln(n * n_te / (n_t * n_e)) is compared with the entity's information IC(e) = ln(n / n_e). A term with
-PMI >= `GENERALISE` * IC(e), seen with e in at least `SUPPORT` different texts, gets a span of kind `term`; from
-`REMOVE` * IC(e) on it is removed instead of being generalised. Counts run over all documents: pairs and terms are
+PMI >= `GENERALISE` * IC(e) gets a span of kind `term`, also where e stands in one text only; from `REMOVE` * IC(e) on
+it is removed instead of being generalised. Counts run over all documents: pairs and terms are
 summed up in each task before they are shuffled, so a frequent entity or word costs each task one row.
 
 Texts that are null count as empty and have no spans. Rows that repeat doc_id and text get equal results; rows with
@@ -27,7 +27,6 @@ from .common import batches, strings, table, text_hash, tuned, written
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Words on either side of an entity that count as beside it.
 WINDOW = 10
-SUPPORT = 2
 GENERALISE, REMOVE = 0.75, 0.99
 #: Pre-aggregated terms that a task holds at once.
 HELD_TERMS = 300_000
@@ -152,14 +151,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing(found: DataFrame, terms: DataFrame, n_docs: int, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def disclosing(found: DataFrame, terms: DataFrame, n_docs: int, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """entity, term, share (of the entity's information that the term reveals), removed."""
     seen = found.where(F.size("entities") > 0).select("doc_id", "text_hash", F.explode("entities").alias("e"))
     n_e = seen.select("doc_id", "text_hash", "e.entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     pairs = seen.select("doc_id", "text_hash", "e.entity", F.explode("e.terms").alias("t")).select("doc_id", "text_hash", "entity", "t.term").distinct()
-    # Copies of a text are one witness: per text first, then per pair.
-    per_text = pairs.groupBy("entity", "term", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    n_te = per_text.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
+    n_te = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
     pmi = F.log(F.lit(float(n_docs)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     told = n_te.join(n_e, "entity").join(terms, "term").withColumn("ic", F.log(F.lit(float(n_docs)) / F.col("n_e"))).where(F.col("ic") > 0)
     return told.withColumn("share", pmi / F.col("ic")).where(F.col("share") >= generalise).select("entity", "term", "share", (F.col("share") >= remove).alias("removed"))

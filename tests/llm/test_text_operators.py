@@ -213,6 +213,14 @@ def test_disclosure(spark):
     assert "[EMAIL]" in clean[0] and "zorro" not in clean[0] and clean[20] == dict(rows)[20]
 
 
+def test_disclosure_of_an_entity_of_one_text(spark):
+    """Once or in copies: what stands beside it and hardly anywhere else reveals it."""
+    rows = [(0, "the quixote wrote to lone@x.example.com in town"), *((k, "the sancho wrote to copied@x.example.com in town") for k in (1, 2, 3))]
+    rows += [(k, f"the common text number{k} wrote to in town") for k in range(10, 60)]
+    told = {r.doc_id: [dict(rows)[r.doc_id][s.begin : s.end] for s in r.told] for r in pii.protect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert told[0] == ["quixote"] and all(told[k] == ["sancho"] for k in (1, 2, 3)) and not any(told[k] for k in range(10, 60))
+
+
 def test_personal_data_of_odd_rows(docs, none):
     spans = pii.protect(docs)
     got = {r.doc_id: [(s.begin, s.kind, s.end) for s in r.base] for r in spans.collect()}

@@ -1,11 +1,12 @@
 """Personal data: patterns, then information-theoretic sanitisation of what stands around them.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. From the whole corpus the operator then
-estimates how strongly a term reveals a protected entity it stands beside: with n documents, PMI(t; e) =
-ln(n * n_te / (n_t * n_e)) is compared with the entity's information IC(e) = ln(n / n_e). A term with
-PMI >= `GENERALISE` * IC(e) gets a span of kind `term`, also where e stands in one text only; from `REMOVE` * IC(e) on
-it is removed instead of being generalised. Counts run over all documents: pairs and terms are
-summed up in each task before they are shuffled, so a frequent entity or word costs each task one row.
+estimates how strongly a term reveals a protected entity that stands in the same document, near or far: with n
+documents, PMI(t; e) = ln(n * n_te / (n_t * n_e)) is compared with the entity's information IC(e) = ln(n / n_e). A term
+with PMI >= `GENERALISE` * IC(e) gets a span of kind `term` wherever it stands in each document that holds e, also where
+e stands in one text only; from `REMOVE` * IC(e) on it is removed instead of being generalised. Counts run over all
+documents, by text and its copies: pairs and terms are summed up in each task before they are shuffled, so a frequent
+entity or word costs each task one row.
 
 Texts that are null count as empty and have no spans. Rows that repeat doc_id and text get equal results; rows with
 one doc_id but different texts are documents of their own. An empty table gives an empty result.
@@ -25,8 +26,6 @@ from pyspark.sql import functions as F
 from .common import batches, strings, table, text_hash, tuned, written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-#: Words on either side of an entity that count as beside it.
-WINDOW = 10
 GENERALISE, REMOVE = 0.75, 0.99
 #: Pre-aggregated terms that a task holds at once.
 HELD_TERMS = 300_000
@@ -76,63 +75,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def beside(text: str, spans: list[tuple[int, int, int]], window: int = WINDOW) -> list[list[tuple[str, int, int]]]:
-    """For each span, the terms within `window` words of it, outside of all spans."""
-    out, reach = [], window * 24 + 64
-    for begin, _, end in spans:
-        found = []
-        low = begin
-        while low > 0 and len(found) < window:  # in steps, for words may be long
-            low = max(0, low - reach)
-            if low and (text[low].isalnum() and text[low - 1].isalnum()) and begin - low < 8 * reach:
-                low = max(0, low - reach)
-            found = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text, low, begin)][-window:]
-            if begin - low >= 8 * reach:
-                break
-        after = []
-        for m in _WORD.finditer(text, end):
-            after.append((m[0].lower(), m.start(), m.end()))
-            if len(after) == window or m.start() - end > 8 * reach:
-                break
-        out.append([t for t in found + after if not any(t[1] < e and b < t[2] for b, _, e in spans)] if len(spans) < 50 else _clear(found + after, spans))
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """All terms outside of the spans, which are in order, with their places."""
+    out, at = [], 0
+    for begin, _, end in [*spans, (len(text), 0, len(text))]:
+        out += [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text, at, begin)]
+        at = max(at, end)
     return out
 
 
-def _clear(terms: list[tuple[str, int, int]], spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
-    from bisect import bisect_left
-
-    begins = [s[0] for s in spans]
-    ends, most = [], 0
-    for s in spans:
-        most = max(most, s[2])
-        ends.append(most)
-    return [t for t in terms if not ((k := bisect_left(begins, t[2])) and ends[k - 1] > t[1])]
-
-
 def digest(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
 _SPAN = pa.struct([("begin", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-_TERM = pa.struct([("term", pa.string()), ("begin", pa.int64()), ("end", pa.int64())])
-_ENTITY = pa.struct([("entity", pa.string()), ("terms", pa.list_(_TERM))])
-FOUND = "base array<struct<begin:bigint,kind:int,end:bigint>>, entities array<struct<entity:string,terms:array<struct<term:string,begin:bigint,end:bigint>>>>"
+_TOLD = pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("removed", pa.bool_())])
+SPANS = "array<struct<begin:bigint,kind:int,end:bigint>>"
+TOLD = "array<struct<begin:bigint,end:bigint,removed:boolean>>"
 
 
-def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, base, entities: the base spans, and each one's value with the terms beside it."""
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, base, entities, text: the base spans, their values, and the text where there are any."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
-            base, entities = [], []
+            base, entities, held = [], [], []
             for text in strings(b.column(2)):
                 spans = base_spans(text)
                 base.append([{"begin": a, "kind": k, "end": e} for a, k, e in spans])
-                entities.append([{"entity": f"{KINDS[k]}:{text[a:e].lower()}", "terms": [{"term": t, "begin": i, "end": j} for t, i, j in terms]} for (a, k, e), terms in zip(spans, beside(text, spans, window), strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.list_(_SPAN)), pa.array(entities, pa.list_(_ENTITY))], names=["doc_id", "text_hash", "base", "entities"])
+                entities.append(sorted({f"{KINDS[k]}:{text[a:e].lower()}" for a, k, e in spans}))
+                held.append(text if spans else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.list_(_SPAN)), pa.array(entities, pa.list_(pa.string())), pa.array(held, pa.string())], names=["doc_id", "text_hash", "base", "entities", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, {FOUND}")
+    return docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, base {SPANS}, entities array<string>, text string")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -142,7 +118,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         found: Counter = Counter()
         for b in batches(rows):
             for text in strings(b.column(0)):
-                found.update(set(_WORD.findall(text.lower())))
+                found.update({w.lower() for w in _WORD.findall(text)})
             if len(found) > HELD_TERMS:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
                 found.clear()
@@ -151,15 +127,51 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing(found: DataFrame, terms: DataFrame, n_docs: int, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """entity, term, share (of the entity's information that the term reveals), removed."""
-    seen = found.where(F.size("entities") > 0).select("doc_id", "text_hash", F.explode("entities").alias("e"))
-    n_e = seen.select("doc_id", "text_hash", "e.entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    pairs = seen.select("doc_id", "text_hash", "e.entity", F.explode("e.terms").alias("t")).select("doc_id", "text_hash", "entity", "t.term").distinct()
-    n_te = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
-    pmi = F.log(F.lit(float(n_docs)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    told = n_te.join(n_e, "entity").join(terms, "term").withColumn("ic", F.log(F.lit(float(n_docs)) / F.col("n_e"))).where(F.col("ic") > 0)
-    return told.withColumn("share", pmi / F.col("ic")).where(F.col("share") >= generalise).select("entity", "term", "share", (F.col("share") >= remove).alias("removed"))
+def _terms_by_text(texts: DataFrame) -> DataFrame:
+    """text_hash, n, term: each text's terms."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(rows):
+            for h, n, base, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                terms = list({t for t, _, _ in terms_of(text, [(s["begin"], s["kind"], s["end"]) for s in base])})
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(terms), pa.int64()), pa.array([n] * len(terms), pa.int64()), pa.array(terms, pa.string())], names=["text_hash", "n", "term"])
+
+    return texts.select("text_hash", "n", "base", "text").mapInArrow(run, "text_hash bigint, n bigint, term string")
+
+
+def disclosing(texts: DataFrame, terms: DataFrame, n_docs: int, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """text_hash, term, removed: the terms of each text that disclose one of its entities.
+
+    texts: text_hash, n (documents with the text), base, entities, text. Entities that stand in the same texts have equal
+    counts with every term, so they are counted as one: a text of many entities costs no product of these and its terms.
+    A term of more than n_docs ** (1 - generalise) * n_e ** generalise documents can't reach the threshold, for n_te <= n_e.
+    """
+    holds = texts.select("text_hash", "n", F.explode("entities").alias("entity"))
+    same = F.struct(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts"), *(F.bit_xor(F.xxhash64("text_hash", F.lit(k))).alias(f"x{k}") for k in (1, 2)))
+    alike = holds.groupBy("entity").agg(same.alias("alike")).where(F.log(F.lit(float(n_docs)) / F.col("alike.n_e")) > 0)
+    alike = holds.join(alike, "entity").select("text_hash", "alike").distinct()
+    known = _terms_by_text(texts).join(terms, "term", "left").withColumn("n_t", F.coalesce("n_t", F.lit(0)))
+    most = F.pow(F.lit(float(n_docs)), F.lit(1 - generalise)) * F.pow(F.col("alike.n_e").cast("double"), F.lit(generalise))
+    pairs = written(known.join(alike, "text_hash").where(F.col("n_t") <= most * 1.000001), "pii-pairs")
+    # A piece of a word that an entity cuts is no whole word anywhere: it has the documents it was seen in.
+    told = pairs.groupBy("alike", "term").agg(F.sum("n").alias("n_te"), F.max("n_t").alias("n_t")).withColumn("n_t", F.greatest("n_t", "n_te"))
+    pmi = F.log(F.lit(float(n_docs)) * F.col("n_te") / (F.col("n_t") * F.col("alike.n_e")))
+    told = told.withColumn("share", pmi / F.log(F.lit(float(n_docs)) / F.col("alike.n_e"))).where(F.col("share") >= generalise).select("alike", "term", (F.col("share") >= remove).alias("removed"))
+    return pairs.join(told, ["alike", "term"]).groupBy("text_hash", "term").agg(F.max("removed").alias("removed"))
+
+
+def _marked(texts: DataFrame) -> DataFrame:
+    """text_hash, told: all places of the terms in `terms`."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(rows):
+            told = []
+            for base, text, terms in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                removed = {t["term"]: t["removed"] for t in terms}
+                told.append([{"begin": i, "end": j, "removed": removed[t]} for t, i, j in terms_of(text, [(s["begin"], s["kind"], s["end"]) for s in base]) if t in removed])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(told, pa.list_(_TOLD))], names=["h", "told"])
+
+    return texts.select("text_hash", "base", "text", "terms").mapInArrow(run, f"h bigint, told {TOLD}")
 
 
 def protect(docs: DataFrame) -> DataFrame:
@@ -167,13 +179,14 @@ def protect(docs: DataFrame) -> DataFrame:
     tuned(docs.sparkSession)
     found = written(find(docs), "pii")
     n_docs = found.count()
-    told = disclosing(found, term_counts(docs), max(n_docs, 1))
-    places = found.where(F.size("entities") > 0).select("doc_id", "text_hash", F.explode("entities").alias("e")).select("doc_id", "text_hash", "e.entity", F.explode("e.terms").alias("t")).select("doc_id", "text_hash", "entity", "t.*")
-    hits = places.join(told, ["entity", "term"]).groupBy("doc_id", "text_hash", "begin", "end").agg(F.max("removed").alias("removed"))
-    by_doc = hits.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.sort_array(F.collect_list(F.struct("begin", "end", "removed"))).alias("told"))
-    out = found.drop("entities").join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
-    none = F.array().cast("array<struct<begin:bigint,end:bigint,removed:boolean>>")
-    return out.select("doc_id", "text_hash", "base", F.coalesce("told", none).alias("told"))
+    held = found.where(F.size("entities") > 0)
+    copies = held.select("doc_id", "text_hash").distinct().groupBy("text_hash").agg(F.count(F.lit(1)).alias("n"))
+    texts = written(held.groupBy("text_hash").agg(*(F.first(c).alias(c) for c in ("base", "entities", "text"))).join(copies, "text_hash"), "pii-texts")
+    told = disclosing(texts, term_counts(docs), max(n_docs, 1)).groupBy("text_hash").agg(F.collect_list(F.struct("term", "removed")).alias("terms"))
+    places = _marked(texts.join(told, "text_hash"))
+    none = F.array().cast(TOLD)
+    out = held.select("doc_id", "text_hash", "base").join(places, F.col("text_hash") == F.col("h"), "left").select("doc_id", "text_hash", "base", F.coalesce("told", none).alias("told"))
+    return out.unionByName(found.where(F.size("entities") == 0).select("doc_id", "text_hash", "base", none.alias("told")))
 
 
 def sanitise(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -221,6 +221,26 @@ def test_disclosure_of_an_entity_of_one_text(spark):
     assert told[0] == ["quixote"] and all(told[k] == ["sancho"] for k in (1, 2, 3)) and not any(told[k] for k in range(10, 60))
 
 
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    """Far from the entity only, near and again far, and behind a very long word; against brute force."""
+    common = " ".join(f"common{k}" for k in range(30))
+    rows = [(0, f"Dulcinea {common} {common} sancho wrote to lone@x.example.com {common} {'y' * 9000} sancho {common} dulcinea日lone@x.example.com")]
+    rows += [(k, f"{common} wrote to" if k % 2 else f"{common} wrote to panza{k % 5}@x.example.com windmill{k % 10} and {common} windmill{k % 10}") for k in range(1, 60)]
+    rows += [(100, rows[2][1]), (101, rows[0][1])]
+    docs, n = spark.createDataFrame(rows, "doc_id long, text string"), len(rows)
+    spans = pii.protect(docs)
+    sets = {d: ({t[a:b].lower() for a, _, b in plain_spans(t)}, {t[i:j].lower() for _, i, j in pii.terms_of(t, plain_spans(t))}) for d, t in rows}
+    n_e = Counter(e for es, _ in sets.values() for e in es)
+    n_t = Counter(t for _, ts in sets.values() for t in ts)
+    n_te = Counter((e, t) for es, ts in sets.values() for e in es for t in ts)
+    told = {(e, t) for (e, t), k in n_te.items() if np.log(n * k / (n_t[t] * n_e[e])) >= pii.GENERALISE * np.log(n / n_e[e]) - 1e-12}
+    want = {d: [(i, j) for w, i, j in pii.terms_of(t, plain_spans(t)) if any((e, w) in told for e in sets[d][0])] for d, t in rows}
+    assert {r.doc_id: [(s.begin, s.end) for s in r.told] for r in spans.collect()} == want
+    clean = {r.doc_id: r.text.lower() for r in pii.sanitise(docs, spans).collect()}
+    assert not any(w in clean[d] for w in ("dulcinea", "sancho", "yyy", "日") for d in (0, 101)) and "common0" in clean[0]
+    assert all(f"windmill{k % 10}" not in clean[k] for k in range(2, 60, 2)) and clean[100] == clean[2] and clean[1] == rows[1][1]
+
+
 def test_personal_data_of_odd_rows(docs, none):
     spans = pii.protect(docs)
     got = {r.doc_id: [(s.begin, s.kind, s.end) for s in r.base] for r in spans.collect()}

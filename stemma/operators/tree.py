@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -161,26 +162,98 @@ def pair_distances(counts: DataFrame, gain: float = SIMPLE_DISTANCE["gain"], los
     return counts.mapInPandas(run, f"group_id {kinds['group_id']}, a {kinds['a']}, b {kinds['b']}, distance double")
 
 
+#: Arrays that a task of `group_distances` holds against all of their group.
+BLOCK = 64
+
+
+def _sides(mine: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Of one array's row of tokens (0 is none) against others: gains, kept tokens, deletion runs, longest first."""
+    own = mine > 0
+    equal = (others == mine) & own
+    fes = np.where(equal.any(1), equal.argmax(1), mine.size)
+    older = np.arange(mine.size) >= fes[:, None]
+    keeps = (older & own).sum(1)
+    starts = np.unique(np.append(np.flatnonzero(own), 0))
+    runs = np.add.reduceat((older & ~own & (others > 0)).astype(np.int32), starts, axis=1)
+    return np.column_stack([own.sum() - keeps, keeps, -np.sort(-runs, axis=1)]).astype(np.int32)
+
+
+def group_distances(alignment: DataFrame, gain: float = SIMPLE_DISTANCE["gain"], loss: float = SIMPLE_DISTANCE["loss"], alpha: float = SIMPLE_DISTANCE["alpha"]) -> DataFrame:
+    """group_id, a, b, distance for all a > b of each group: `pair_distances` of `pair_counts` over all pairs.
+
+    A side's counts are few against the pairs, so each set of counts is fitted once. A task holds one group's tokens.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in alignment.schema.fields}
+    # Cells without a column or a token are none.
+    cell = F.when(F.col("col").isNotNull() & F.col("token").isNotNull(), F.struct("col", "token"))
+    packed = alignment.groupBy("group_id", "array_id").agg(F.collect_list(cell).alias("cells"))
+    packed = packed.select("group_id", "array_id", F.col("cells.col").alias("cols"), F.col("cells.token").alias("tokens"))
+    sizes = packed.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    held = packed.join(sizes, "group_id").withColumn("own", F.pmod(F.xxhash64("array_id"), F.col("blocks")))
+    held = held.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        sizes = [len(c) for c in frame.cols]
+        cols, at = np.unique(np.concatenate(frame.cols.tolist()), return_inverse=True)
+        cells = np.zeros((len(frame), max(len(cols), 1)), np.int32)
+        cells[np.repeat(np.arange(len(frame)), sizes), at] = pd.factorize(np.concatenate(frame.tokens.tolist()))[0] + 1
+        ids, out = frame.array_id.to_numpy(), []
+        for i in np.flatnonzero(frame.own == frame.block):
+            rest = np.arange(len(frame)) != i
+            found = _sides(cells[i], cells[rest])
+            wide = 2 + (found[:, 2:] > 0).sum(1)
+            out.append(pd.DataFrame({"x": ids[i], "y": ids[rest], "side": [r[:n].tobytes() for r, n in zip(found, wide, strict=True)]}))
+        done = pd.concat(out) if out else pd.DataFrame({"x": ids[:0], "y": ids[:0], "side": []})
+        done.insert(0, "group_id", frame.group_id.iloc[0])
+        return done
+
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            counts = [np.frombuffer(s, np.int32).tolist() for s in f.side]
+            # As in pair_distances, runs go from the shortest on.
+            yield pd.DataFrame({"side": f.side, "none": [not g and not runs for g, _, *runs in counts], "time": [side_distance(g, k, runs[::-1], gain, loss, alpha) for g, k, *runs in counts]})
+
+    sides = _held(held.groupBy("group_id", "block").applyInPandas(run, f"group_id {kinds['group_id']}, x {kinds['array_id']}, y {kinds['array_id']}, side binary"))
+    times = sides.select("side").distinct().mapInPandas(fit, "side binary, none boolean, time double")
+    both = sides.join(times, "side").groupBy("group_id", F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).agg(F.min("none").alias("none"), F.sum("time").alias("time"))
+    total = F.when(F.col("none"), F.lit(MIN_BRANCH)).otherwise(F.col("time"))
+    return both.select("group_id", "a", "b", F.least(F.lit(MAX_BRANCH), F.greatest(F.lit(MIN_BRANCH), total)).alias("distance"))
+
+
 Node = tuple[str, str | None, float]
+Distances = dict[tuple[str, str], float] | np.ndarray
+
+
+def _matrix(names: list[str], distance: Distances) -> np.ndarray:
+    """The distances as a matrix in the names' order, zero on its diagonal."""
+    if isinstance(distance, np.ndarray):
+        out = distance.copy()
+    else:
+        at = {n: k for k, n in enumerate(names)}
+        out = np.full((len(names), len(names)), np.nan)
+        for (x, y), v in distance.items():
+            out[at[x], at[y]] = out[at[y], at[x]] = v
+    np.fill_diagonal(out, 0.0)
+    if np.isnan(out).any():
+        raise ValueError("a pair has no distance")
+    return out
 
 
-def upgma(names: list[str], distance: dict[tuple[str, str], float]) -> list[Node]:
+def upgma(names: list[str], distance: Distances) -> list[Node]:
     """(node, parent, branch length) of the tree of average linkage; among equal distances the last pair joins."""
-    d = {frozenset(k): v for k, v in distance.items()}
+    d = _matrix(names, distance)
+    np.fill_diagonal(d, np.inf)
     size, height, at, out, live = dict.fromkeys(names, 1), dict.fromkeys(names, 0.0), 0, [], list(names)
     while len(live) > 1:
-        best = None
-        for i in range(1, len(live)):
-            for j in range(i):
-                v = d[frozenset((live[i], live[j]))]
-                if best is None or v <= best[0]:
-                    best = (v, i, j)
-        v, i, j = best
+        v = float(d.min())
+        rows, cols = np.nonzero(d == v)
+        last = np.flatnonzero(cols < rows)[-1]
+        i, j = int(rows[last]), int(cols[last])
         x, y, at = live[i], live[j], at + 1
         name = f"Inner{at}"
-        for z in live:
-            if z not in (x, y):
-                d[frozenset((name, z))] = (size[x] * d[frozenset((x, z))] + size[y] * d[frozenset((y, z))]) / (size[x] + size[y])
+        d[j] = d[:, j] = (size[x] * d[i] + size[y] * d[j]) / (size[x] + size[y])
+        d[j, j] = np.inf
+        d = np.delete(np.delete(d, i, 0), i, 1)
         out += [(x, name, v / 2 - height[x]), (y, name, v / 2 - height[y])]
         size[name], height[name] = size[x] + size[y], v / 2
         live[j] = name
@@ -188,38 +261,35 @@ def upgma(names: list[str], distance: dict[tuple[str, str], float]) -> list[Node
     return [*out, (live[0], None, 0.0)] if live else []
 
 
-def neighbour_joining(names: list[str], distance: dict[tuple[str, str], float], least: float = MIN_BRANCH) -> list[Node]:
+def neighbour_joining(names: list[str], distance: Distances, least: float = MIN_BRANCH) -> list[Node]:
     """(node, parent, branch length), rooted at the last join; among equal criteria the first pair joins."""
     if len(names) < 2:
         return [(n, None, 0.0) for n in names]
-    d = {frozenset(k): v for k, v in distance.items()}
+    d = _matrix(names, distance)
     live, out, at = list(names), [], 0
+    upper = ~np.tri(len(names), k=-1, dtype=bool)
     while len(live) > 2:
-        total = {x: sum(d[frozenset((x, z))] for z in live if z != x) for x in live}
-        best = None
-        for i in range(1, len(live)):
-            for j in range(i):
-                q = (len(live) - 2) * d[frozenset((live[i], live[j]))] - total[live[i]] - total[live[j]]
-                if best is None or q < best[0]:
-                    best = (q, i, j)
-        _, i, j = best
+        total = [sum(row) for row in d.tolist()]
+        q = (len(live) - 2) * d - np.array(total)[:, None] - np.array(total)
+        q[upper[: len(live), : len(live)]] = np.inf
+        i, j = map(int, divmod(int(q.argmin()), len(live)))
         x, y, at = live[i], live[j], at + 1
-        v = d[frozenset((x, y))]
+        v = float(d[i, j])
         name = f"Inner{at}"
-        lx = (v + (total[x] - total[y]) / (len(live) - 2)) / 2
+        lx = (v + (total[i] - total[j]) / (len(live) - 2)) / 2
         out += [(x, name, max(least, lx)), (y, name, max(least, v - lx))]
-        for z in live:
-            if z not in (x, y):
-                d[frozenset((name, z))] = (d[frozenset((x, z))] + d[frozenset((y, z))] - v) / 2
+        d[j] = d[:, j] = (d[i] + d[j] - v) / 2
+        d[j, j] = 0.0
+        d = np.delete(np.delete(d, i, 0), i, 1)
         live[j] = name
         del live[i]
     x, y = live
     if y.startswith("Inner") or not x.startswith("Inner"):
         x, y = y, x
     if not x.startswith("Inner"):
-        half = max(least, d[frozenset((x, y))] / 2)
+        half = max(least, float(d[0, 1]) / 2)
         return [(x, "Inner1", half), (y, "Inner1", half), ("Inner1", None, 0.0)]
-    return [*out, (y, x, max(least, d[frozenset((x, y))])), (x, None, 0.0)]
+    return [*out, (y, x, max(least, float(d[0, 1]))), (x, None, 0.0)]
 
 
 def midpoint(nodes: list[Node]) -> list[Node]:
@@ -242,7 +312,8 @@ def midpoint(nodes: list[Node]) -> list[Node]:
 
     if len(near) < 3:
         return nodes
-    first = max(tips, key=lambda t: (walk(tips[0])[0][t], t))
+    dist, _ = walk(tips[0])
+    first = max(tips, key=lambda t: (dist[t], t))
     dist, back = walk(first)
     last = max(tips, key=lambda t: (dist[t], t))
     half, x = dist[last] / 2, last
@@ -272,7 +343,10 @@ def build_trees(distances: DataFrame, method: str = "upgma", rooted_at_midpoint:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*frame.a, *frame.b})
-        d = {(str(a), str(b)): float(v) for a, b, v in zip(frame.a, frame.b, frame.distance, strict=True)}
+        at = {n: k for k, n in enumerate(names)}
+        d = np.full((len(names), len(names)), np.nan)
+        a, b = frame.a.map(at).to_numpy(), frame.b.map(at).to_numpy()
+        d[a, b] = d[b, a] = frame.distance
         nodes = (upgma if method == "upgma" else neighbour_joining)([str(n) for n in names], d)
         if rooted_at_midpoint or method == "nj":
             nodes = midpoint(nodes)

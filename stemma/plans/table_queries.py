@@ -145,6 +145,7 @@ runs_b AS (SELECT group_id, a, b, string_agg(n::VARCHAR, ',' ORDER BY rb) AS run
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs within blocks of 20 ids only, as in the SQL twin; `pair_distances` takes all pairs of a group."""
     few = views.event_arrays(spark, sf_dir).withColumn("group_id", F.concat_ws("_", "group_id", F.floor(F.col("array_id") / 20).cast("string"))).withColumn("col", 99 - F.col("token"))
     ids = few.select("group_id", "array_id").distinct()
     pairs = ids.withColumnRenamed("array_id", "a").join(ids.withColumnRenamed("array_id", "b"), "group_id").where(F.col("a") > F.col("b"))
@@ -159,7 +160,7 @@ def pair_counts_and_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.pair_distances(_pairs(spark, sf_dir))
+    return tree.group_distances(views.event_arrays(spark, sf_dir).withColumn("col", 99 - F.col("token")))
 
 
 @query()

@@ -182,6 +182,33 @@ def test_trees(spark):
     assert tree.build_trees(far, "nj").where("parent_id is null").count() == 1
 
 
+def test_group_distances_of_all_pairs(spark):
+    """Over ids of several blocks of 20, with tokens that differ in a column, against the counts of each pair."""
+    import random
+
+    r = random.Random(5)
+    rows = [(g, 7 * k, c, r.choice([c, c, c, 50 + c])) for g, n in (("g", 30), ("h", 2), ("lone", 1)) for k in range(n) for c in range(12) if r.random() < 0.5]
+    alignment = spark.createDataFrame(rows, "group_id string, array_id long, col int, token int")
+    ids = {g: sorted({x[1] for x in rows if x[0] == g}) for g in ("g", "h", "lone")}
+    pairs = spark.createDataFrame([(g, a, b) for g, of in ids.items() for a in of for b in of if a > b], "group_id string, a long, b long")
+    got = {(x.group_id, x.a, x.b): x.distance for x in tree.group_distances(alignment).collect()}
+    want = {(x.group_id, x.a, x.b): x.distance for x in tree.pair_distances(arrays.pair_counts(alignment, pairs)).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(v, want[k], rel_tol=1e-8) for k, v in got.items())
+    assert len(got) == sum(len(v) * (len(v) - 1) // 2 for v in ids.values())
+
+
+def test_distance_queries_take_whole_groups(spark, data):
+    from stemma import views
+    from stemma.plans import table_queries
+
+    sizes = {x.group_id: x.n for x in views.event_arrays(spark, data).groupBy("group_id").agg(F.countDistinct("array_id").alias("n")).collect()}
+    assert {x.group_id: x["count"] for x in table_queries.pair_distances(spark, data).groupBy("group_id").count().collect()} == {g: n * (n - 1) // 2 for g, n in sizes.items()}
+    for query in (table_queries.upgma_trees, table_queries.neighbour_joining_trees):
+        nodes = [(x.group_id, x.node_id, x.parent_id) for x in query(spark, data).collect()]
+        inner = {(g, p) for g, _, p in nodes}
+        assert {g: sum((g, n) not in inner for h, n, _ in nodes if h == g) for g in sizes} == sizes
+
+
 def test_alignment(spark):
     held = {"A": "321", "B": "4217", "C": "6527", "D": "3217"}
     got = align.align_groups(long(spark, held)).collect()

@@ -8,9 +8,10 @@ import gc
 import os
 import uuid
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a batch sent to Python; texts may be long, so batches are kept short.
@@ -29,9 +30,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set."""
+    """The folder of this application's tables, in the folder that driver and executors share.
+
+    A folder of our own, below the warehouse, only where none is set and no other machine needs it. The tables go when
+    the application ends.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "stemma_checkpoints")).rstrip("/")
+    if not found:
+        found = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "stemma_checkpoints")
+        if not spark.sparkContext.master.startswith("local") and urlsplit(found).scheme in ("", "file"):
+            raise ValueError("spark.checkpoint.dir isn't set, and the warehouse is on this machine alone")
+    folder = f"{found.rstrip('/')}/stemma-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
+
+
+_folders: set[str] = set()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,7 +58,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stemma_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of `written` that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stemma_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def before(df: DataFrame, order: list[str | Column], keys: list[str], name: str, **sums: Column) -> DataFrame:
+    """A written table of df with, for each of `sums`, its sum over the rows that come before in `order`, by `keys`.
+
+    Rows are dealt out by ranges of keys and order, summed up inside their range and then over ranges, so no task needs
+    all rows of a key. The table of ranges has a row for each key of each partition at most.
+    """
+    part = fresh(df, "__part")[0]
+    held = written(df.withColumns({f"__{n}": c for n, c in sums.items()}).repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id()), name)
+    inside = Window.partitionBy(part, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    ranges = held.groupBy(part, *keys).agg(*(F.sum(f"__{n}").alias(f"__{n}") for n in sums))
+    ranges = ranges.select(F.col(part).alias("__range"), *(F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)), *(zero(F.sum(f"__{n}").over(earlier)).alias(f"__all_{n}") for n in sums))
+    same = F.col(part) == F.col("__range")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    out = held.withColumns({f"__{n}": zero(F.sum(f"__{n}").over(inside)) for n in sums}).join(ranges, same)
+    return out.withColumns({n: F.col(f"__{n}") + F.col(f"__all_{n}") for n in sums}).select(*(F.col(f"`{c}`") for c in df.columns), *sums)
 
 
 def text_hash(text: Column) -> Column:

@@ -5,11 +5,13 @@ each, dealt into output shards. Every slot draws its source, so that a shard's s
 targets as probabilities; the k-th slot of a source holds the block that the source's pseudorandom permutation maps k
 to, and a second permutation serves a source's second pass. Slots and blocks are joined by source and index.
 Draws beyond a source's quota, its target in blocks, are dealt again to sources that drew too few, so that no block is
-taken more than twice and every source's words come within about a block of its target.
+taken more than twice. A source's last block may be short, and its last slot takes a part of a block, so that every
+source's words are its target, rounded.
 
 Offsets come from prefix sums over hash buckets of a source's documents and over shards, about the square root of the
-rows in number, so a source of any size is spread over tasks. The tables of sources and drawn intervals are joined;
-Spark broadcasts them only below its size threshold.
+rows in number, so a source of any size is spread over tasks. Sources are numbered, filled up and given their slots by
+sums over ranges, so there may be any number of them. The tables of sources and drawn intervals are joined; Spark
+broadcasts them only below its size threshold.
 
 A null source is a source of its own, behind the others; null texts have 0 words. Documents without words are never
 taken. Rows that repeat are documents of their own. An empty table gives an empty result.
@@ -22,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, table, text_hash, written
+from .common import before, fresh, table, text_hash, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block; slots of a shard, at least.
@@ -40,26 +42,38 @@ def sized(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """source, k (its place), source_size, target. One row for each source: its windows have few rows."""
+    """source, k (its place), source_size, target. Sources are numbered and filled up by sums over ranges of them."""
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    every = Window.partitionBy(F.lit(0))
-    s = s.withColumn("k", F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())) - 1)
+    s = before(s, [F.col("source").asc_nulls_last()], [], "sources", k=F.lit(1))
     s = s.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("k") % len(weights) + 1).cast("int"))).withColumn("cap", F.lit(most) * F.col("source_size"))
+    words, weight = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
     # Sources fill up in the order of cap / weight; `level` is what a weight of 1 gets if all before are full.
-    before = every.orderBy(F.col("cap") / F.col("w"), "k").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0)
-    s = s.withColumn("level", (F.sum("source_size").over(every) * share - F.coalesce(F.sum("cap").over(before), zero)) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), zero)))
-    s = s.withColumn("full", F.col("cap") / F.col("w") <= F.col("level"))
-    level = F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("w"), "k", "level"))).over(every)["level"]
-    return s.withColumn("rest", level).select("source", "k", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("rest") * F.col("w")).alias("target"))
+    s = before(s.withColumn("turn", F.col("cap") / F.col("w")), ["turn", "k"], [], "levels", caps=F.col("cap"), ws=F.col("w"))
+    s = s.withColumn("level", (F.lit(words) * share - F.col("caps")) / (F.lit(weight) - F.col("ws"))).withColumn("full", F.col("turn") <= F.col("level"))
+    # Where all are full there is no level, and none needs it.
+    level = (s.where(~F.col("full")).agg(F.min(F.struct("turn", "k", "level"))).first()[0] or {"level": 0.0})["level"]
+    return s.select("source", "k", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.lit(float(level)) * F.col("w")).alias("target"))
 
 
-def quotas(sources: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
-    """sources with n_blocks and quota (slots); [low, high) is a source's part of all slots."""
-    n = F.ceil(F.col("source_size") / block).cast("long")
-    s = sources.withColumn("n_blocks", n).withColumn("quota", F.when(F.col("target") >= most * F.col("source_size"), most * n).otherwise(F.least(F.round(F.col("target") / block).cast("long"), most * n)))
-    s = s.select("*", *constants(n))
-    return s.withColumn("high", F.sum("quota").over(Window.partitionBy(F.lit(0)).orderBy("k").rowsBetween(Window.unboundedPreceding, 0))).withColumn("low", F.col("high") - F.col("quota"))
+def quotas(sources: DataFrame, block: int = BLOCK, most: int = MOST, seed: int = SEED) -> DataFrame:
+    """sources with n_blocks, quota (slots) and what makes their words meet the target to the word.
+
+    Whole passes take all blocks. In a last, partial pass the short block comes at `place`, for which it changes places
+    with the block that the permutation has there, `instead`; the last slot takes the first `last` words of its block.
+    [low, high) is a source's part of all slots.
+    """
+    s = sources.withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long")).withColumn("turns", F.greatest("n_blocks", F.lit(1)))
+    s = s.withColumn("words", F.least(F.round("target").cast("long"), most * F.col("source_size")))
+    s = s.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long"))
+    s = s.withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size")).withColumn("short", F.col("n_blocks") * block - F.col("source_size"))
+    s = s.select("*", *constants(F.col("turns"))).withColumn("place", F.pmod(F.xxhash64(F.lit(seed), F.lit("short"), "k"), F.col("turns")))
+    s = permuted(s, "instead", "place", "turns", F.col("k"), F.col("passes"), seed=seed)
+    held = lambda slots: slots * block - F.when(F.col("place") < slots, F.col("short")).otherwise(0)
+    s = s.withColumn("slots", F.ceil(F.col("rest") / block).cast("long"))
+    s = s.withColumn("slots", F.col("slots") + (held(F.col("slots")) < F.col("rest")).cast("long"))
+    s = s.withColumn("last", F.when(F.col("slots") > 0, F.col("rest") - held(F.col("slots") - 1)).otherwise(block).cast("int")).withColumn("quota", F.col("passes") * F.col("n_blocks") + F.col("slots"))
+    s = before(s.drop("turns", "words", "rest", "short", "slots"), ["k"], [], "quotas", low=F.col("quota"))
+    return s.withColumn("high", F.col("low") + F.col("quota"))
 
 
 def constants(n: Column) -> list[Column]:
@@ -96,29 +110,24 @@ def draw(sources: DataFrame, n_slots: int, n_sources: int, seed: int = SEED, sha
     counts = drawn.groupBy("shard", "k").agg(F.count(F.lit(1)).alias("n"))
     by_source = Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     ends = written(counts.withColumn("end", F.sum("n").over(by_source)), "draws")
-    own = ["n_blocks", "factor", "power", "half"]
-    facts = sources.select("k", "quota", *own)
+    own = ["n_blocks", "factor", "power", "half", "passes", "place", "instead", "last", "quota"]
+    facts = sources.select("k", *own)
     # Few intervals stand for many slots: spread them by what they will be.
     ends = ends.join(facts, "k").withColumn("begin", F.col("end") - F.col("n")).repartition(max(1, min(20_000, n_slots // 100_000)), "shard", "k")
     kept = ends.where(F.col("begin") < F.col("quota")).select("shard", "k", *own, F.explode(F.sequence("begin", F.least("end", "quota") - 1)).alias("ordinal"))
     # The few draws beyond quotas, at the last shards, are numbered and meet the numbered slots that quotas still lack.
-    every = Window.partitionBy(F.lit(0))
-    upto = lambda *by: every.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    over = ends.withColumn("extra", F.least("n", F.col("end") - F.col("quota"))).where(F.col("extra") > 0)
-    over = over.select("shard", F.col("extra"), F.sum("extra").over(upto("shard", "k")).alias("to")).select("shard", F.explode(F.sequence(F.col("to") - F.col("extra"), F.col("to") - 1)).alias("number"))
-    had = counts_of(ends)
+    numbers = lambda n: F.explode(F.sequence("at", F.col("at") + F.col(n) - 1)).alias("number")
+    over = ends.select("shard", "k", F.least("n", F.col("end") - F.col("quota")).alias("extra")).where(F.col("extra") > 0)
+    over = before(over, ["shard", "k"], [], "draws-over", at=F.col("extra")).select("shard", numbers("extra"))
+    had = ends.groupBy("k").agg(F.sum("n").alias("had"))
     lack = facts.join(had, "k", "left").withColumn("had", F.coalesce("had", F.lit(0))).withColumn("missing", F.col("quota") - F.col("had")).where(F.col("missing") > 0)
-    lack = lack.withColumn("to", F.sum("missing").over(upto("k"))).select("k", *own, "had", (F.col("to") - F.col("missing")).alias("first"), F.explode(F.sequence(F.col("to") - F.col("missing"), F.col("to") - 1)).alias("number"))
+    lack = before(lack, ["k"], [], "draws-missing", at=F.col("missing")).select("k", *own, "had", F.col("at").alias("first"), numbers("missing"))
     dealt = over.join(lack, "number").select("shard", "k", *own, (F.col("had") + F.col("number") - F.col("first")).alias("ordinal"))
     return kept.unionByName(dealt)
 
 
-def counts_of(ends: DataFrame) -> DataFrame:
-    return ends.groupBy("k").agg(F.sum("n").alias("had"))
-
-
 def pieces(sizes: DataFrame, sources: DataFrame, n_docs: int, block: int = BLOCK) -> DataFrame:
-    """row, k, block, first (word in the document), words: how documents lie in their sources' blocks."""
+    """row, k, block, inside (word in the block), first (word in the document), words: how documents lie in blocks."""
     n = max(1, math.isqrt(n_docs))
     rows = sizes.where(F.col("size") > 0).join(sources.select(F.col("source").alias("s"), "k"), F.col("source").eqNullSafe(F.col("s")))
     rows = rows.select("row", "doc_id", "h", "size", "k", F.pmod(F.xxhash64("doc_id", "h"), F.lit(n)).alias("bucket"))
@@ -128,19 +137,24 @@ def pieces(sizes: DataFrame, sources: DataFrame, n_docs: int, block: int = BLOCK
     placed = rows.join(sums, ["k", "bucket"]).withColumn("at", F.col("before") + F.sum("size").over(here) - F.col("size"))
     exploded = placed.select("row", "k", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
     first = F.greatest(F.col("at"), F.col("block") * block)
-    return exploded.select("row", "k", "block", (first - F.col("at")).alias("first"), (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - first).alias("words"))
+    return exploded.select("row", "k", "block", (first - F.col("block") * block).cast("int").alias("inside"), (first - F.col("at")).alias("first"), (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - first).alias("words"))
 
 
 def mix(sizes: DataFrame, seed: int = SEED, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(sources, taken): taken has shard, pass, row, k, block, first, words for each piece of a document in the mix."""
     spark = sizes.sparkSession
-    sources = written(quotas(targets(sizes), block), "sources")
+    sources = written(quotas(targets(sizes), block, seed=seed), "sources")
     n_slots, n_sources = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count(F.lit(1))).first()
     if not n_slots:
-        return sources, spark.createDataFrame([], "shard bigint, pass bigint, row bigint, k int, block bigint, first bigint, words bigint")
+        return sources, spark.createDataFrame([], "shard bigint, pass bigint, row bigint, k bigint, block bigint, first bigint, words bigint")
     slots = draw(sources, n_slots, n_sources, seed).withColumn("pass", F.floor(F.col("ordinal") / F.col("n_blocks"))).withColumn("turn", F.col("ordinal") % F.col("n_blocks"))
-    slots = permuted(slots, "block", "turn", "n_blocks", F.col("k"), F.col("pass"), seed=seed).select("shard", "pass", "k", "block")
-    return sources, slots.join(pieces(sizes, sources, sizes.count(), block), ["k", "block"])
+    slots = permuted(slots, "to", "turn", "n_blocks", F.col("k"), F.col("pass"), seed=seed)
+    short = F.col("n_blocks") - 1
+    changed = F.when(F.col("turn") == F.col("place"), short).when(F.col("to") == short, F.col("instead")).otherwise(F.col("to"))
+    slots = slots.withColumn("block", F.when(F.col("pass") == F.col("passes"), changed).otherwise(F.col("to")))
+    slots = slots.select("shard", "pass", "k", "block", F.when(F.col("ordinal") == F.col("quota") - 1, F.col("last")).otherwise(block).alias("most"))
+    found = slots.join(pieces(sizes, sources, sizes.count(), block), ["k", "block"]).withColumn("words", F.least(F.col("words"), F.col("most") - F.col("inside")))
+    return sources, found.where(F.col("words") > 0).select("shard", "pass", "row", "k", "block", "first", "words")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

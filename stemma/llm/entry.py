@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op4_ivfpq_neighbours
+from .chat import ORACLE as CHAT_SQL
 from .chat import op8_chat_prefix_targets
 from .group_join import op10_group_join
 from .line_dedup import ORACLE as LINE_DEDUP_SQL
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op8_chat_prefix_targets": CHAT_SQL}

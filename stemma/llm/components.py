@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("component").alias("was"), F.least("component", "near").alias("lower"))
         owner = labels.select(F.col("node").alias("o"), F.col("component").alias("owned"))
         moved = written(lower.join(owner, F.col("lower") == F.col("o"), "left").select("node", "was", F.least("lower", "owned").alias("component")), "labels")
-        labels = moved.select("node", "component")
+        dropped(labels)
+        labels = moved
         if moved.where(F.col("was") != F.col("component")).isEmpty():
-            return labels
+            dropped(both)
+            out = moved.select("node", "component")
+            out._stemma_path = moved._stemma_path
+            return out

@@ -18,12 +18,16 @@ among the documents of the nodes that it reaches.
 
 Documents without words are linked with nothing: n_shingles 0 and their own doc_id as component. Null texts count as
 empty. Rows that repeat doc_id are documents of their own; a null doc_id never names a component unless all are null.
-An empty table gives an empty result. Sets with equal 64-bit signatures are taken as equal.
+An empty table gives an empty result.
+
+Shingles are equal where their 64-bit hashes are: no bit is lost on the way to the comparison. Sets are equal where 128
+bits are: nodes go by 64 of them, and where two sets have these in common but not the other 64, by a mix of both.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -32,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, fresh, release, table, tuned, written
+from .common import batches, dropped, fresh, release, table, tuned, written
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -40,6 +44,8 @@ WORDS, PERCENT = 5, 80
 ROUNDS, HUBS, LOOKED_UP = 3, 8, 4
 #: Shingles of a bucket of the frequency count, and that a task holds before it deals them out.
 BUCKET, FLUSH = 3_000_000, 2_000_000
+#: With so many buckets at least, a hash's place in its bucket has 7 bytes.
+LEAST_BUCKETS = 256
 #: Bytes of text that are hashed at once.
 PIECE = 1_000_000
 
@@ -114,8 +120,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h, np.diff(np.searchsorted(p, offsets))
 
 
-def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text one after another, their numbers, and the sets' signatures."""
+def shingles(texts: pa.Array, words: int = WORDS, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text one after another, their numbers, and the sets' two signatures.
+
+    bits: how many the first signature has; fewer than 64 make different sets meet, for tests.
+    """
     h, counts = word_hashes(texts)
     ends = np.cumsum(counts)
     out, sizes = [], np.zeros(len(counts), np.int64)
@@ -135,26 +144,49 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
         sizes[i] = len(s)
         out.append(s)
     flat = np.concatenate(out) if out else np.empty(0, _U)
-    signs = np.zeros(len(counts), _U)
+    signs = [np.zeros(len(counts), _U), np.zeros(len(counts), _U)]
     full = sizes > 0
     if full.any():
         starts = np.cumsum(sizes[full]) - sizes[full]
-        signs[full] = _scramble(np.add.reduceat(_scramble(flat ^ _MIX[1]), starts) + sizes[full].astype(_U))
-    return flat, sizes, signs.view(np.int64)
+        for k, sign in enumerate(signs):
+            sign[full] = _scramble(np.add.reduceat(_scramble(flat ^ _MIX[k + 1]), starts) + sizes[full].astype(_U) * _MIX[4])
+    return flat, sizes, (signs[0] & _U((1 << bits) - 1)).view(np.int64), signs[1].view(np.int64)
 
 
-def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n, node for every row."""
+def node_ids(signs: np.ndarray, others: np.ndarray, clashing: np.ndarray) -> np.ndarray:
+    """A node's id: its first signature; where that is clashing, mixed with the other one. clashing is sorted."""
+    if not len(clashing) or not len(signs):
+        return signs
+    at = np.minimum(np.searchsorted(clashing, signs), len(clashing) - 1)
+    return np.where(clashing[at] == signs, _scramble(signs.view(_U) ^ _scramble(others.view(_U))).view(np.int64), signs)
+
+
+def signatures(docs: DataFrame, words: int = WORDS, bits: int = 64) -> tuple[DataFrame, np.ndarray]:
+    """A written table with doc_id, n, node for every row, and the clashing first signatures, sorted.
+
+    Of n different sets some n * n / 2 ** 65 pairs clash, a few at 10 ** 10: that is the length of the driver's list.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
-            _, sizes, signs = shingles(b.column(1), words)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(signs)], names=["doc_id", "n", "node"])
+            _, sizes, signs, others = shingles(b.column(1), words, bits)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(signs), pa.array(others)], names=["doc_id", "n", "node", "other"])
         _powers.clear()
         release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, node bigint")
+    signed = written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, node bigint, other bigint"), "signatures")
+    several = signed.where(F.col("n") > 0).groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high")).where(F.col("low") != F.col("high"))
+    clashing = np.sort(np.array([r[0] for r in several.select("node").collect()], np.int64))
+    if not len(clashing):
+        return signed.drop("other"), clashing
+
+    def told_apart(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(rows):
+            ids = node_ids(b.column(2).to_numpy(), b.column(3).to_numpy(), clashing)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids)], names=["doc_id", "n", "node"])
+
+    return written(signed.mapInArrow(told_apart, f"doc_id {kind}, n bigint, node bigint"), "signatures"), clashing
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -177,13 +209,14 @@ def _dealt(parts: np.ndarray, n_parts: int, *columns: np.ndarray) -> Iterator[tu
             yield p, [c[order[bounds[p] : bounds[p + 1]]] for c in columns]
 
 
-def shared_shingles(docs: DataFrame, n_shingles: int, words: int = WORDS, percent: int = PERCENT, bucket: int = BUCKET) -> DataFrame:
+def shared_shingles(docs: DataFrame, n_shingles: int, words: int = WORDS, percent: int = PERCENT, bucket: int = BUCKET, clashing: np.ndarray | None = None, bits: int = 64) -> DataFrame:
     """node, n, tokens: the nodes that may have links, with all shingles that other nodes have too, rare ones first."""
-    n_buckets = max(8, -(-n_shingles // bucket))
+    n_buckets = max(LEAST_BUCKETS, -(-n_shingles // bucket))
     width = _U((1 << 64) // n_buckets + 1)
+    clashing = np.empty(0, np.int64) if clashing is None else clashing
 
     def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A blob for each bucket: hashes without their lowest 16 bits, nodes and sizes, hashes of each node."""
+        """A blob for each bucket: the hashes' places in it in 7 bytes, nodes and sizes, hashes of each node."""
         held: list[tuple] = []
         n = 0
 
@@ -194,14 +227,14 @@ def shared_shingles(docs: DataFrame, n_shingles: int, words: int = WORDS, percen
             buckets, blobs = [], []
             for p, (h, i) in _dealt((flat // width).astype(np.int32), n_buckets, flat, at):
                 present, counts = np.unique(i, return_counts=True)
-                h = h >> _U(16)
+                h = h - _U(p) * width
                 buckets.append(p)
-                blobs.append(_packed((h >> _U(16)).astype(np.uint32), (h & _U(0xFFFF)).astype(np.uint16), signs[present], sizes[present].astype(np.int32), counts.astype(np.int32)))
+                blobs.append(_packed((h >> _U(24)).astype(np.uint32), (h >> _U(8) & _U(0xFFFF)).astype(np.uint16), (h & _U(0xFF)).astype(np.uint8), signs[present], sizes[present].astype(np.int32), counts.astype(np.int32)))
             return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for b in batches(rows):
-            got = shingles(b.column(0), words)
-            held.append(got)
+            flat, sizes, signs, others = got = shingles(b.column(0), words, bits)
+            held.append((flat, sizes, node_ids(signs, others, clashing)))
             n += len(got[0])
             if n >= FLUSH:
                 yield flush()
@@ -212,12 +245,12 @@ def shared_shingles(docs: DataFrame, n_shingles: int, words: int = WORDS, percen
         _powers.clear()
         release()
 
-    def count(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def count(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         """Of one bucket: the hashes that several nodes have, dealt out by node."""
-        parts = [_unpacked(x, np.uint32, np.uint16, np.int64, np.int32, np.int32) for x in frame["blob"]]
-        h = np.concatenate([(p[0].astype(_U) << _U(16)) | p[1] for p in parts])
-        node = np.concatenate([np.repeat(p[2], p[4]) for p in parts])
-        size = np.concatenate([np.repeat(p[3], p[4]) for p in parts])
+        parts = [_unpacked(x, np.uint32, np.uint16, np.uint8, np.int64, np.int32, np.int32) for x in frame["blob"]]
+        h = np.concatenate([(p[0].astype(_U) << _U(24)) | (p[1].astype(_U) << _U(8)) | p[2] for p in parts]) + _U(key[0]) * width
+        node = np.concatenate([np.repeat(p[3], p[5]) for p in parts])
+        size = np.concatenate([np.repeat(p[4], p[5]) for p in parts])
         order = np.argsort(h)
         h = h[order]
         again = np.zeros(len(h), bool)
@@ -241,7 +274,7 @@ def shared_shingles(docs: DataFrame, n_shingles: int, words: int = WORDS, percen
         release()
         return out
 
-    def gather(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def gather(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         """Of one part of the nodes: those that have enough shared hashes, with them."""
         parts = [_unpacked(x, np.int64, np.int64, np.int32, np.int32) for x in frame["blob"]]
         h, node, size, df = (np.concatenate([p[k] for p in parts]) for k in range(4))
@@ -304,9 +337,13 @@ def links(nodes: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, hubs:
         """labels, after the pairs that hold have joined their components."""
         joined = written(verified(pairs.distinct(), held.join(labels, "node"), percent).distinct(), "links")
         if joined.isEmpty():
+            dropped(joined)
             return labels
-        moved = components(joined).withColumnRenamed("component", "to").withColumnRenamed("node", "c")
-        return written(labels.join(moved, F.col("component") == F.col("c"), "left").select("node", F.coalesce("to", "component").alias("component")), "components")
+        found = components(joined)
+        moved = found.withColumnRenamed("component", "to").withColumnRenamed("node", "c")
+        out = written(labels.join(moved, F.col("component") == F.col("c"), "left").select("node", F.coalesce("to", "component").alias("component")), "components")
+        dropped(joined, found)
+        return out
 
     # Inside a group: every node against the group's first.
     labels = merged(members.where(F.col("leader") != F.col("node")).select(F.col("leader").alias("a"), F.col("node").alias("b")), labels)
@@ -314,6 +351,7 @@ def links(nodes: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, hubs:
         some = open_lists(lists.where(F.col("place") < LOOKED_UP * 4**r).select("token", "leader", "n", "alone"))
         some = written(some, "open")
         if some.isEmpty():
+            dropped(some)
             continue
         # First those that have most in common with others, then any.
         turn = [F.col("alone")] if r == 0 else []
@@ -323,6 +361,7 @@ def links(nodes: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, hubs:
         near = some.join(chosen, "token").where((F.col("leader") != F.col("hub")) & _fits("n", "m", F.col("n") - F.col("alone"), F.col("m") - F.col("alone2"), percent) & apart).select("leader", "hub").distinct()
         pairs = near.join(members, "leader").select(F.col("node").alias("a"), F.col("hub").alias("b"))
         labels = merged(pairs, labels)
+        dropped(some)
     # All that is left, group by group.
     rest = written(open_lists(lists.select("token", "leader", "n", "alone", "place")), "open")
     if not rest.isEmpty():
@@ -339,6 +378,7 @@ def links(nodes: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, hubs:
         near = left.join(right, (left["token"] == right["token"]) & (F.col("g") < F.col("h")) & _fits("n1", "n2", F.col("left1"), F.col("left2"), percent) & apart & first).select("g", "h")
         one, two = members.select(F.col("leader").alias("g"), F.col("node").alias("a")), members.select(F.col("leader").alias("h"), F.col("node").alias("b"))
         labels = merged(near.join(one, "g").join(two, "h").select("a", "b"), labels)
+    dropped(rest, lists)
     # Groups whose nodes are still apart: their nodes against each other.
     mixed = of_groups().where(F.col("component").isNull()).select("leader")
     if not mixed.isEmpty():
@@ -348,12 +388,12 @@ def links(nodes: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, hubs:
     return labels
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     tuned(docs.sparkSession)
-    signed = written(signatures(docs, words), "signatures")
+    signed, clashing = signatures(docs, words, bits)
     n_shingles = signed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    nodes = shared_shingles(docs, n_shingles, words, percent)
+    nodes = shared_shingles(docs, n_shingles, words, percent, clashing=clashing, bits=bits)
     found = links(nodes, percent)
     # Of every node, the smallest doc_id; of every component, the smallest of its nodes'.
     names = signed.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("own"))

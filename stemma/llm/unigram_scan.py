@@ -2,9 +2,11 @@
 
 The best segmentation of a text maximises the sum of its pieces' scores, a shortest-path problem over (max, +). A text
 is cut into chunks of `CHUNK` characters. A boundary's state is how far the piece that crosses it reaches into the next
-chunk, so a chunk is a matrix of best scores from states to states; matrices combine associatively. A scan over them
-gives the best score of every state at every boundary, a second scan, from the end, the state that the best path takes
-there, and then every chunk is backtraced independently of the others. Texts of one chunk need no scan.
+chunk, so a chunk is a matrix of best scores from states to states. Matrices combine associatively: `FAN` neighbours
+at a time, level by level, until a text has `FAN` of them at most, so a text of any length is many small tasks and a
+logarithm of levels. Walking down again gives the best score of every state at every boundary. A second such scan, of
+the maps from a chunk's last state to its first, gives the state that the best path takes there, and then every chunk
+is backtraced independently of the others. Texts of one chunk need no scan.
 
 Inside a chunk the lattice falls apart wherever a blank follows another character, for no piece has a blank there; the
 segmentations of these words are kept in a bounded cache of the worker.
@@ -25,12 +27,15 @@ result.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +45,8 @@ from .token_counts import model_path, pre_tokens
 
 BLANK = "▁"
 CHUNK = 1 << 15
+#: Neighbouring chunks, or blocks of them, that are combined at once.
+FAN = 8
 GRAIN = 1 / (1 << 20)
 CACHE_SIZE = 700_000
 LONGEST_CACHED = 48
@@ -270,26 +277,67 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def scan(matrices: list[np.ndarray]) -> list[np.ndarray]:
-    """Best scores of the states at each chunk's begin, from those at the text's begin."""
-    k = len(matrices[0]) if matrices else 1
-    at, out = np.full(k, NONE), []
-    at[0] = 0.0
+def product(matrices: list[bytes]) -> bytes:
+    """The max-plus product of neighbours, in order, pair by pair."""
+    k = math.isqrt(len(matrices[0]) // 8)
+    held = [np.frombuffer(m).reshape(k, k) for m in matrices]
+    while len(held) > 1:
+        held = [combine(*held[i : i + 2]) if i + 1 < len(held) else held[i] for i in range(0, len(held), 2)]
+    return held[0].tobytes()
+
+
+def walk(at: bytes, matrices: list[bytes]) -> list[bytes]:
+    """Best scores of the states at the begin of each of a few neighbours, from those at the first one's."""
+    best, out = np.frombuffer(at), []
     for m in matrices:
-        out.append(at)
-        at = (at[:, None] + m).max(axis=0)
+        out.append(best.tobytes())
+        best = (best[:, None] + np.frombuffer(m).reshape(len(best), -1)).max(axis=0)
     return out
 
 
-def scan_back(maps: list[list[int]]) -> list[int]:
-    """The state at each chunk's end that the best path of the text has; it ends in state 0."""
-    out, state = [0] * len(maps), 0
+def map_product(maps: list[bytes]) -> bytes:
+    """The map from the last one's states to the first one's; -1 stands for no state."""
+    to = np.frombuffer(maps[-1], np.int32)
+    for m in maps[-2::-1]:
+        to = np.where(to < 0, to, np.frombuffer(m, np.int32)[to])
+    return to.astype(np.int32).tobytes()
+
+
+def walk_back(at: bytes, maps: list[bytes]) -> list[bytes]:
+    """The state at the end of each of a few neighbours, from that at the last one's."""
+    out, state = [b""] * len(maps), int(np.frombuffer(at, np.int32)[0])
     for k in range(len(maps) - 1, -1, -1):
-        out[k] = state
-        state = maps[k][state]
+        out[k] = np.array([state], np.int32).tobytes()
+        state = int(np.frombuffer(maps[k], np.int32)[state])
     return out
 
 
+def sweep(items: DataFrame, most: int, combined: Callable[[list[bytes]], bytes], walked: Callable[[bytes, list[bytes]], list[bytes]], start: bytes, fan: int = FAN) -> DataFrame:
+    """__row, no, at: the state at every item; items: a written table of __row, no, m, at most `most` for each __row.
+
+    combined is associative. walked gives the states at a few neighbours from that of their block; `start` is a row's.
+    """
+
+    def up(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"__row": [key[0]], "no": [key[1]], "m": [combined(list(frame.sort_values("no")["m"]))]})
+
+    def down(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("no")
+        return frame[["__row", "no"]].assign(at=walked(frame["at"].iloc[0], list(frame["m"])))
+
+    block = F.floor(F.col("no") / fan).alias("block")
+    levels = [items]
+    while most > fan:
+        most = -(-most // fan)
+        levels.append(written(levels[-1].select("__row", "no", "m", block).groupBy("__row", "block").applyInPandas(up, "__row bigint, no bigint, m binary"), "scan"))
+    at = levels[-1].select("__row", F.lit(0).cast("long").alias("block"), "no", "m", F.lit(start).alias("at"))
+    for below in [*levels[-2::-1], None]:
+        at = at.groupBy("__row", "block").applyInPandas(down, "__row bigint, no bigint, at binary")
+        if below is not None:
+            at = below.select("__row", block, "no", "m").join(at.select("__row", F.col("no").alias("block"), "at"), ["__row", "block"])
+    return at
+
+
 _held: dict[str, Vocabulary] = {}
 
 
@@ -334,11 +382,6 @@ def encode(docs: DataFrame, model: bytes, carried: list[str], chunk: int = CHUNK
     whole = given.where(F.length("__text") < chunk).mapInArrow(small, out_types)
     giant = given.where(F.length("__text") >= chunk)
 
-    def joined_unknown(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(shared.value)
-        for b in batches(rows):
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([v.merged(x) for x in b.column(n).to_pylist()], pa.binary())], names=[*carried, "ids"])
-
     def pieces(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for i in range(b.num_rows):
@@ -358,41 +401,42 @@ def encode(docs: DataFrame, model: bytes, carried: list[str], chunk: int = CHUNK
             got = [Chunk(v, s, z, c).matrix().tobytes() for s, z, c in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["__row", "no", "m"])
 
-    def scanned(key, frame):
-        frame = frame.sort_values("no")
-        got = scan([np.frombuffer(m).reshape(reach, reach) for m in frame["m"]])
-        frame["m"] = [x.tobytes() for x in got]
-        return frame
-
     # A chunk's matrix is a small part of the chunk, so a text's matrices are far smaller than the text.
-    first = bare.mapInArrow(matrices, "__row bigint, no bigint, m binary").groupBy("__row").applyInPandas(scanned, "__row bigint, no bigint, m binary")
-    first = written(first, "first")
+    most = chunks.agg(F.max("no") + 1).first()[0]
+    if most is None:
+        return whole
+    begin = np.full(reach, NONE)
+    begin[0] = 0.0
+    held = written(bare.mapInArrow(matrices, "__row bigint, no bigint, m binary"), "matrices")
+    first = written(sweep(held, most, product, walk, begin.tobytes()).withColumnRenamed("at", "m"), "first")
     joined = bare.join(first, ["__row", "no"]).select("__row", "no", "s", "size", "before", "m")
 
     def maps(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value)
         for b in batches(rows):
             got = [Chunk(v, s, z, c).through(np.frombuffer(m).tolist()) for s, z, c, m in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int32()))], names=["__row", "no", "to"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.array(x, np.int32).tobytes() for x in got], pa.binary())], names=["__row", "no", "m"])
 
-    def scanned_back(key, frame):
-        frame = frame.sort_values("no")
-        frame["state"] = scan_back(list(frame["to"]))
-        return frame[["__row", "no", "state"]]
-
-    ends = joined.mapInArrow(maps, "__row bigint, no bigint, to array<int>").groupBy("__row").applyInPandas(scanned_back, "__row bigint, no bigint, state int")
+    back = written(joined.mapInArrow(maps, "__row bigint, no bigint, m binary"), "maps")
+    ends = sweep(back, most, map_product, walk_back, np.zeros(1, np.int32).tobytes()).withColumnRenamed("at", "state")
 
     def traced(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value)
         for b in batches(rows):
-            got = [Chunk(v, s, z, c).ids(np.frombuffer(m).tolist(), o) for s, z, c, m, o in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5, 6)), strict=True)]
+            got = [Chunk(v, s, z, c).ids(np.frombuffer(m).tolist(), int(np.frombuffer(o, np.int32)[0])) for s, z, c, m, o in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5, 6)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["__row", "no", "part"])
 
     parts = joined.join(ends, ["__row", "no"]).mapInArrow(traced, "__row bigint, no bigint, part binary")
-    put = parts.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("no", "part"))).alias("parts")).select(F.col("__row").alias("__r"), F.aggregate(F.transform("parts", lambda p: p["part"]), F.lit(b""), lambda a, b: F.concat(a, b)).alias("ids"))
-    long = chunks.where(F.col("no") == 0).select(*(F.col(f"`{c}`") for c in carried), "__row").join(put, F.col("__row") == F.col("__r")).select(*(F.col(f"`{c}`") for c in carried), "ids")
-    if len(v.bytes) < 256:
-        long = long.mapInArrow(joined_unknown, f"{keys}, ids binary")
+
+    def put(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(shared.value)
+        for b in batches(rows):
+            got = [v.merged(b"".join(p["part"] for p in x)) for x in b.column(n).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(got, pa.binary())], names=[*carried, "ids"])
+
+    whole_parts = parts.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("no", "part"))).alias("__parts")).withColumnRenamed("__row", "__r")
+    long = chunks.where(F.col("no") == 0).select(*(F.col(f"`{c}`") for c in carried), "__row").join(whole_parts, F.col("__row") == F.col("__r"))
+    long = long.select(*(F.col(f"`{c}`") for c in carried), "__parts").mapInArrow(put, f"{keys}, ids binary")
     if decoded:
         long = decode(long.withColumn("pieces", F.col("ids")), model, [*carried, "pieces"]).select(*(F.col(f"`{c}`") for c in carried), F.col("pieces").alias("ids"), F.col("text").alias("decoded"))
     return whole.unionByName(long)

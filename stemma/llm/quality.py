@@ -216,8 +216,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Rules:
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("id"), "quality")
     # The sample has at most `most` rows of two numbers: it may be broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("id", "quality", "text")
-    got = statistics(rows, ["id", "quality"]).select("id", "quality", "statistics.*")
-    table_ = got.toPandas().sort_values(["id", *STATISTICS]).drop_duplicates("id")
+    # However often a doc_id repeats, the driver gets one row for it: that of the least statistics.
+    got = statistics(rows, ["id", "quality"]).groupBy("id", "quality").agg(F.min("statistics").alias("statistics")).select("id", "quality", "statistics.*")
+    table_ = got.toPandas().sort_values("id")
     order = np.random.default_rng(0).permutation(len(table_))
     return fit_rules(table_[STATISTICS].to_numpy(np.float64)[order], table_["quality"].to_numpy(np.float64)[order])
 

@@ -48,6 +48,47 @@ def test_neighbours(spark):
             assert abs(s - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-12
 
 
+def found_by_query(df):
+    got = defaultdict(list)
+    for x in df.orderBy("query_id", "rank").collect():
+        got[x.query_id].append(x.vec_id)
+    return got
+
+
+def test_shifts_inside_cells_lose_little(spark):
+    """Lists of about 4 rows, as a far larger table would have them for its size."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(20, 8))
+    rows = [(k, (centres[k % 20] + 0.4 * r.normal(size=8)).tolist()) for k in range(3000)]
+    assert len(ann.fit(ann._unit(np.array([v for _, v in rows])), len(rows), list_rows=4).shifts) > 8
+    got = found_by_query(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, list_rows=4))
+    want = plain_neighbours(rows, lambda q: q % 20 == 0)
+    assert set(got) == set(want) and sum(len(set(got[q]) & {i for i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_vectors_of_every_length_are_searched(spark):
+    r = np.random.default_rng(4)
+    rows = [(k, r.normal(size=2 + k % 3).tolist()) for k in range(90)]
+    got = found_by_query(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0))
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v in rows}
+    for q in range(0, 90, 10):
+        want = sorted((i for i in unit if i % 3 == q % 3 and i != q), key=lambda i: (-unit[i] @ unit[q], i))[:5]
+        assert len(got[q]) == 5 and len(set(got[q]) & set(want)) >= 4
+
+
+def test_recall_on_the_drivers_vectors(spark, data):
+    folder = data.replace("sf0.001", "sf0.1")
+    got = found_by_query(entry.queries()["op4_ivfpq_neighbours"](spark, folder))
+    held = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    ids, x = held["vec_id"].to_numpy(), ann._unit(np.stack(held["embedding"].to_numpy()).astype(float))
+    hits = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        scores = x @ x[q]
+        scores[q] = -2
+        hits += len(set(ids[np.lexsort((ids, -np.round(scores, 12)))[:5]]) & set(got[ids[q]]))
+    assert hits >= 0.9 * 5 * (ids % 50 == 0).sum()
+
+
 def test_few_and_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert Counter(r.query_id for r in ann.search(few, F.col("vec_id") % 50 == 0).collect()) == {0: 2, 50: 2}
@@ -72,6 +113,31 @@ def test_quality(docs, none, spark, data):
     assert quality.score(docs, alone).select("score").distinct().first().score == 0.5
 
 
+def auc(y, score):
+    order = np.argsort(score, kind="stable")
+    ranks = np.empty(len(y))
+    ranks[order] = np.arange(1, len(y) + 1)
+    for v in np.unique(score):  # ties share their ranks
+        ranks[score == v] = ranks[score == v].mean()
+    n = y.sum()
+    return (ranks[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n))
+
+
+def test_held_out_rows_are_told_apart(spark, data):
+    folder = data.replace("sf0.001", "sf0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in entry.queries()["op5_quality_rules"](spark, folder).collect() if r.held_out and labels.get(r.doc_id) in (0, 1)]
+    y, score = np.array([labels[r.doc_id] for r in rows]), np.array([r.score for r in rows])
+    assert len(rows) > 20 and auc(y, score) > 0.98 and ((score >= quality.THRESHOLD) == y).mean() > 0.97
+
+
+def test_repeated_documents_reach_the_driver_once(spark, data):
+    d, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    one = labels.where(~quality.held_out(F.col("doc_id"))).first().doc_id
+    again = d.unionByName(d.where(F.col("doc_id") == one).withColumn("doc_id", F.explode(F.array_repeat("doc_id", 50))))
+    assert quality.fit(again, labels) == quality.fit(d, labels)
+
+
 def test_rules_hold_out():
     r = np.random.default_rng(0)
     x = r.normal(size=(3000, len(quality.STATISTICS)))
@@ -202,7 +268,7 @@ def test_block_groups_and_unknown_sizes():
 def test_chat(spark):
     r = random.Random(4)
     bits = ["a", "\\", "</s>", "[INST]", "<|im_end|>", "\n", "é", "<", "<<SYS>>", "\\\\"]
-    rows = [(c, t, r.choice(["user", "assistant", "assistant", "system", None, "a\\b"]), r.choice([None, "".join(r.choices(bits, k=r.randint(0, 8)))])) for c in [0, 1, 2, None] for t in range(r.randint(1, 700 if c == 1 else 9))]
+    rows = [(c, t, r.choice(["user", "assistant", "assistant", "system", None, "a\\b", "a\nb", "\\n</s>\n"]), r.choice([None, "".join(r.choices(bits, k=r.randint(0, 8)))])) for c in [0, 1, 2, None] for t in range(r.randint(1, 700 if c == 1 else 9))]
     rows += [rows[0], (5, None, "assistant", "x"), (5, 0, "assistant", "y"), (6, 0, "user", "only")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("block", F.lit(1)).withColumn("begin", F.lit("x"))
     formatted = chat.format_turns(df)
@@ -220,7 +286,10 @@ def test_chat(spark):
         examples = chat.expand(formatted.where(F.col("conv_id").eqNullSafe(F.lit(c)))).orderBy("target_place").collect()
         want = [k for k, (a, _) in enumerate(turns) if a == "assistant"]
         assert [e.target_place for e in examples] == want
+        whole_examples = {e.target_place: e for e in chat.examples(formatted.where(F.col("conv_id").eqNullSafe(F.lit(c)))).collect()}
+        assert sorted(whole_examples) == want and x.n_examples == len(want) and x.expanded_chars == sum(len(e.text) for e in whole_examples.values())
         for e in examples[:5]:
+            assert whole_examples[e.target_place].text == whole[: e.example_end]
             text, ((low, high),) = chat.render(turns, e.target_place)
             assert whole[: e.example_end] == text and (e.loss_begin, e.loss_end) == (low, high) and chat.unescape(text[low:high]) == turns[e.target_place][1]
     assert chat.digests(chat.format_turns(df.limit(0))).count() == 0
@@ -258,10 +327,12 @@ def test_every_query_is_registered():
     assert [n.split("_")[0] for n in entry.queries()] == [f"op{k}" for k in range(1, 11)] and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_line_dedup_sql(spark, data):
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_sql(spark, data, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data}/documents.parquet')")
-    want = con.sql(entry.oracle_sql()["op1_line_dedup"]).df()
-    got = entry.queries()["op1_line_dedup"](spark, data).toPandas()[list(want.columns)]
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
+    want = con.sql(entry.oracle_sql()[name]).df()
+    got = entry.queries()[name](spark, data).toPandas()[list(want.columns)]
     assert sorted(map(tuple, want.itertuples(index=False))) == sorted(map(tuple, got.itertuples(index=False)))

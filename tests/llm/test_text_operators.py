@@ -306,6 +306,24 @@ def test_grouped_join_of_a_family(spark):
     assert Counter(tuple(x) for x in group_join.join(docs).collect()) == plain_components(rows)
 
 
+def test_equal_signatures_of_different_sets_are_told_apart(spark, docs):
+    """Of four bits, so that nearly all sets clash, and of none."""
+    want = plain_components(texts_of(docs))
+    for bits in (0, 4):
+        signed, clashing = group_join.signatures(docs, bits=bits)
+        assert len(clashing) and signed.where("n > 0").select("node").distinct().count() == len({frozenset(s) for _, t in texts_of(docs) if (s := shingle_set(t))})
+        assert Counter(tuple(r) for r in group_join.join(docs, bits=bits).collect()) == want
+
+
+def test_no_bit_of_a_shingle_is_lost():
+    """A hash is its bucket's begin and a place of 7 bytes in it."""
+    r = np.random.default_rng(5)
+    for n_buckets in (group_join.LEAST_BUCKETS, 1709, 30_000):
+        width = np.uint64((1 << 64) // n_buckets + 1)
+        h = np.concatenate([r.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2) + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+        assert int((h - h // width * width).max()) < 1 << 56 and int((h // width).max()) < n_buckets
+
+
 def test_word_hashes_of_pieces(monkeypatch):
     texts = pa.array([t for t in TEXTS] + ["a" * 50 + " b", "\t\n"])
     whole = group_join.word_hashes(texts)

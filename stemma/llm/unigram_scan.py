@@ -48,7 +48,7 @@ CHUNK = 1 << 15
 #: Neighbouring chunks, or blocks of them, that are combined at once.
 FAN = 8
 GRAIN = 1 / (1 << 20)
-CACHE_SIZE = 700_000
+CACHE_SIZE = 400_000
 LONGEST_CACHED = 48
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 #: What the library takes off the worst score for an unknown character.
@@ -84,6 +84,10 @@ class Words(dict):
         super().__init__()
         self.segment, self.size, self.older = segment, size // 2, {}
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
     def __missing__(self, key: str) -> bytes:
         got = self.older.get(key)
         if got is None:
@@ -117,8 +121,13 @@ class Vocabulary:
         self.reach = max(len(p) for p, _ in normal)
         self.ids = {p: k for k, (p, _, t) in enumerate(self.pieces) if t == NORMAL}
         self.scores = {p: round(s / GRAIN) * GRAIN for p, s in normal}
-        #: Every beginning of a piece; its score if it is a piece itself.
-        self.table = {p[:n]: None for p, _ in normal for n in range(1, len(p) + 1)} | self.scores
+        #: The pieces as a tree: character -> (what may follow, the score where a piece ends here).
+        self.tree: dict = {}
+        for p, score in self.scores.items():
+            node = self.tree
+            for c in p[:-1]:
+                node = node.setdefault(c, ({}, NONE))[0]
+            node[p[-1]] = (node[p[-1]][0] if p[-1] in node else {}, score)
         self.unknown_score = round((min(s for _, s in normal) - UNKNOWN_PENALTY) / GRAIN) * GRAIN
         self.unknown = next(k for k, (*_, t) in enumerate(self.pieces) if t == UNKNOWN)
         self.bytes = {int(p[1:-1], 16): k for k, (p, _, t) in enumerate(self.pieces) if t == BYTE}
@@ -136,28 +145,26 @@ class Vocabulary:
 
         Pieces begin before place `last` only.
         """
-        n, get, reach, unknown = len(s), self.table.get, self.reach, self.unknown_score
+        n, tree, reach, unknown = len(s), self.tree, self.reach, self.unknown_score
         best = first + [NONE] * (n + 1 - len(first))
         back = [-1] * (n + 1)
         for i in range(min(last, n)):
             b = best[i]
             if b == NONE:
                 continue
-            one = True
-            for j in range(i + 1, min(n, i + reach) + 1):
-                x = get(s[i:j], NONE)
+            node, j = tree, i
+            for c in s[i : i + reach]:
+                x = node.get(c)
                 if x is None:
-                    one = one and j > i + 1
-                    continue
-                if x == NONE:
-                    one = one and j > i + 1
                     break
-                x += b
-                if x > best[j]:
-                    best[j] = x
-                    back[j] = i
-            if not one and (x := b + unknown) > best[i + 1]:
-                best[i + 1], back[i + 1] = x, i
+                j += 1
+                node, score = x
+                score += b
+                if score > best[j]:
+                    best[j], back[j] = score, i
+            x = tree.get(s[i])
+            if (x is None or x[1] == NONE) and (score := b + unknown) > best[i + 1]:
+                best[i + 1], back[i + 1] = score, i
         return best, back
 
     def trace(self, s: str, back: list[int], end: int) -> list[int]:
@@ -374,8 +381,7 @@ def encode(docs: DataFrame, model: bytes, carried: list[str], chunk: int = CHUNK
             ids = [v.merged(encode_whole(v, t)) for t in strings(b.column(n))]
             back = [pa.array([v.decode(np.frombuffer(x, np.int32)) for x in ids], pa.string())] * decoded
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(ids, pa.binary()), *back], names=out_names)
-        _held.clear()
-        del v
+        v.words.forget()
         release()
 
     # A text of one chunk is encoded where it is; one character more stands for the blank put before it.

@@ -9,7 +9,8 @@ the maps from a chunk's last state to its first, gives the state that the best p
 is backtraced independently of the others. Texts of one chunk need no scan.
 
 Inside a chunk the lattice falls apart wherever a blank follows another character, for no piece has a blank there; the
-segmentations of these words are kept in a bounded cache of the worker.
+segmentations of these words are kept in a bounded cache of the worker. Words that aren't there yet are segmented
+together, by the same recursion over all words of one length at once.
 
 Scores are whole numbers or rounded to `GRAIN`, so that sums are exact and don't depend on where chunks end. Among
 equally good segmentations the one whose last differing piece is longest wins. The result is the exact optimum, which
@@ -32,6 +33,7 @@ import re
 import struct
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from typing import Any
 
 import numpy as np
@@ -50,6 +52,10 @@ FAN = 8
 GRAIN = 1 / (1 << 20)
 CACHE_SIZE = 400_000
 LONGEST_CACHED = 48
+#: Words that are segmented at once, at most; fewer are segmented one by one. Characters whose words meet for that.
+LEARNED, FEW, LEARNED_CHARS = 8192, 8, 1_000_000
+#: The blank in the tables for characters of one byte, of which it takes one's place.
+BLANK_CODE = 127
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 #: What the library takes off the worst score for an unknown character.
 UNKNOWN_PENALTY = 10.0
@@ -91,14 +97,17 @@ class Words(dict):
     def __missing__(self, key: str) -> bytes:
         got = self.older.get(key)
         if got is None:
-            got = self.segment(BLANK + key.replace(" ", BLANK))
+            got = self.segment(BLANK + (key.replace(" ", BLANK) if " " in key else key))
         if len(key) <= LONGEST_CACHED:
-            if len(self) >= self.size:
-                self.older = dict(self)
-                self.clear()
-            self[key] = got
+            self.put(key, got)
         return got
 
+    def put(self, key: str, got: bytes) -> None:
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = got
+
 
 class Vocabulary:
     """Pieces of a model file, for segmenting and for decoding."""
@@ -121,13 +130,13 @@ class Vocabulary:
         self.reach = max(len(p) for p, _ in normal)
         self.ids = {p: k for k, (p, _, t) in enumerate(self.pieces) if t == NORMAL}
         self.scores = {p: round(s / GRAIN) * GRAIN for p, s in normal}
-        #: The pieces as a tree: character -> (what may follow, the score where a piece ends here).
+        #: The pieces as a tree: character -> (what may follow, the score where a piece ends here, its id).
         self.tree: dict = {}
         for p, score in self.scores.items():
             node = self.tree
             for c in p[:-1]:
-                node = node.setdefault(c, ({}, NONE))[0]
-            node[p[-1]] = (node[p[-1]][0] if p[-1] in node else {}, score)
+                node = node.setdefault(c, ({}, NONE, -1))[0]
+            node[p[-1]] = (node[p[-1]][0] if p[-1] in node else {}, score, self.ids[p])
         self.unknown_score = round((min(s for _, s in normal) - UNKNOWN_PENALTY) / GRAIN) * GRAIN
         self.unknown = next(k for k, (*_, t) in enumerate(self.pieces) if t == UNKNOWN)
         self.bytes = {int(p[1:-1], 16): k for k, (p, _, t) in enumerate(self.pieces) if t == BYTE}
@@ -135,6 +144,7 @@ class Vocabulary:
         # What a piece adds to a path's score; of an unknown character's bytes, the first one has it all.
         self.worth = np.array([self.unknown_score if t == UNKNOWN or t == BYTE and not 0x80 <= int(p[1:-1], 16) < 0xC0 else 0.0 if t == BYTE else self.scores.get(p, 0.0) for p, _, t in self.pieces])
         self.words = Words(self.segment, CACHE_SIZE)
+        self._dense()
 
     def found(self, piece: str) -> list[int]:
         """Ids of one character that no piece is."""
@@ -158,7 +168,7 @@ class Vocabulary:
                 if x is None:
                     break
                 j += 1
-                node, score = x
+                node, score, _ = x
                 score += b
                 if score > best[j]:
                     best[j], back[j] = score, i
@@ -181,8 +191,122 @@ class Vocabulary:
         return out
 
     def segment(self, w: str) -> bytes:
-        """The ids of a word that begins and ends at breaks of the lattice."""
-        return array("i", self.trace(w, self.forward(w, [0.0], len(w))[1], len(w))).tobytes()
+        """The ids of a word that begins and ends at breaks of the lattice: `forward` and `trace` in one."""
+        n, tree, reach = len(w), self.tree, self.reach
+        best, back, ids = [0.0] + [NONE] * n, [0] * (n + 1), [-1] * (n + 1)
+        for i in range(n):
+            b, node, j = best[i], tree, i
+            if b == NONE:
+                continue
+            for c in w[i : i + reach]:
+                x = node.get(c)
+                if x is None:
+                    break
+                j += 1
+                node, score, k = x
+                score += b
+                if score > best[j]:
+                    best[j], back[j], ids[j] = score, i, k
+            x = tree.get(w[i])
+            if (x is None or x[2] < 0) and (score := b + self.unknown_score) > best[i + 1]:
+                best[i + 1], back[i + 1], ids[i + 1] = score, i, -1
+        out = []
+        while n:
+            i, k = back[n], ids[n]
+            if k < 0:
+                out += self.found(w[i])[::-1]
+            else:
+                out.append(k)
+            n = i
+        out.reverse()
+        return array("i", out).tobytes()
+
+    def _dense(self) -> None:
+        """The tree below characters of one byte and the blank as tables by state; state 0 is none, 1 the root."""
+        at = {BLANK: BLANK_CODE} | {chr(c): c for c in range(256) if c != BLANK_CODE}
+        scores, ids, rows, moves, todo = [NONE, NONE], [-1, -1], [0, 1], [], [(1, self.tree)]
+        for row, node in todo:
+            for c, (below, score, k) in node.items():
+                if c in at:
+                    moves.append((row, at[c], len(ids)))
+                    scores.append(score)
+                    ids.append(k)
+                    # States that nothing follows share the row of state 0.
+                    rows.append(len(todo) + 1 if below else 0)
+                    if below:
+                        todo.append((len(todo) + 1, below))
+        self.state_rows, self.state_scores, self.state_ids = np.array(rows, np.int32), np.array(scores), np.array(ids, np.int32)
+        self.next_states = np.zeros((len(todo) + 1, 256), np.int32)
+        moves = np.array(moves)
+        self.next_states[moves[:, 0], moves[:, 1]] = moves[:, 2]
+        #: Characters that these tables have: their pieces, or one byte.
+        self.plain = {c for c in map(chr, range(256)) if ord(c) != BLANK_CODE and (ord(c) < 128 or c in self.ids)}
+        self.char_ids = np.array([self.bytes.get(c, self.unknown) if len(self.bytes) == 256 else self.unknown for c in range(256)], np.int32)
+
+    def segment_all(self, words: list[str]) -> list[bytes]:
+        """`segment` of words of characters in `plain`, all of one length."""
+        n, w = len(words[0]) + 1, len(words)
+        chars = np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(w, n - 1)
+        chars = np.concatenate([np.full((1, w), BLANK_CODE, np.uint8), np.where(chars == 32, BLANK_CODE, chars).T])
+        best, back, ids = np.full((n + 1, w), NONE), np.zeros((n + 1, w), np.int32), np.full((n + 1, w), -1, np.int32)
+        best[0] = 0.0
+        for i in range(n):
+            some, state = None, np.ones(w, np.int32)
+            for j in range(i + 1, min(n, i + self.reach) + 1):
+                c = chars[j - 1] if some is None else chars[j - 1][some]
+                state = self.next_states[self.state_rows[state], c]
+                if j == i + 1:
+                    alone = np.flatnonzero(self.state_ids[state] < 0)
+                    score = best[i][alone] + self.unknown_score
+                    better = score > best[j][alone]
+                    alone = alone[better]
+                    best[j, alone], back[j, alone], ids[j, alone] = score[better], i, -1
+                on = np.flatnonzero(state)
+                if not len(on):
+                    break
+                some, state = on if some is None else some[on], state[on]
+                score = best[i][some] + self.state_scores[state]
+                better = score > best[j][some]
+                found = some[better]
+                best[j, found], back[j, found], ids[j, found] = score[better], i, self.state_ids[state[better]]
+        # Back from the end, ids to the right.
+        out, first, pos, some = np.zeros((w, n), np.int32), np.full(w, n), np.full(w, n), np.arange(w)
+        while len(some):
+            at = pos[some]
+            k, begin = ids[at, some], back[at, some]
+            first[some] -= 1
+            out[some, first[some]] = np.where(k < 0, self.char_ids[chars[begin, some]], k)
+            pos[some] = begin
+            some = some[begin > 0]
+        raw = out.tobytes()
+        return [raw[4 * (i * n + a) : 4 * n * (i + 1)] for i, a in enumerate(first.tolist())]
+
+    def learn(self, words: set[str]) -> None:
+        """Put words, each without its first blank, into the cache, where it has none of them."""
+        of_length: dict[int, list[str]] = {}
+        for x in words:
+            if x not in self.words and x not in self.words.older and len(x) <= LONGEST_CACHED and self.plain.issuperset(x):
+                of_length.setdefault(len(x), []).append(x)
+        for n, some in of_length.items():
+            for a in range(0, len(some), LEARNED):
+                part = some[a : a + LEARNED]
+                if len(part) < FEW or not n:
+                    continue  # these go one by one
+                for x, ids in zip(part, self.segment_all(part), strict=True):
+                    self.words.put(x, ids)
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts."""
+        out, a = [], 0
+        while a < len(texts):
+            size, b = 0, a
+            while b < len(texts) and (b == a or size < LEARNED_CHARS):
+                size, b = size + len(texts[b]), b + 1
+            found = [pre_tokens(t) for t in texts[a:b]]
+            self.learn(set().union(*found))
+            out += [self.merged(b"".join(map(self.words.__getitem__, x))) for x in found]
+            a = b
+        return out
 
     def merged(self, ids: bytes) -> bytes:
         """ids, with neighbouring unknown characters as one unknown piece."""
@@ -216,8 +340,13 @@ class Chunk:
         while (last := s.rfind(BLANK, 0, last)) > 0 and s[last - 1] == BLANK:
             pass
         self.low, self.high = first, max(first, last)
-        middle = pre_tokens(s[self.low + 1 : self.high]) or [""] if self.high > self.low else []
-        self.middle = b"".join(map(v.words.__getitem__, middle))
+
+    @cached_property
+    def middle(self) -> bytes:
+        """The ids of the words between the breaks, whatever the states are."""
+        words = pre_tokens(self.s[self.low + 1 : self.high]) or [""] if self.high > self.low else []
+        self.v.learn(set(words))
+        return b"".join(map(self.v.words.__getitem__, words))
 
     def _head(self, first: list[float]) -> tuple[list[float], list[int]]:
         """Up to the first break; up to b where there is none."""
@@ -378,7 +507,7 @@ def encode(docs: DataFrame, model: bytes, carried: list[str], chunk: int = CHUNK
     def small(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value)
         for b in batches(rows):
-            ids = [v.merged(encode_whole(v, t)) for t in strings(b.column(n))]
+            ids = v.encode_texts(strings(b.column(n)))
             back = [pa.array([v.decode(np.frombuffer(x, np.int32)) for x in ids], pa.string())] * decoded
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(ids, pa.binary()), *back], names=out_names)
         v.words.forget()
@@ -406,6 +535,8 @@ def encode(docs: DataFrame, model: bytes, carried: list[str], chunk: int = CHUNK
         for b in batches(rows):
             got = [Chunk(v, s, z, c).matrix().tobytes() for s, z, c in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["__row", "no", "m"])
+        v.words.forget()
+        release()
 
     # A chunk's matrix is a small part of the chunk, so a text's matrices are far smaller than the text.
     most = chunks.agg(F.max("no") + 1).first()[0]
@@ -431,6 +562,8 @@ def encode(docs: DataFrame, model: bytes, carried: list[str], chunk: int = CHUNK
         for b in batches(rows):
             got = [Chunk(v, s, z, c).ids(np.frombuffer(m).tolist(), int(np.frombuffer(o, np.int32)[0])) for s, z, c, m, o in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5, 6)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["__row", "no", "part"])
+        v.words.forget()
+        release()
 
     parts = joined.join(ends, ["__row", "no"]).mapInArrow(traced, "__row bigint, no bigint, part binary")
 

@@ -4,9 +4,10 @@ Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. F
 estimates how strongly a term reveals a protected entity that stands in the same document, near or far: with n
 documents, PMI(t; e) = ln(n * n_te / (n_t * n_e)) is compared with the entity's information IC(e) = ln(n / n_e). A term
 with PMI >= `GENERALISE` * IC(e) gets a span of kind `term` wherever it stands in each document that holds e, also where
-e stands in one text only; from `REMOVE` * IC(e) on it is removed instead of being generalised. Counts run over all
-documents, by text and its copies: pairs and terms are summed up in each task before they are shuffled, so a frequent
-entity or word costs each task one row.
+e stands in one text only; from `REMOVE` * IC(e) on it is removed instead of being generalised to its class, such as
+[NAME 5-8]. Counts run over all documents, by text and its copies: pairs and terms are summed up in each task before
+they are shuffled, so a frequent entity or word costs each task one row. The texts that have entities, the only ones
+that change, are marked and cleaned in one pass; `sanitise` puts them in place of the documents' texts.
 
 Texts that are null count as empty and have no spans. Rows that repeat doc_id and text get equal results; rows with
 one doc_id but different texts are documents of their own. An empty table gives an empty result.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, strings, table, text_hash, tuned, written
+from .common import batches, fresh, strings, table, text_hash, tuned, written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 GENERALISE, REMOVE = 0.75, 0.99
@@ -160,22 +161,47 @@ def disclosing(texts: DataFrame, terms: DataFrame, n_docs: int, generalise: floa
     return pairs.join(told, ["alike", "term"]).groupBy("text_hash", "term").agg(F.max("removed").alias("removed"))
 
 
+def term_class(term: str) -> str:
+    """What a generalised term is still known by: its shape, and its length in steps that double."""
+    shape = "NUMBER" if term.isdigit() else "CODE" if any(map(str.isdigit, term)) else "NAME" if term[:1].isupper() else "WORD"
+    high = max(2, 1 << (len(term) - 1).bit_length())
+    return f"[{shape} {high // 2 + 1 if high > 2 else 1}-{high}]"
+
+
+def cleaned(text: str, base: list[tuple[int, int, int]], told: list[tuple[int, int, bool]]) -> str:
+    """text without what its spans cover: base spans become [EMAIL] and so on, terms their class, removed ones go."""
+    marks = [(a, b, f"[{KINDS[k].upper()}]") for a, k, b in base]
+    marks += [(a, b, "" if removed else term_class(text[a:b])) for a, b, removed in told]
+    out, at = [], 0
+    for a, b, mark in sorted(marks):
+        if b > at:
+            out += [text[at : max(a, at)], mark]
+            at = b
+    return "".join([*out, text[at:]])
+
+
 def _marked(texts: DataFrame) -> DataFrame:
-    """text_hash, told: all places of the terms in `terms`."""
+    """h, told, clean: all places of the terms in `terms` (none, if null), and the text without them and base spans."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
-            told = []
+            told, clean = [], []
             for base, text, terms in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
-                removed = {t["term"]: t["removed"] for t in terms}
-                told.append([{"begin": i, "end": j, "removed": removed[t]} for t, i, j in terms_of(text, [(s["begin"], s["kind"], s["end"]) for s in base]) if t in removed])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(told, pa.list_(_TOLD))], names=["h", "told"])
+                removed = {t["term"]: t["removed"] for t in terms or []}
+                spans = [(s["begin"], s["kind"], s["end"]) for s in base]
+                found = [(i, j, removed[t]) for t, i, j in terms_of(text, spans) if t in removed]
+                told.append([{"begin": i, "end": j, "removed": r} for i, j, r in found])
+                clean.append(cleaned(text, spans, found))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(told, pa.list_(_TOLD)), pa.array(clean, pa.string())], names=["h", "told", "clean"])
 
-    return texts.select("text_hash", "base", "text", "terms").mapInArrow(run, f"h bigint, told {TOLD}")
+    return texts.select("text_hash", "base", "text", "terms").mapInArrow(run, f"h bigint, told {TOLD}, clean string")
 
 
 def protect(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base, told: base spans, and the spans of disclosing terms with what is done to them."""
+    """doc_id, text_hash, base, told, clean: base spans, spans of disclosing terms and what is done to them.
+
+    clean is the protected text; null where nothing changes.
+    """
     tuned(docs.sparkSession)
     found = written(find(docs), "pii")
     n_docs = found.count()
@@ -183,38 +209,29 @@ def protect(docs: DataFrame) -> DataFrame:
     copies = held.select("doc_id", "text_hash").distinct().groupBy("text_hash").agg(F.count(F.lit(1)).alias("n"))
     texts = written(held.groupBy("text_hash").agg(*(F.first(c).alias(c) for c in ("base", "entities", "text"))).join(copies, "text_hash"), "pii-texts")
     told = disclosing(texts, term_counts(docs), max(n_docs, 1)).groupBy("text_hash").agg(F.collect_list(F.struct("term", "removed")).alias("terms"))
-    places = _marked(texts.join(told, "text_hash"))
-    none = F.array().cast(TOLD)
-    out = held.select("doc_id", "text_hash", "base").join(places, F.col("text_hash") == F.col("h"), "left").select("doc_id", "text_hash", "base", F.coalesce("told", none).alias("told"))
-    return out.unionByName(found.where(F.size("entities") == 0).select("doc_id", "text_hash", "base", none.alias("told")))
+    places = _marked(texts.join(told, "text_hash", "left"))
+    none, same = F.array().cast(TOLD), F.lit(None).cast("string")
+    out = held.select("doc_id", "text_hash", "base").join(places, F.col("text_hash") == F.col("h")).select("doc_id", "text_hash", "base", "told", "clean")
+    return out.unionByName(found.where(F.size("entities") == 0).select("doc_id", "text_hash", "base", none.alias("told"), same.alias("clean")))
 
 
 def sanitise(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with protected texts: base spans become [EMAIL] and so on, terms [WORD] or [NUMBER], removed ones go."""
-
-    @F.udf("string")
-    def clean(text, base, told):
-        if text is None:
-            return None
-        marks = [(s["begin"], s["end"], f"[{KINDS[s['kind']].upper()}]") for s in base or []]
-        marks += [(s["begin"], s["end"], "" if s["removed"] else "[NUMBER]" if text[s["begin"] : s["end"]].isdigit() else "[WORD]") for s in told or []]
-        out, at = [], 0
-        for a, b, mark in sorted(marks):
-            if b > at:
-                out += [text[at : max(a, at)], mark]
-                at = b
-        return "".join([*out, text[at:]])
-
-    s = spans.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("base").alias("__base"), F.col("told").alias("__told")).dropDuplicates(["__d", "__h"])
-    joined = docs.join(s, F.col("doc_id").eqNullSafe(F.col("__d")) & (text_hash(F.col("text")) == F.col("__h")), "left")
-    return joined.withColumn("text", clean("text", "__base", "__told")).select(*docs.columns)
+    """docs with protected texts, from the spans of `protect`; texts that don't change are taken as they are."""
+    mine = fresh(docs, "__h", "__clean")
+    changed = spans.where(F.col("clean").isNotNull()).select(F.col("text_hash").alias(mine[0]), F.col("clean").alias(mine[1])).dropDuplicates([mine[0]])
+    joined = docs.join(changed, text_hash(F.col("text")) == F.col(mine[0]), "left")
+    return joined.withColumn("text", F.when(F.col("text").isNotNull(), F.coalesce(mine[1], "text"))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = protect(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    spans = protect(docs)
     named = lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["begin"].cast("string"), s["end"].cast("string"))
     base = F.concat_ws(",", F.transform("base", named))
     term = F.transform("told", lambda s: F.struct(s["begin"].alias("begin"), F.lit(KINDS.index("term")).alias("kind"), s["end"].alias("end")))
     both = F.concat_ws(",", F.transform(F.sort_array(F.concat("base", term)), named))
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
-    return spans.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), both.alias("spans"), F.size("told").cast("long").alias("n_term"))
+    return spans.select(
+        "doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), both.alias("spans"), F.size("base").cast("long").alias("n_pii"), F.size("told").cast("long").alias("n_term"),
+        F.size(F.filter("told", lambda s: s["removed"])).cast("long").alias("n_removed"), F.sha2("clean", 256).alias("clean_sha256"),
+    )

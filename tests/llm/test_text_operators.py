@@ -132,6 +132,24 @@ def test_scan_equals_one_pass(docs, none, model):
     assert all(back[k] == (t or "").replace("▁", " ") for k, t in enumerate(TEXTS))
 
 
+def test_words_together_as_one_by_one(model):
+    import random
+
+    v, r = unigram_scan.vocabulary(model), random.Random(3)
+    words = {w for t in TEXTS if t for w in token_counts.pre_tokens(t)} | {"".join(r.choice("the\n\tan  .,09~!\x00<>éüß\x80\xa0") for _ in range(r.randint(1, 48))) for _ in range(4000)}
+    of_length = defaultdict(list)
+    for w in words:
+        if w and v.plain.issuperset(w) and len(w) <= 48:
+            of_length[len(w)].append(w)
+    for some in of_length.values():
+        assert v.segment_all(some) == [v.segment("▁" + w.replace(" ", "▁")) for w in some]
+    for w in sorted(words)[:500]:
+        s = "▁" + w.replace(" ", "▁")
+        assert v.segment(s) == np.array(v.trace(s, v.forward(s, [0.0], len(s))[1], len(s)), np.int32).tobytes()
+    texts = [t or "" for t in TEXTS]
+    assert v.encode_texts(texts) == [unigram_scan.encode_whole(v, t) for t in texts]
+
+
 def test_matrices_combine(model):
     v = unigram_scan.vocabulary(model)
     for text in ("the others  there", "x" * 40, LONG[:500]):
@@ -241,6 +259,16 @@ def test_disclosing_terms_go_wherever_they_stand(spark):
     assert all(f"windmill{k % 10}" not in clean[k] for k in range(2, 60, 2)) and clean[100] == clean[2] and clean[1] == rows[1][1]
 
 
+def test_cleaned_texts():
+    """Overlapping and touching spans, and terms by their class."""
+    text = "Zorro wrote 12345 to a1b2 by mail x@y.example now"
+    base = [(text.index("x@"), 0, text.index(" now"))]
+    at = lambda w, gone: (text.index(w), text.index(w) + len(w), gone)
+    assert pii.cleaned(text, base, [at("Zorro", False), at("12345", False), at("a1b2", False), at("now", True)]) == "[NAME 5-8] wrote [NUMBER 5-8] to [CODE 3-4] by mail [EMAIL] "
+    assert pii.cleaned("aaaa", [(0, 1, 3)], [(2, 4, False)]) == "[IP][WORD 1-2]" and pii.cleaned("", [], []) == ""
+    assert [pii.term_class("x" * n) for n in (1, 2, 3, 4, 5, 8, 9)] == ["[WORD 1-2]", "[WORD 1-2]", "[WORD 3-4]", "[WORD 3-4]", "[WORD 5-8]", "[WORD 5-8]", "[WORD 9-16]"]
+
+
 def test_personal_data_of_odd_rows(docs, none):
     spans = pii.protect(docs)
     got = {r.doc_id: [(s.begin, s.kind, s.end) for s in r.base] for r in spans.collect()}

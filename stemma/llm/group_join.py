@@ -27,10 +27,8 @@ bits are: nodes go by 64 of them, and where two sets have these in common but no
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -44,8 +42,6 @@ WORDS, PERCENT = 5, 80
 ROUNDS, HUBS, LOOKED_UP = 3, 8, 4
 #: Shingles of a bucket of the frequency count, and that a task holds before it deals them out.
 BUCKET, FLUSH = 3_000_000, 2_000_000
-#: With so many buckets at least, a hash's place in its bucket has 7 bytes.
-LEAST_BUCKETS = 256
 #: Bytes of text that are hashed at once.
 PIECE = 1_000_000
 
@@ -209,14 +205,33 @@ def _dealt(parts: np.ndarray, n_parts: int, *columns: np.ndarray) -> Iterator[tu
             yield p, [c[order[bounds[p] : bounds[p + 1]]] for c in columns]
 
 
-def shared_shingles(docs: DataFrame, n_shingles: int, words: int = WORDS, percent: int = PERCENT, bucket: int = BUCKET, clashing: np.ndarray | None = None, bits: int = 64) -> DataFrame:
-    """node, n, tokens: the nodes that may have links, with all shingles that other nodes have too, rare ones first."""
-    n_buckets = max(LEAST_BUCKETS, -(-n_shingles // bucket))
+def _places(h: np.ndarray, n_buckets: int) -> list[np.ndarray]:
+    """Hashes' places in their bucket as columns of 4, 2, 1 and 1 bytes; with 256 buckets the last one isn't needed."""
+    top = (h >> _U(56)).astype(np.uint8) if n_buckets < 256 else np.empty(0, np.uint8)
+    return [(h & _U(0xFFFFFFFF)).astype(np.uint32), (h >> _U(32) & _U(0xFFFF)).astype(np.uint16), (h >> _U(48) & _U(0xFF)).astype(np.uint8), top]
+
+
+def _from_places(low: np.ndarray, mid: np.ndarray, high: np.ndarray, top: np.ndarray) -> np.ndarray:
+    h = low.astype(_U) | (mid.astype(_U) << _U(32)) | (high.astype(_U) << _U(48))
+    return h | (top.astype(_U) << _U(56)) if len(top) else h
+
+
+def shared_shingles(docs: DataFrame, signed: DataFrame, n_shingles: int, words: int = WORDS, percent: int = PERCENT, bucket: int = BUCKET, clashing: np.ndarray | None = None, bits: int = 64) -> DataFrame:
+    """node, n, tokens: the nodes that may have links, with all shingles that other nodes have too, rare ones first.
+
+    Hashes are dealt out by ranges of them, a task for each, then by ranges of nodes: a task's share doesn't grow.
+    signed: node, n of all documents.
+    """
+    n_buckets = max(8, -(-n_shingles // bucket))
     width = _U((1 << 64) // n_buckets + 1)
     clashing = np.empty(0, np.int64) if clashing is None else clashing
+    kinds = [np.uint32, np.uint16, np.uint8, np.uint8, np.int64, np.uint16, np.uint32]
+
+    def sent(rows: list[tuple[int, bytes]], kind: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["key", "kind", "blob"])
 
     def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A blob for each bucket: the hashes' places in it in 7 bytes, nodes and sizes, hashes of each node."""
+        """A blob for each bucket: the hashes' places in it, nodes, and hashes of each node."""
         held: list[tuple] = []
         n = 0
 
@@ -224,18 +239,18 @@ def shared_shingles(docs: DataFrame, n_shingles: int, words: int = WORDS, percen
             flat = np.concatenate([h[0] for h in held])
             sizes, signs = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
             at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-            buckets, blobs = [], []
+            out = []
             for p, (h, i) in _dealt((flat // width).astype(np.int32), n_buckets, flat, at):
                 present, counts = np.unique(i, return_counts=True)
-                h = h - _U(p) * width
-                buckets.append(p)
-                blobs.append(_packed((h >> _U(24)).astype(np.uint32), (h >> _U(8) & _U(0xFFFF)).astype(np.uint16), (h & _U(0xFF)).astype(np.uint8), signs[present], sizes[present].astype(np.int32), counts.astype(np.int32)))
-            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+                few = counts.max() < 1 << 16
+                numbers = [counts.astype(np.uint16), np.empty(0, np.uint32)] if few else [np.empty(0, np.uint16), counts.astype(np.uint32)]
+                out.append((p, _packed(*_places(h - _U(p) * width, n_buckets), signs[present], *numbers)))
+            return sent(out, 0)
 
         for b in batches(rows):
-            flat, sizes, signs, others = got = shingles(b.column(0), words, bits)
+            flat, sizes, signs, others = shingles(b.column(0), words, bits)
             held.append((flat, sizes, node_ids(signs, others, clashing)))
-            n += len(got[0])
+            n += len(flat)
             if n >= FLUSH:
                 yield flush()
                 held, n = [], 0
@@ -245,53 +260,73 @@ def shared_shingles(docs: DataFrame, n_shingles: int, words: int = WORDS, percen
         _powers.clear()
         release()
 
-    def count(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of one bucket: the hashes that several nodes have, dealt out by node."""
-        parts = [_unpacked(x, np.uint32, np.uint16, np.uint8, np.int64, np.int32, np.int32) for x in frame["blob"]]
-        h = np.concatenate([(p[0].astype(_U) << _U(24)) | (p[1].astype(_U) << _U(8)) | p[2] for p in parts]) + _U(key[0]) * width
-        node = np.concatenate([np.repeat(p[3], p[5]) for p in parts])
-        size = np.concatenate([np.repeat(p[4], p[5]) for p in parts])
+        hashes, nodes = [], []
+        for b in batches(rows):
+            for p, blob in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                *places, signs, few, many = _unpacked(blob.as_py(), *kinds)
+                hashes.append(_from_places(*places) + _U(p) * width)
+                nodes.append(np.repeat(signs, few if len(few) else many))
+        if not hashes:
+            return
+        h, node = np.concatenate(hashes), np.concatenate(nodes)
+        del hashes, nodes
         order = np.argsort(h)
         h = h[order]
         again = np.zeros(len(h), bool)
         same = h[1:] == h[:-1]
         again[1:] |= same
         again[:-1] |= same
-        h, order = h[again], order[again]
-        node, size = node[order], size[order]
+        h, node = h[again], node[order[again]]
         order = np.lexsort((node, h))
-        h, node, size = h[order], node[order], size[order]
+        h, node = h[order], node[order]
         new = np.ones(len(h), bool)  # copies of a node count once
         new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-        h, node, size = h[new], node[new], size[new]
+        h, node = h[new], node[new]
         starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
         df = np.repeat(np.diff(np.append(starts, len(h))), np.diff(np.append(starts, len(h))))
         some = df > 1
-        h, node, size, df = h[some], node[some], size[some], df[some]
-        out = [(p, _packed(*columns)) for p, columns in _dealt((node.view(_U) // width).astype(np.int32), n_buckets, h.view(np.int64), node, size, df.astype(np.int32))]
-        out = pd.DataFrame(out, columns=["part", "blob"])
-        del parts, h, node, size, order, again, same, new, df, some
+        h, node, df = h[some], node[some], df[some]
+        yield sent([(p, _packed(*columns)) for p, columns in _dealt((node.view(_U) // width).astype(np.int32), n_buckets, h.view(np.int64), node, df.astype(np.int32))], 0)
+        del h, node, order, again, same, new, df, some
         release()
-        return out
 
-    def gather(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+    def deal_sizes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(rows):
+            node, size = b.column(0).to_numpy(), b.column(1).to_numpy()
+            yield sent([(p, _packed(*columns)) for p, columns in _dealt((node.view(_U) // width).astype(np.int32), n_buckets, node, size)], 1)
+
+    def gather(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of one part of the nodes: those that have enough shared hashes, with them."""
-        parts = [_unpacked(x, np.int64, np.int64, np.int32, np.int32) for x in frame["blob"]]
-        h, node, size, df = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        held: dict[int, list[list[np.ndarray]]] = {0: [], 1: []}
+        for b in batches(rows):
+            for kind, blob in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                held[kind].append(_unpacked(blob.as_py(), *([np.int64, np.int64] if kind else [np.int64, np.int64, np.int32])))
+        if not held[0]:
+            return
+        known, sizes = (np.concatenate([x[k] for x in held[1]]) for k in range(2))
+        order = np.argsort(known)
+        known, sizes = known[order], sizes[order]
+        h, node, df = (np.concatenate([x[k] for x in held[0]]) for k in range(3))
+        held.clear()
         order = np.lexsort((h, df, node))
-        h, node, size = h[order], node[order], size[order]
+        h, node = h[order], node[order]
         starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(node)), bool), node[1:] != node[:-1]]))
         counts = np.diff(np.append(starts, len(node)))
-        fine = 100 * counts >= percent * size[starts]
-        rows = [(int(node[a]), int(size[a]), h[a : a + c]) for a, c in zip(starts[fine].tolist(), counts[fine].tolist(), strict=True)]
-        rows = pd.DataFrame(rows, columns=["node", "n", "tokens"])
-        del parts, h, node, size, df, order
+        n = sizes[np.searchsorted(known, node[starts])]
+        fine = np.flatnonzero(100 * counts >= percent * n)
+        for a in range(0, len(fine), 1024):
+            some = fine[a : a + 1024]
+            lists = [h[starts[i] : starts[i] + counts[i]] for i in some.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(node[starts[some]]), pa.array(n[some]), pa.array(lists, pa.list_(pa.int64()))], names=["node", "n", "tokens"])
+        del h, node, df, order, known, sizes
         release()
-        return rows
 
-    blobs = docs.select("text").mapInArrow(deal, "bucket int, blob binary")
-    counted = blobs.groupBy("bucket").applyInPandas(count, "part int, blob binary")
-    return counted.groupBy("part").applyInPandas(gather, "node bigint, n bigint, tokens array<bigint>")
+    blob = "key int, kind int, blob binary"
+    counted = docs.select("text").mapInArrow(deal, blob).repartitionById(n_buckets, F.col("key")).mapInArrow(count, blob)
+    sizes = signed.where(F.col("n") > 0).groupBy("node").agg(F.first("n").alias("n")).mapInArrow(deal_sizes, blob)
+    return counted.unionByName(sizes).repartitionById(n_buckets, F.col("key")).mapInArrow(gather, "node bigint, n bigint, tokens array<bigint>")
 
 
 def _fits(n: str, m: str, left_n: Column, left_m: Column, percent: int) -> Column:
@@ -393,7 +428,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int
     tuned(docs.sparkSession)
     signed, clashing = signatures(docs, words, bits)
     n_shingles = signed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    nodes = shared_shingles(docs, n_shingles, words, percent, clashing=clashing, bits=bits)
+    nodes = shared_shingles(docs, signed, n_shingles, words, percent, clashing=clashing, bits=bits)
     found = links(nodes, percent)
     # Of every node, the smallest doc_id; of every component, the smallest of its nodes'.
     names = signed.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("own"))

@@ -344,12 +344,13 @@ def test_equal_signatures_of_different_sets_are_told_apart(spark, docs):
 
 
 def test_no_bit_of_a_shingle_is_lost():
-    """A hash is its bucket's begin and a place of 7 bytes in it."""
+    """A hash is its bucket's begin and its place there, of 7 bytes where there are 256 buckets."""
     r = np.random.default_rng(5)
-    for n_buckets in (group_join.LEAST_BUCKETS, 1709, 30_000):
+    h = np.concatenate([r.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2) + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+    for n_buckets in (8, 29, 255, 256, 1709, 30_000):
         width = np.uint64((1 << 64) // n_buckets + 1)
-        h = np.concatenate([r.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2) + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
-        assert int((h - h // width * width).max()) < 1 << 56 and int((h // width).max()) < n_buckets
+        begin = h // width * width
+        assert (group_join._from_places(*group_join._places(h - begin, n_buckets)) + begin == h).all() and int((h // width).max()) < n_buckets
 
 
 def test_word_hashes_of_pieces(monkeypatch):

@@ -41,9 +41,9 @@ WORDS, PERCENT = 5, 80
 #: Lists of a group that rounds look at: the first LOOKED_UP of its prefix, four times as many in each later round.
 ROUNDS, HUBS, LOOKED_UP = 3, 8, 4
 #: Shingles of a bucket of the frequency count, and that a task holds before it deals them out.
-BUCKET, FLUSH = 3_000_000, 2_000_000
+BUCKET, FLUSH = 1_500_000, 1_000_000
 #: Bytes of text that are hashed at once.
-PIECE = 1_000_000
+PIECE = 500_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -222,7 +222,7 @@ def shared_shingles(docs: DataFrame, signed: DataFrame, n_shingles: int, words:
     Hashes are dealt out by ranges of them, a task for each, then by ranges of nodes: a task's share doesn't grow.
     signed: node, n of all documents.
     """
-    n_buckets = max(8, -(-n_shingles // bucket))
+    n_buckets = max(16, -(-n_shingles // bucket))
     width = _U((1 << 64) // n_buckets + 1)
     clashing = np.empty(0, np.int64) if clashing is None else clashing
     kinds = [np.uint32, np.uint16, np.uint8, np.uint8, np.int64, np.uint16, np.uint32]
@@ -265,9 +265,10 @@ def shared_shingles(docs: DataFrame, signed: DataFrame, n_shingles: int, words:
         hashes, nodes = [], []
         for b in batches(rows):
             for p, blob in zip(b.column(0).to_pylist(), b.column(2), strict=True):
-                *places, signs, few, many = _unpacked(blob.as_py(), *kinds)
+                *places, signs, few, many = _unpacked(blob.as_buffer(), *kinds)
                 hashes.append(_from_places(*places) + _U(p) * width)
                 nodes.append(np.repeat(signs, few if len(few) else many))
+            del b, blob, places, signs, few, many
         if not hashes:
             return
         h, node = np.concatenate(hashes), np.concatenate(nodes)
@@ -302,7 +303,7 @@ def shared_shingles(docs: DataFrame, signed: DataFrame, n_shingles: int, words:
         held: dict[int, list[list[np.ndarray]]] = {0: [], 1: []}
         for b in batches(rows):
             for kind, blob in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                held[kind].append(_unpacked(blob.as_py(), *([np.int64, np.int64] if kind else [np.int64, np.int64, np.int32])))
+                held[kind].append(_unpacked(blob.as_buffer(), *([np.int64, np.int64] if kind else [np.int64, np.int64, np.int32])))
         if not held[0]:
             return
         known, sizes = (np.concatenate([x[k] for x in held[1]]) for k in range(2))

@@ -533,8 +533,9 @@ def encode(docs: DataFrame, model: bytes, carried: list[str], chunk: int = CHUNK
     def matrices(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value)
         for b in batches(rows):
-            got = [Chunk(v, s, z, c).matrix().tobytes() for s, z, c in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["__row", "no", "m"])
+            held = [Chunk(v, s, z, c) for s, z, c in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            got = [c.matrix().tobytes() for c in held]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary()), pa.array([c.middle for c in held], pa.binary())], names=["__row", "no", "m", "middle"])
         v.words.forget()
         release()
 
@@ -544,7 +545,7 @@ def encode(docs: DataFrame, model: bytes, carried: list[str], chunk: int = CHUNK
         return whole
     begin = np.full(reach, NONE)
     begin[0] = 0.0
-    held = written(bare.mapInArrow(matrices, "__row bigint, no bigint, m binary"), "matrices")
+    held = written(bare.mapInArrow(matrices, "__row bigint, no bigint, m binary, middle binary"), "matrices")
     first = written(sweep(held, most, product, walk, begin.tobytes()).withColumnRenamed("at", "m"), "first")
     joined = bare.join(first, ["__row", "no"]).select("__row", "no", "s", "size", "before", "m")
 
@@ -560,12 +561,14 @@ def encode(docs: DataFrame, model: bytes, carried: list[str], chunk: int = CHUNK
     def traced(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value)
         for b in batches(rows):
-            got = [Chunk(v, s, z, c).ids(np.frombuffer(m).tolist(), int(np.frombuffer(o, np.int32)[0])) for s, z, c, m, o in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5, 6)), strict=True)]
+            got = []
+            for s, z, c, m, o, middle in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5, 6, 7)), strict=True):
+                chunk = Chunk(v, s, z, c)
+                chunk.middle = middle
+                got.append(chunk.ids(np.frombuffer(m).tolist(), int(np.frombuffer(o, np.int32)[0])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["__row", "no", "part"])
-        v.words.forget()
-        release()
 
-    parts = joined.join(ends, ["__row", "no"]).mapInArrow(traced, "__row bigint, no bigint, part binary")
+    parts = joined.join(ends, ["__row", "no"]).join(held.select("__row", "no", "middle"), ["__row", "no"]).mapInArrow(traced, "__row bigint, no bigint, part binary")
 
     def put(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value)

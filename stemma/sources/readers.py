@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemma.functions.scalar import EVIDENCE, header_name, reverse_complement_n
@@ -14,12 +16,17 @@ from .newick import parse
 FASTA_GLOB = "*.{fa,fasta,fna}"
 
 
+def _path() -> Column:
+    """A row's file, without the escapes of its address; a plus sign is none of them."""
+    return F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+
+
 def records(spark: SparkSession, path: str, glob: str | None = FASTA_GLOB) -> DataFrame:
     """path, ord, header, sequence (the line behind the header). A file is one row of the scan."""
     reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    text = reader.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", ">")).alias("ord", "record")).where((F.col("ord") > 0) & (F.trim("record") != ""))
+    text = reader.text(path, wholetext=True).select(_path().alias("path"), F.posexplode(F.split("value", "(?m)^>")).alias("ord", "record")).where((F.col("ord") > 0) & (F.trim("record") != ""))
     lines = F.split("record", r"\r?\n")
     return text.select("path", "ord", F.trim(F.get(lines, F.lit(0))).alias("header"), F.trim(F.coalesce(F.get(lines, F.lit(1)), F.lit(""))).alias("sequence"))
 
@@ -34,9 +41,17 @@ def read_arrays(spark: SparkSession, path: str, glob: str | None = FASTA_GLOB) -
     return last.select("group_id", "array_id", F.posexplode(tokens).alias("pos", "token")).where(F.col("token") != "")
 
 
+def read_array_folders(spark: SparkSession, path: str) -> DataFrame:
+    """kind, group_id, array_id, pos, token of the folders that `sinks.write_arrays` makes."""
+    text = spark.read.text(path, wholetext=True).select("kind", F.col("group_id").cast("string").alias("group_id"), F.explode(F.split("value", "(?m)^>")).alias("record")).where(F.trim("record") != "")
+    lines = F.split("record", r"\r?\n")
+    tokens = F.split(F.replace(F.get(lines, F.lit(1)), F.lit(" "), F.lit("")), ",")
+    return text.select("kind", "group_id", F.trim(F.get(lines, F.lit(0))).alias("array_id"), F.posexplode(tokens).alias("pos", "token")).where(F.col("token") != "")
+
+
 def read_strands(spark: SparkSession, folder: str) -> DataFrame:
     """group_id (folder), array_id (file), pos, sequence from pos_strand/ and neg_strand/; the latter turned around."""
-    lines = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "sequence"))
+    lines = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(_path().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "sequence"))
     parts = F.split("path", "/")
     lines = lines.select(F.element_at(parts, -3).alias("group_id"), F.element_at(parts, -2).alias("strand"), F.substring_index(F.element_at(parts, -1), ".", 1).alias("array_id"), "line", F.trim("sequence").alias("sequence"))
     lines = lines.where((F.col("sequence") != "") & ~F.startswith("sequence", F.lit(">")) & F.col("strand").isin("pos_strand", "neg_strand"))
@@ -67,22 +82,30 @@ def read_named_lists(spark: SparkSession, path: str) -> DataFrame:
     """group_id, array_id, pos, token from files of `name: a, b, c` lines under a head in parentheses."""
     from stemma.functions.scalar import group_name
 
-    text = spark.read.text(path, wholetext=True).select(group_name(F.input_file_name()).alias("group_id"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "row"))
+    text = spark.read.text(path, wholetext=True).select(group_name(_path()).alias("group_id"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "row"))
     rows = text.where(F.col("row").contains(":") & ~F.startswith(F.trim("row"), F.lit("(")))
     tokens = F.transform(F.split(F.substring_index(F.substring_index("row", ":", 2), ":", -1), ","), lambda t: F.trim(t))
     return rows.select("group_id", F.trim(F.substring_index("row", ":", 1)).alias("array_id"), F.posexplode(tokens).alias("pos", "token"))
 
 
-NODES = "array<struct<node_id:string,parent_id:string,branch_length:double,depth:int,is_leaf:boolean,pre_ord:int>>"
+NODES = "node_id string, parent_id string, branch_length double, depth int, is_leaf boolean, pre_ord int"
 
 
 def tree_nodes(trees: DataFrame, text: str = "newick") -> DataFrame:
-    """trees' other columns and a row for each node of its Newick text."""
-    from pyspark.sql.functions import udf
+    """trees' other columns and a row for each node of its Newick text; none for null."""
+    rest = [f for f in trees.schema.fields if f.name != text]
+    names = [f.name for f in rest]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for row in f.dropna(subset=[text]).itertuples(index=False):
+                nodes = pd.DataFrame([tuple(n) for n in parse(row[-1])], columns=[c.split()[0] for c in NODES.split(", ")])
+                for k, name in enumerate(names):
+                    nodes.insert(k, name, [row[k]] * len(nodes))
+                yield nodes
 
-    read = udf(lambda s: None if s is None else [tuple(n) for n in parse(s)], NODES)
-    rest = [c for c in trees.columns if c != text]
-    return trees.select(*rest, F.explode(read(F.col(text))).alias("n")).select(*rest, "n.*")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), NODES])
+    return trees.select(*names, text).mapInPandas(run, schema)
 
 
 def read_tree_map(spark: SparkSession, path: str) -> DataFrame:
@@ -92,7 +115,7 @@ def read_tree_map(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tree_files(spark: SparkSession, path: str) -> DataFrame:
     """file, newick: a tree in each file."""
-    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.trim("value").alias("newick"))
+    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(_path(), "/"), -1).alias("file"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("newick"))
 
 
 def bind_trees(groups: DataFrame, files: DataFrame) -> DataFrame:

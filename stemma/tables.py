@@ -4,18 +4,44 @@ from __future__ import annotations
 
 import os
 import uuid
+from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_folders: set[str] = set()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder in that of spark.checkpoint.dir; it goes when the application ends.
+
+    Where that isn't set, it is below the warehouse, unless the warehouse is on this machine alone and others need it.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "stemma_checkpoints")
+        if not spark.sparkContext.master.startswith("local") and urlsplit(found).scheme in ("", "file"):
+            raise ValueError("spark.checkpoint.dir isn't set, and the warehouse is on this machine alone")
+    folder = f"{found.rstrip('/')}/stemma-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def held(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the folder in spark.checkpoint.dir, or below the warehouse where that isn't set.
+    """df written as Parquet to the shared folder.
 
     This cuts the lineage, survives lost executors, and gives later plans true sizes: checkpoint() would keep the
     estimates of joins, whose products explode in loops.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "stemma_checkpoints")
-    path = f"{folder.rstrip('/')}/held-{uuid.uuid4().hex}"
+    path = new_path(spark, "held")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from decimal import Decimal, localcontext
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,7 +105,7 @@ def fit(branches: DataFrame, *keys: str) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in branches.schema.fields}
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        got = fit_branches([tuple(x) for x in frame[["t", "m", "lost", "kept"]].itertuples(index=False)])
+        got = fit_branches(sorted(tuple(x) for x in frame[["t", "m", "lost", "kept"]].itertuples(index=False)))
         return pd.DataFrame([{**dict(zip(keys, key, strict=True)), **got}])
 
     return summed.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), FITTED]))
@@ -123,19 +124,25 @@ def with_total(pooled_input: DataFrame, *keys: str) -> DataFrame:
 
 
 def unseen_probability(tree: DataFrame, gains: DataFrame, rho: float) -> DataFrame:
-    """group_id, node_id, unseen: that a token gained at node is in no leaf below: level by level, products of children."""
+    """group_id, node_id, unseen: that a token gained at node is in no leaf below: products of children.
+
+    A tree is a unit of a task, which goes up through it level by level.
+    """
     keys = keys_of(tree)
-    depths = [r[0] for r in tree.select("depth").distinct().orderBy(F.desc("depth")).collect()]
-    below, levels = None, []
-    for depth in depths:
-        nodes = tree.where(F.col("depth") == depth)
-        got = nodes.withColumn("unseen", F.lit(0.0)) if below is None else nodes.join(below, [*keys, "node_id"], "left").withColumn("unseen", F.coalesce("unseen", F.lit(0.0)))
-        levels.append(got.select(*keys, "node_id", "unseen"))
-        gone = 1 - F.exp(-rho * F.col("branch_length")) * (1 - F.col("unseen"))
-        below = got.where(F.col("parent_id").isNotNull()).groupBy(*keys, F.col("parent_id").alias("node_id")).agg(F.product(gone).alias("unseen"))
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("depth", kind="stable", ignore_index=True)
+        up, depth = pd.Index(frame["node_id"]).get_indexer(frame["parent_id"]), frame["depth"].to_numpy()
+        stays, product, inner = np.exp(-rho * frame["branch_length"].to_numpy(float)), np.ones(len(frame)), np.zeros(len(frame), bool)
+        for d in range(int(depth[-1]), 0, -1):
+            here = np.flatnonzero(depth == d)
+            np.multiply.at(product, up[here], 1 - stays[here] * (1 - np.where(inner[here], product[here], 0.0)))
+            inner[up[here]] = True
+        return frame[[*keys, "node_id"]].assign(unseen=np.where(inner, product, 0.0))
+
+    kinds = {f.name: f.dataType.simpleString() for f in tree.schema.fields}
+    grouped = tree.select(*keys, "node_id", "parent_id", "branch_length", "depth").groupBy(*(keys or [F.lit(0).alias("tree")]))
+    out = grouped.applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"node_id {kinds['node_id']}", "unseen double"]))
     return gains.join(out, [*keys, "node_id"])
 
 
@@ -155,13 +162,11 @@ def fit_corrected(branches: list[tuple[float, int, int, int]], tree: list[tuple[
         todo += [c for c, _ in children.get(x, [])]
 
     def value(rho: float) -> float:
-        unseen: dict[str, float] = {}
+        seen: dict[str, float] = {}  # from logarithms: the chance of being seen may be far below the digits of 1
         for x in reversed(order):
-            out = 1.0 if x in children else 0.0
-            for c, b in children.get(x, []):
-                out *= 1 - math.exp(-rho * b) * (1 - unseen[c])
-            unseen[x] = out
-        total = -sum(k * math.log(max(1e-300, 1 - unseen[n])) for n, k in gains.items() if k)
+            gone = [math.exp(-rho * b) * seen[c] for c, b in children.get(x, [])]
+            seen[x] = (1.0 if any(g >= 1 for g in gone) else -math.expm1(sum(math.log1p(-g) for g in gone))) if x in children else 1.0
+        total = -sum(k * math.log(max(1e-300, seen[n])) for n, k in gains.items() if k)
         for t, _, lost, kept in branches:
             total += (lost * math.log(max(1e-300, -math.expm1(-rho * t))) if lost and t > 0 else 0.0) - rho * t * kept
         return total
@@ -171,6 +176,23 @@ def fit_corrected(branches: list[tuple[float, int, int, int]], tree: list[tuple[
     return rho, rho - plain
 
 
+def corrected(branches: DataFrame, tree: DataFrame, gains: DataFrame) -> DataFrame:
+    """group_id, rho, shift of `fit_corrected` for each group; gains: group_id, node_id, gains. A group is a unit."""
+    kind = branches.schema["group_id"].dataType.simpleString()
+    rows = branches.select("group_id", "node_id", F.lit(None).cast("string").alias("parent_id"), "t", "m", "lost", "kept", F.lit(0).cast("long").alias("gains"), F.lit("branch").alias("row"))
+    none = F.lit(0).cast("long")
+    rows = rows.unionByName(tree.select("group_id", "node_id", "parent_id", F.col("branch_length").alias("t"), none.alias("m"), none.alias("lost"), none.alias("kept"), none.alias("gains"), F.lit("node").alias("row")))
+    rows = rows.unionByName(gains.select("group_id", "node_id", F.lit(None).cast("string").alias("parent_id"), F.lit(0.0).alias("t"), none.alias("m"), none.alias("lost"), none.alias("kept"), "gains", F.lit("gains").alias("row")))
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        of = lambda row, *columns: list(frame.loc[frame["row"] == row, list(columns)].itertuples(index=False, name=None))
+        nodes = [(n, None if p is None or p != p else p, t) for n, p, t in of("node", "node_id", "parent_id", "t")]
+        rho, shift = fit_corrected(sorted(of("branch", "t", "m", "lost", "kept")), sorted(nodes, key=lambda x: x[0]), dict(sorted(of("gains", "node_id", "gains"))))
+        return pd.DataFrame({"group_id": [key[0]], "rho": [rho], "shift": [shift]})
+
+    return rows.groupBy("group_id").applyInPandas(run, f"group_id {kind}, rho double, shift double")
+
+
 # --- Blocks under the death process: losses that later join into one ---------------------------------------------
 
 

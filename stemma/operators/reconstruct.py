@@ -1,73 +1,112 @@
 """Ancestral presence by joint maximum likelihood, and the events it implies.
 
-A profile has a row for each group, leaf and token: present 0 or 1. Work goes level by level through the tree, with
-one aggregate and one join a level; groups and tokens are spread over all tasks.
+A profile has a row for each group, leaf and token: present 0 or 1. Tokens don't depend on each other, so a group's
+tokens are dealt out in blocks; rows are shuffled once, and a task goes up and down its block's tree, level by level,
+with all tokens of the block at once.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.functions.scalar import transition
-
 from .arrays import _held
 from .tree import ancestors, keys_of
 
 CLOSE = 1e-9
+#: Cells, nodes times tokens, that a task holds at once, about; one token's tree at least.
+CELLS = 400_000
+
 
+def _logs(gain: np.ndarray, loss: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """ln of the two-state chain's probabilities after time t: parent's state x child's state x places."""
+    e = np.exp(-(gain + loss) * t)
+    with np.errstate(divide="ignore"):
+        return np.log(np.array([[loss + gain * e, gain * (1 - e)], [loss * (1 - e), gain + loss * e]]) / (gain + loss))
 
-def _rate(x: float | str) -> float | Column:
-    return F.col(x) if isinstance(x, str) else x
 
+def _best_states(rows: pd.DataFrame, nodes: pd.DataFrame, prior: tuple[float, float] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of nodes, tokens, states) of one group's block of tokens; ties go to state 0.
 
-def _messages(known: DataFrame, gain: float | str, loss: float | str) -> DataFrame:
-    """For each state of the parent: the best own state and its ln likelihood; ties go to state 0."""
-    t = F.col("branch_length")
-    for p in (0, 1):
-        zero = F.log(transition(_rate(gain), _rate(loss), t, p, 0)) + F.col("l0")
-        one = F.log(transition(_rate(gain), _rate(loss), t, p, 1)) + F.col("l1")
-        known = known.withColumn(f"c{p}", (one > zero + CLOSE).cast("int")).withColumn(f"m{p}", F.greatest(zero, one))
-    return known
+    rows: node_id, token, kind (0 absent, 1 present, 2 forced to be present); nodes in order of depth.
+    """
+    ids = pd.Index(nodes["node_id"])
+    codes, tokens = pd.factorize(rows["token"])
+    at, kind = ids.get_indexer(rows["node_id"]), rows["kind"].to_numpy()
+    up, depth = ids.get_indexer(nodes["parent_id"]), nodes["depth"].to_numpy()
+    n, k = len(ids), len(tokens)
+    like, known, must = np.zeros((2, n, k)), np.zeros((n, k), bool), np.zeros((n, k), bool)
+    tip = (at >= 0) & (kind < 2)
+    for state in (0, 1):
+        there = tip & (kind != state)
+        like[state, at[there], codes[there]] = -np.inf
+    known[at[tip], codes[tip]] = True
+    held = (at >= 0) & (kind == 2)
+    must[at[held], codes[held]] = True
+    logs = _logs(nodes["gain"].to_numpy(), nodes["loss"].to_numpy(), nodes["branch_length"].fillna(0.0).to_numpy())
+    levels = np.flatnonzero(np.diff(depth, prepend=-1, append=depth[-1] + 1))
+    choice = np.zeros((2, n, k), bool)
+    for a, b in list(zip(levels[:-1], levels[1:], strict=True))[::-1]:
+        like[0, a:b][must[a:b]] = -np.inf
+        if depth[a] == 0:
+            break
+        order = a + np.argsort(up[a:b], kind="stable")
+        above, starts = np.unique(up[order], return_index=True)
+        for parent in (0, 1):
+            zero, one = (logs[parent, child, order][:, None] + like[child, order] for child in (0, 1))
+            choice[parent, order] = one > zero + CLOSE
+            like[parent, above] += np.add.reduceat(np.where(known[order], np.maximum(zero, one), 0.0), starts, axis=0)
+        known[above] |= np.logical_or.reduceat(known[order], starts, axis=0)
+    top = depth == 0
+    if prior is None:  # a branch as long as the root's longest child's
+        longest = nodes.loc[depth == 1, "branch_length"].max()
+        prior = _logs(nodes["gain"].to_numpy()[:1], nodes["loss"].to_numpy()[:1], np.array([0.0 if longest != longest else longest]))[0, :, 0]
+    states = np.zeros((n, k), bool)
+    states[top] = like[1, top] + prior[1] > like[0, top] + prior[0] + CLOSE
+    for a, b in zip(levels[:-1], levels[1:], strict=True):
+        if depth[a]:
+            states[a:b] = np.where(states[up[a:b]], choice[1, a:b], choice[0, a:b])
+    node, token = np.nonzero(known)
+    return node, tokens[token], states[node, token]
 
 
 def joint_states(profile: DataFrame, tree: DataFrame, gain: float | str, loss: float | str, forced: DataFrame | None = None, prior: tuple[float, float] | None = None) -> DataFrame:
     """group_id, node_id, token, state for all nodes. forced: group_id, node_id, token that must be present.
 
-    gain and loss may name columns of the tree, for rates by group.
+    gain and loss may name columns of the tree, for rates by group. A tree without group_id is that of all groups.
     prior: ln probabilities of the root's states; by default of a branch as long as the root's longest child's from 0.
     """
     keys = keys_of(tree)
-    rates = [x for x in (gain, loss) if isinstance(x, str)]
-    depths = [r[0] for r in tree.select("depth").distinct().orderBy(F.desc("depth")).collect()]
-    impossible = F.lit(float("-inf"))
-    tips = profile.select("group_id", "node_id", "token", F.when(F.col("present") == 0, 0.0).otherwise(impossible).alias("l0"), F.when(F.col("present") == 1, 0.0).otherwise(impossible).alias("l1"))
-    must = forced.select("group_id", "node_id", "token").distinct().withColumn("must", F.lit(True)) if forced is not None else None
-    below, levels = None, {}
-    for depth in depths:
-        nodes = tree.where(F.col("depth") == depth).select(*keys, "node_id", "parent_id", "branch_length", *rates)
-        got = tips.join(nodes, [*keys, "node_id"])
-        if below is not None:
-            got = got.unionByName(below.join(nodes, [*keys, "node_id"]).select(*got.columns))
-        if must is not None:
-            got = got.join(must, ["group_id", "node_id", "token"], "left").withColumn("l0", F.when(F.col("must"), impossible).otherwise(F.col("l0"))).drop("must")
-        if depth == 0:
-            if prior is None:
-                longest = tree.where(F.col("depth") == 1).groupBy(*keys).agg(F.max("branch_length").alias("longest"))
-                got = got.join(longest, keys) if keys else got.crossJoin(F.broadcast(longest))
-                p0, p1 = (F.log(transition(_rate(gain), _rate(loss), F.col("longest"), 0, s)) for s in (0, 1))
-            else:
-                p0, p1 = F.lit(prior[0]), F.lit(prior[1])
-            levels[0] = got.select("group_id", "node_id", "token", (F.col("l1") + p1 > F.col("l0") + p0 + CLOSE).cast("int").alias("state"))
-            break
-        levels[depth] = _messages(got, gain, loss)
-        below = levels[depth].groupBy("group_id", F.col("parent_id").alias("node_id"), "token").agg(F.sum("m0").alias("l0"), F.sum("m1").alias("l1"))
-    out = above = levels[0]
-    for depth in sorted(depths)[1:]:
-        parent = above.select("group_id", F.col("node_id").alias("parent_id"), "token", F.col("state").alias("up"))
-        above = levels[depth].join(parent, ["group_id", "parent_id", "token"]).select("group_id", "node_id", "token", F.when(F.col("up") == 0, F.col("c0")).otherwise(F.col("c1")).alias("state"))
-        out = out.unionByName(above)
-    return out
+    rate = lambda x: (F.col(x) if isinstance(x, str) else F.lit(float(x))).cast("double")
+    nodes = tree.select(*keys, "node_id", "parent_id", F.col("branch_length").cast("double").alias("branch_length"), F.col("depth").cast("int").alias("depth"), rate(gain).alias("gain"), rate(loss).alias("loss"))
+    rows = profile.select("group_id", "node_id", "token", F.col("present").cast("int").alias("kind"))
+    blocks = rows.groupBy("group_id").agg(F.countDistinct("token").alias("tokens"))
+    if keys:
+        blocks = blocks.join(nodes.groupBy("group_id").agg(F.count(F.lit(1)).alias("nodes")), "group_id")
+    else:
+        blocks = blocks.withColumn("nodes", F.lit(nodes.count()))
+    blocks = blocks.select("group_id", F.greatest(F.lit(1), F.least("tokens", F.ceil(F.col("tokens") * F.col("nodes") / CELLS))).cast("int").alias("blocks"))
+    blocks = _held(blocks)  # a row for each group
+    if forced is not None:
+        rows = rows.unionByName(forced.select("group_id", "node_id", "token", F.lit(2).alias("kind")))
+    rows = rows.join(blocks, "group_id").withColumn("block", F.pmod(F.xxhash64("token"), F.col("blocks")).cast("int")).drop("blocks")
+    every = blocks.select(F.col("group_id").alias("group_id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    nodes = every.join(nodes, "group_id") if keys else every.join(nodes)  # each block's task needs its tree
+    kinds = {f.name: f.dataType.simpleString() for f in profile.schema.fields}
+
+    def run(key: tuple, rows: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(nodes):
+            return pd.DataFrame({"group_id": [], "node_id": [], "token": [], "state": []})
+        nodes = nodes.sort_values("depth", kind="stable", ignore_index=True)
+        at, tokens, states = _best_states(rows, nodes, prior)
+        out = pd.DataFrame({"node_id": nodes["node_id"].to_numpy()[at], "token": tokens, "state": states.astype(np.int32)})
+        out.insert(0, "group_id", key[0])
+        return out
+
+    by = ["group_id", "block"]
+    return rows.groupBy(*by).cogroup(nodes.groupBy(*by)).applyInPandas(run, f"group_id {kinds['group_id']}, node_id {kinds['node_id']}, token {kinds['token']}, state int")
 
 
 def branch_events(states: DataFrame, tree: DataFrame) -> DataFrame:
@@ -115,7 +154,38 @@ def loss_block_tokens(states: DataFrame, tree: DataFrame, rank: DataFrame) -> Da
 
 def loss_blocks(states: DataFrame, tree: DataFrame, rank: DataFrame) -> DataFrame:
     """group_id, node_id, block, size."""
-    return loss_block_tokens(states, tree, rank).groupBy("group_id", "node_id", "block").agg(F.count(F.lit(1)).alias("size"))
+    return block_sizes(loss_block_tokens(states, tree, rank))
+
+
+def partial_loss_blocks(states: DataFrame, tree: DataFrame, order: DataFrame) -> DataFrame:
+    """group_id, node_id, block, token: the sets that may have been lost together under a partial order.
+
+    A group is a unit of a task. order: group_id, younger, older.
+    """
+    from .align import partial_loss_sets
+
+    keys = keys_of(tree)
+    parent = states.where(F.col("state") == 1).select("group_id", F.col("node_id").alias("parent_id"), "token")
+    both = parent.join(tree.select(*keys, "node_id", "parent_id"), [*keys, "parent_id"]).join(states, ["group_id", "node_id", "token"])
+    kinds = {f.name: f.dataType.simpleString() for f in states.schema.fields}
+
+    def run(key: tuple, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        younger: dict = {}
+        for x, y in zip(pairs["younger"], pairs["older"], strict=True):
+            younger.setdefault(y, set()).add(x)
+        out = []
+        for node, part in rows.groupby("node_id"):
+            lost, kept = part["token"][part["state"] == 0].tolist(), part["token"][part["state"] == 1].tolist()
+            out += [(key[0], node, k, t) for k, s in enumerate(partial_loss_sets(lost, sorted(kept, key=str), younger)) for t in sorted(s, key=str)]
+        return pd.DataFrame(out, columns=["group_id", "node_id", "block", "token"])
+
+    left = both.select("group_id", "node_id", "token", "state").groupBy("group_id")
+    return left.cogroup(order.select(F.col("group_id").alias("group_id"), "younger", "older").groupBy("group_id")).applyInPandas(run, f"group_id {kinds['group_id']}, node_id {kinds['node_id']}, block bigint, token {kinds['token']}")
+
+
+def block_sizes(block_tokens: DataFrame) -> DataFrame:
+    """group_id, node_id, block, size."""
+    return block_tokens.groupBy("group_id", "node_id", "block").agg(F.count(F.lit(1)).alias("size"))
 
 
 def loss_positions(states: DataFrame, tree: DataFrame, rank: DataFrame) -> DataFrame:
@@ -145,6 +215,20 @@ def offsets(states: DataFrame, tree: DataFrame, rank: DataFrame, anchor: str = "
     return both.groupBy("group_id", F.col("k").alias("m")).agg(F.sum("state").alias("present"), F.count(F.lit(1)).alias("total"))
 
 
+def global_offsets(states: DataFrame, tree: DataFrame, rank: DataFrame, end: str = "first") -> DataFrame:
+    """group_id, m, present, total: as `offsets`, counted from the end token of all that any kept token of the group has.
+
+    first: from the youngest token that some branch of the group keeps; last: from the oldest.
+    """
+    keys = keys_of(tree)
+    parent = states.where(F.col("state") == 1).select("group_id", F.col("node_id").alias("parent_id"), "token").join(rank, ["group_id", "token"])
+    both = parent.join(tree.select(*keys, "node_id", "parent_id"), [*keys, "parent_id"]).join(states, ["group_id", "node_id", "token"])
+    at = F.max("rank") if end == "first" else F.min("rank")
+    anchor = both.where(F.col("state") == 1).groupBy("group_id").agg(at.alias("anchor"))
+    m = F.col("anchor") - F.col("rank") if end == "first" else F.col("rank") - F.col("anchor")
+    return both.join(anchor, "group_id").withColumn("m", m).where(F.col("m") >= 0).groupBy("group_id", "m").agg(F.sum("state").alias("present"), F.count(F.lit(1)).alias("total"))
+
+
 def frequency(present: Column, total: Column) -> Column:
     return F.when(total == 0, 0.0).otherwise(1 - present / total)
 
@@ -163,18 +247,35 @@ def duplicate_candidates(gains: DataFrame) -> DataFrame:
     return gains.withColumn("k", F.row_number().over(w.orderBy("post_ord", "token"))).withColumn("n", F.size(F.collect_set("token").over(w))).where(F.col("k") <= F.col("n") - 1).drop("k", "n")
 
 
+def without_tokens(order: DataFrame, tokens: DataFrame) -> DataFrame:
+    """order (group_id, younger, older) without the pairs of such tokens."""
+    t = tokens.select("group_id", "token").distinct()
+    for side in ("younger", "older"):
+        order = order.join(t.withColumnRenamed("token", side), ["group_id", side], "left_anti")
+    return order.select("group_id", "younger", "older")
+
+
+def repeated_gains(events: DataFrame) -> DataFrame:
+    """group_id, repeated (gains beyond a token's first), tokens (that have some)."""
+    n = events.where(F.col("kind") == "gain").groupBy("group_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("group_id").agg(F.sum(F.col("n") - 1).alias("repeated"), F.count_if(F.col("n") > 1).alias("tokens"))
+
+
 def duplicate_classes(candidates: DataFrame) -> DataFrame:
     """A class for each candidate, from four flags on its copies: sibling_lost, sibling_here, lost_above, left_of_all."""
     kind = F.when(F.col("sibling_lost"), "rearrangement").when(F.col("sibling_here"), "duplication").when(F.col("lost_above") & F.col("left_of_all"), "reacquisition").when(F.col("left_of_all"), "independent acquisition").otherwise("other")
     return candidates.withColumn("kind", kind)
 
 
-def duplicate_flags(candidates: DataFrame, states: DataFrame, events: DataFrame, tree: DataFrame, order: DataFrame) -> DataFrame:
-    """The flags of each candidate (group_id, node_id, base, token); copies of one base have tokens of one `base`."""
+def duplicate_flags(candidates: DataFrame, states: DataFrame, events: DataFrame, tree: DataFrame, order: DataFrame, bases: DataFrame | None = None) -> DataFrame:
+    """The flags of each candidate (group_id, node_id, base, token); copies of one base have tokens of one `base`.
+
+    bases: group_id, token, base; by default a base is a token without its capital letters at the end.
+    """
     keys = keys_of(tree)
-    copies = states.join(candidates.select("group_id", "base", F.col("token").alias("own")).distinct(), "group_id")
-    names = copies.select("group_id", "base").distinct()
-    bases = states.select("group_id", "token").distinct().withColumn("base", F.regexp_replace(F.col("token").cast("string"), "[A-Z]+$", "")).join(names, ["group_id", "base"])
+    if bases is None:
+        bases = states.select("group_id", "token").distinct().withColumn("base", F.regexp_replace(F.col("token").cast("string"), "[A-Z]+$", ""))
+    bases = bases.select("group_id", "token", "base").distinct()
     sibling = candidates.select("group_id", "node_id", "base", "token").join(bases.select("group_id", "base", F.col("token").alias("other")), ["group_id", "base"]).where(F.col("token") != F.col("other"))
     lost = events.where(F.col("kind") == "loss").select("group_id", "node_id", F.col("token").alias("other"))
     here = states.where(F.col("state") == 1).select("group_id", "node_id", F.col("token").alias("other"))

@@ -20,18 +20,43 @@ def keys_of(tree: DataFrame) -> list[str]:
 
 
 def with_depth(tree: DataFrame, most: int = 10_000) -> DataFrame:
-    """Adds depth, level by level from the roots."""
+    """Adds depth, by steps to the root that double each round; nodes that hang on no root are left out."""
     keys = keys_of(tree)
-    level = tree.where(F.col("parent_id").isNull()).withColumn("depth", F.lit(0))
-    out = level
-    for depth in range(1, most):
-        level = _held(tree.join(level.select(*keys, F.col("node_id").alias("parent_id")), [*keys, "parent_id"]).select(*tree.columns).withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
+    root = F.col("parent_id").isNull()
+    up = tree.select(*keys, "node_id", F.col("parent_id").alias("up"), F.when(root, 0).otherwise(1).alias("depth"), F.when(root, True).alias("rooted"))
+    for _ in range(most.bit_length() + 1):
+        up = _held(up)
+        if up.where(F.col("up").isNotNull()).isEmpty():
+            return tree.join(up.where("rooted").select(*keys, "node_id", "depth"), [*keys, "node_id"]).select(*tree.columns, "depth")
+        jump = up.select(*keys, F.col("node_id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"), F.coalesce("rooted", F.col("up").isNotNull()).alias("goes_on"), F.col("rooted").alias("top"))
+        up = up.join(jump, [*keys, "up"], "left").select(*keys, "node_id", F.col("further").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("rooted", "top", F.when(F.col("goes_on").isNull(), False)).alias("rooted"))
     raise ValueError("the tree has a cycle")
 
 
+def with_orders(tree: DataFrame) -> DataFrame:
+    """Adds depth, pre_ord and post_ord to groups' trees, children by name; a group's tree is a unit of a task."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        children: dict = {}
+        names, parents = frame["node_id"].tolist(), frame["parent_id"].tolist()
+        for k, p in sorted(zip(range(len(names)), parents, strict=True), key=lambda x: names[x[0]]):
+            children.setdefault(None if p is None or p != p else p, []).append(k)
+        depth, pre, post = np.full(len(names), -1), np.zeros(len(names), int), np.zeros(len(names), int)
+        todo, opened, closed = [(k, 0, False) for k in children.get(None, [])[::-1]], 0, 0
+        while todo:
+            k, d, done = todo.pop()
+            if done:
+                post[k], closed = closed, closed + 1
+                continue
+            depth[k], pre[k], opened = d, opened, opened + 1
+            todo += [(k, d, True), *((c, d + 1, False) for c in children.get(names[k], [])[::-1])]
+        return frame.assign(depth=depth, pre_ord=pre, post_ord=post)[depth >= 0]
+
+    kinds = {f.name: f.dataType.simpleString() for f in tree.schema.fields}
+    plain = tree.drop("depth", "pre_ord", "post_ord")
+    return plain.groupBy("group_id").applyInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in plain.columns), "depth int, pre_ord int, post_ord int"]))
+
+
 def leaves(tree: DataFrame) -> DataFrame:
     keys = keys_of(tree)
     return tree.join(tree.where(F.col("parent_id").isNotNull()).select(*keys, F.col("parent_id").alias("node_id")).distinct(), [*keys, "node_id"], "left_anti")
@@ -81,6 +106,13 @@ def leaf_counts(tree: DataFrame) -> DataFrame:
     return ancestors(tree).join(tips, [*keys, "node_id"]).groupBy(*keys, F.col("ancestor").alias("node_id")).agg(F.count(F.lit(1)).alias("n_leaves"))
 
 
+def by_age(tree: DataFrame, order: str = "pre_ord") -> DataFrame:
+    """tree with n_leaves and age: 1 for the node with most leaves below, ties in the order given."""
+    keys = keys_of(tree)
+    age = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("n_leaves"), order))
+    return tree.join(leaf_counts(tree), [*keys, "node_id"]).withColumn("age", age)
+
+
 def named_inner_nodes(tree: DataFrame, order: str = "pre_ord") -> DataFrame:
     """Names for unnamed inner nodes: in_0, in_1, ... in the order of traversal."""
     keys = keys_of(tree)
@@ -94,6 +126,27 @@ def extended(tree: DataFrame, by: float) -> DataFrame:
     return tree.withColumn("branch_length", F.when(F.col("parent_id").isNull(), 0.0).otherwise(F.coalesce("branch_length", F.lit(0.0)) + by))
 
 
+def pruned(trees: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Groups' trees without leaves that aren't among leaves (group_id, node_id), and without what then ends nowhere.
+
+    An inner node with one child left stays. A group's tree is a unit of a task.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in trees.schema.fields}
+    cols = ["group_id", "node_id", "parent_id", "branch_length"]
+
+    def run(key: tuple, nodes: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        up = dict(zip(nodes["node_id"], nodes["parent_id"], strict=True))
+        stay: set = set()
+        for x in kept["node_id"]:
+            while x in up and x not in stay:
+                stay.add(x)
+                x = up[x]
+        return nodes[nodes["node_id"].isin(stay)][cols]
+
+    kept = leaves.select(F.col("group_id").alias("group_id"), "node_id").groupBy("group_id")
+    return trees.select(*cols).groupBy("group_id").cogroup(kept).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in cols))
+
+
 def with_leaf_actions(tree: DataFrame, actions: DataFrame, length: float = MIN_BRANCH) -> DataFrame:
     """Leaves with several arrays: split ones get a child for each array, pruned and missing ones go."""
     keys = keys_of(tree)
@@ -106,18 +159,37 @@ def with_leaf_actions(tree: DataFrame, actions: DataFrame, length: float = MIN_B
 # --- Distances between arrays and trees from them ---------------------------------------------------------------
 
 
-def side_distance(gains: int, keeps: int, runs: list[int], gain: float, loss: float, alpha: float) -> float:
-    """The time that makes one side's gains, kept tokens and deletion runs likeliest, by golden section on ln t."""
-    rate = gain / (loss * alpha + 1e-40)
-
-    def value(t: float) -> float:
-        mean, p, q = t * rate, -math.expm1(-loss * t), 1 / alpha
-        out = (gains * math.log(mean) if gains else 0.0) - mean - loss * t * keeps
-        for k in runs:
-            out += math.log(max(1e-40, p * q * (1 - q * (1 - p)) ** (k - 1)))
-        return out
+def side_times(gains: np.ndarray, keeps: np.ndarray, runs: np.ndarray, lost: np.ndarray, gain: float, loss: float, alpha: float) -> np.ndarray:
+    """Of many sides, the times that make their gains, kept tokens and deletion runs likeliest.
 
-    return math.exp(golden(lambda x: value(math.exp(x)), math.log(1e-40), math.log(1e6)))
+    A run of k tokens has the probability p q (1 - q (1 - p))^(k - 1), so of a side's runs only their number and their
+    tokens count. A grid over ln t finds each side's peak, bisection on the derivative its place.
+    """
+    rate, q = gain / (loss * alpha + 1e-40), 1 / alpha
+    gains, keeps, runs, more = (np.asarray(x, float) for x in (gains, keeps, runs, np.asarray(lost) - runs))
+    low, high = math.log(1e-40), math.log(1e6)
+
+    def value(t: float) -> np.ndarray:
+        p = -math.expm1(-loss * t)
+        return gains * math.log(t * rate) - t * rate - loss * t * keeps + runs * math.log(p * q) + more * math.log(1 - q * (1 - p))
+
+    best, peak = np.full(len(gains), -np.inf), np.zeros(len(gains), int)
+    for i in range(GRID + 1):
+        v = value(math.exp(low + (high - low) * i / GRID))
+        better = v > best
+        best[better], peak[better] = v[better], i
+    step = (high - low) / GRID
+    a, b = low + step * np.maximum(peak - 1, 0), low + step * np.minimum(peak + 1, GRID)
+    for _ in range(60):
+        x = (a + b) / 2
+        t = np.exp(x)
+        z = loss * t
+        e = np.exp(-z)
+        # t times the derivative; z / (exp(z) - 1) is 1 at 0.
+        with np.errstate(over="ignore"):
+            up = gains - t * rate - z * keeps + runs * z / np.expm1(z) + more * q * z * e / (1 - q * e) > 0
+        a, b = np.where(up, x, a), np.where(up, b, x)
+    return np.exp((a + b) / 2)
 
 
 def golden(f, low: float, high: float, rounds: int = 200, close: float = 1e-12) -> float:
@@ -142,32 +214,41 @@ def golden(f, low: float, high: float, rounds: int = 200, close: float = 1e-12)
     return (a + b) / 2
 
 
-def pair_distances(counts: DataFrame, gain: float = SIMPLE_DISTANCE["gain"], loss: float = SIMPLE_DISTANCE["loss"], alpha: float = SIMPLE_DISTANCE["alpha"]) -> DataFrame:
-    """group_id, a, b, distance from the counts of pairs; the sum of both sides' times, within the allowed lengths."""
+def _fitted(sides: DataFrame, gain: float, loss: float, alpha: float) -> DataFrame:
+    """g, k, n, s, none, time: each set of a side's gains, kept tokens, runs and their tokens, once."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            known: dict[tuple, float] = {}
+            yield f.assign(none=(f.g == 0) & (f.n == 0), time=side_times(f.g, f.k, f.n, f.s, gain, loss, alpha))
 
-            def side(g: int, k: int, runs: list[int], known: dict = known) -> float:
-                key = (g, k, tuple(sorted(runs)))
-                if key not in known:
-                    known[key] = side_distance(g, k, list(key[2]), gain, loss, alpha)
-                return known[key]
+    whole = sides.select(*(F.col(c).cast("long").alias(c) for c in ("g", "k", "n", "s"))).distinct()
+    return whole.mapInPandas(fit, "g bigint, k bigint, n bigint, s bigint, none boolean, time double")
+
+
+def _summed(sides: DataFrame, gain: float, loss: float, alpha: float) -> DataFrame:
+    """group_id, a, b, distance of sides (group_id, x, y, g, k, n, s): both sides' times, within the allowed lengths."""
+    fitted = _fitted(sides, gain, loss, alpha)
+    both = sides.join(fitted, ["g", "k", "n", "s"]).groupBy("group_id", F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).agg(F.bool_and("none").alias("none"), F.sum("time").alias("time"))
+    total = F.when(F.col("none"), F.lit(MIN_BRANCH)).otherwise(F.col("time"))
+    return both.select("group_id", "a", "b", F.least(F.lit(MAX_BRANCH), F.greatest(F.lit(MIN_BRANCH), total)).alias("distance"))
 
-            total = [MIN_BRANCH if not (ga or gb or len(ra) or len(rb)) else side(ga, ka, ra) + side(gb, kb, rb) for ga, ka, ra, gb, kb, rb in zip(f.gains_a, f.keeps_a, f.runs_a, f.gains_b, f.keeps_b, f.runs_b, strict=True)]
-            yield pd.DataFrame({"group_id": f.group_id, "a": f.a, "b": f.b, "distance": [min(MAX_BRANCH, max(MIN_BRANCH, t)) for t in total]})
 
-    kinds = {f.name: f.dataType.simpleString() for f in counts.schema.fields}
-    return counts.mapInPandas(run, f"group_id {kinds['group_id']}, a {kinds['a']}, b {kinds['b']}, distance double")
+def pair_distances(counts: DataFrame, gain: float = SIMPLE_DISTANCE["gain"], loss: float = SIMPLE_DISTANCE["loss"], alpha: float = SIMPLE_DISTANCE["alpha"]) -> DataFrame:
+    """group_id, a, b, distance from the counts of pairs; the sum of both sides' times, within the allowed lengths."""
+    held = _held(counts)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    side = lambda i, x, y: held.select("group_id", F.col(x).alias("x"), F.col(y).alias("y"), F.col(f"gains_{i}").alias("g"), F.col(f"keeps_{i}").alias("k"), F.size(f"runs_{i}").cast("long").alias("n"), total(f"runs_{i}").alias("s"))
+    return _summed(side("a", "a", "b").unionByName(side("b", "b", "a")), gain, loss, alpha)
 
 
 #: Arrays that a task of `group_distances` holds against all of their group.
 BLOCK = 64
+#: Steps of the grid over ln t on which a peak is looked for.
+GRID = 256
 
 
 def _sides(mine: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Of one array's row of tokens (0 is none) against others: gains, kept tokens, deletion runs, longest first."""
+    """Of one array's row of tokens (0 is none) against others: gains, kept tokens, deletion runs, their tokens."""
     own = mine > 0
     equal = (others == mine) & own
     fes = np.where(equal.any(1), equal.argmax(1), mine.size)
@@ -175,7 +256,7 @@ def _sides(mine: np.ndarray, others: np.ndarray) -> np.ndarray:
     keeps = (older & own).sum(1)
     starts = np.unique(np.append(np.flatnonzero(own), 0))
     runs = np.add.reduceat((older & ~own & (others > 0)).astype(np.int32), starts, axis=1)
-    return np.column_stack([own.sum() - keeps, keeps, -np.sort(-runs, axis=1)]).astype(np.int32)
+    return np.column_stack([own.sum() - keeps, keeps, (runs > 0).sum(1), runs.sum(1)])
 
 
 def group_distances(alignment: DataFrame, gain: float = SIMPLE_DISTANCE["gain"], loss: float = SIMPLE_DISTANCE["loss"], alpha: float = SIMPLE_DISTANCE["alpha"]) -> DataFrame:
@@ -197,27 +278,14 @@ def group_distances(alignment: DataFrame, gain: float = SIMPLE_DISTANCE["gain"],
         cols, at = np.unique(np.concatenate(frame.cols.tolist()), return_inverse=True)
         cells = np.zeros((len(frame), max(len(cols), 1)), np.int32)
         cells[np.repeat(np.arange(len(frame)), sizes), at] = pd.factorize(np.concatenate(frame.tokens.tolist()))[0] + 1
-        ids, out = frame.array_id.to_numpy(), []
-        for i in np.flatnonzero(frame.own == frame.block):
-            rest = np.arange(len(frame)) != i
-            found = _sides(cells[i], cells[rest])
-            wide = 2 + (found[:, 2:] > 0).sum(1)
-            out.append(pd.DataFrame({"x": ids[i], "y": ids[rest], "side": [r[:n].tobytes() for r, n in zip(found, wide, strict=True)]}))
-        done = pd.concat(out) if out else pd.DataFrame({"x": ids[:0], "y": ids[:0], "side": []})
-        done.insert(0, "group_id", frame.group_id.iloc[0])
-        return done
-
-    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            counts = [np.frombuffer(s, np.int32).tolist() for s in f.side]
-            # As in pair_distances, runs go from the shortest on.
-            yield pd.DataFrame({"side": f.side, "none": [not g and not runs for g, _, *runs in counts], "time": [side_distance(g, k, runs[::-1], gain, loss, alpha) for g, k, *runs in counts]})
-
-    sides = _held(held.groupBy("group_id", "block").applyInPandas(run, f"group_id {kinds['group_id']}, x {kinds['array_id']}, y {kinds['array_id']}, side binary"))
-    times = sides.select("side").distinct().mapInPandas(fit, "side binary, none boolean, time double")
-    both = sides.join(times, "side").groupBy("group_id", F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).agg(F.min("none").alias("none"), F.sum("time").alias("time"))
-    total = F.when(F.col("none"), F.lit(MIN_BRANCH)).otherwise(F.col("time"))
-    return both.select("group_id", "a", "b", F.least(F.lit(MAX_BRANCH), F.greatest(F.lit(MIN_BRANCH), total)).alias("distance"))
+        ids, own = frame.array_id.to_numpy(), np.flatnonzero(frame.own == frame.block)
+        counts = np.concatenate([np.empty((0, 4), np.int64), *(np.delete(_sides(cells[i], cells), i, 0) for i in own)])
+        others = np.concatenate([ids[:0], *(np.delete(ids, i) for i in own)])
+        done = pd.DataFrame({"group_id": frame.group_id.iloc[0], "x": np.repeat(ids[own], len(ids) - 1), "y": others})
+        return done.assign(g=counts[:, 0], k=counts[:, 1], n=counts[:, 2], s=counts[:, 3])
+
+    sides = _held(held.groupBy("group_id", "block").applyInPandas(run, f"group_id {kinds['group_id']}, x {kinds['array_id']}, y {kinds['array_id']}, g bigint, k bigint, n bigint, s bigint"))
+    return _summed(sides, gain, loss, alpha)
 
 
 Node = tuple[str, str | None, float]

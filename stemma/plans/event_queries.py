@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,25 +73,25 @@ stats AS (SELECT s.group_id, s.node_id, t.branch_length AS t, coalesce(b.m, 0)::
 
 
 class Events:
-    """The tables that most queries here start from."""
+    """The tables that most queries here start from, each made once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.arrays = arrays._held(views.event_arrays(spark, sf_dir))
         self.tree = arrays._held(views.event_tree(self.arrays))
 
-    @property
+    @cached_property
     def order(self) -> DataFrame:
         return arrays.closure(arrays.edges(self.arrays))
 
-    @property
+    @cached_property
     def rank(self) -> DataFrame:
-        return arrays.topological_rank(self.arrays, self.order)
+        return arrays._held(arrays.topological_rank(self.arrays, self.order))
 
-    @property
+    @cached_property
     def profile(self) -> DataFrame:
         return arrays.presence(self.arrays, self.arrays).select("group_id", F.concat(F.lit("u"), "array_id").alias("node_id"), "token", "present")
 
-    @property
+    @cached_property
     def states(self) -> DataFrame:
         return arrays._held(reconstruct.joint_states(self.profile, self.tree, GAIN, LOSS))
 

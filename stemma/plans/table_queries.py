@@ -158,19 +158,48 @@ def pair_counts_and_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("group_id", "a", "b", "fes", "gains_a", "gains_b", "keeps_a", "keeps_b", text("runs_a"), text("runs_b"))
 
 
-@query()
+#: All pairs of each group; each side's time is where t times the derivative of its log likelihood changes its sign.
+DISTANCES = (
+    "WITH RECURSIVE "
+    + views.EVENT_ARRAYS_SQL
+    + f""",
+whole AS (SELECT group_id, array_id, token, 99 - token AS col FROM arrays),
+ids AS (SELECT DISTINCT group_id, array_id FROM whole),
+pairs AS (SELECT x.group_id, x.array_id AS x, y.array_id AS y FROM ids x JOIN ids y ON x.group_id = y.group_id AND x.array_id <> y.array_id),
+both_cells AS (SELECT p.*, c.col, c.token AS tx, NULL::INT AS ty FROM pairs p JOIN whole c ON c.group_id = p.group_id AND c.array_id = p.x
+  UNION ALL SELECT p.*, c.col, NULL::INT, c.token FROM pairs p JOIN whole c ON c.group_id = p.group_id AND c.array_id = p.y),
+cells AS (SELECT group_id, x, y, col, max(tx) AS tx, max(ty) AS ty FROM both_cells GROUP BY ALL),
+f AS (SELECT *, min(CASE WHEN tx = ty THEN col END) OVER (PARTITION BY group_id, x, y) AS fes, count(tx) OVER (PARTITION BY group_id, x, y ORDER BY col) AS run FROM cells),
+o AS (SELECT *, coalesce(col >= fes, false) AS older FROM f),
+sides AS (SELECT group_id, x, y, count(*) FILTER (NOT older AND tx IS NOT NULL) AS g, count(*) FILTER (older AND tx IS NOT NULL) AS k,
+  count(DISTINCT run) FILTER (older AND tx IS NULL) AS n, count(*) FILTER (older AND tx IS NULL) AS s FROM o GROUP BY ALL),
+model AS (SELECT {fn.SIMPLE_DISTANCE["gain"]}::DOUBLE / ({fn.SIMPLE_DISTANCE["loss"]}::DOUBLE * {fn.SIMPLE_DISTANCE["alpha"]}::DOUBLE) AS rate, {fn.SIMPLE_DISTANCE["loss"]}::DOUBLE AS loss, 1 / {fn.SIMPLE_DISTANCE["alpha"]}::DOUBLE AS q),
+bisected AS (
+  SELECT g, k, n, s, 0 AS i, ln(1e-40::DOUBLE) AS low, ln(1e6::DOUBLE) AS high FROM (SELECT DISTINCT g, k, n, s FROM sides)
+  UNION ALL SELECT g, k, n, s, i + 1, CASE WHEN up THEN (low + high) / 2 ELSE low END, CASE WHEN up THEN high ELSE (low + high) / 2 END FROM (
+    SELECT *, g - t * rate - z * k + n * CASE WHEN z < 1e-5 THEN 1 - z / 2 WHEN z > 700 THEN 0 ELSE z / (exp(z) - 1) END + (s - n) * q * z * exp(-z) / (1 - q * exp(-z)) > 0 AS up
+    FROM (SELECT *, exp((low + high) / 2) AS t, loss * exp((low + high) / 2) AS z FROM bisected, model) WHERE i < 70)),
+times AS (SELECT g, k, n, s, g = 0 AND n = 0 AS none, exp((low + high) / 2) AS t FROM bisected WHERE i = 70)"""
+)
+
+
+@query(DISTANCES + f" SELECT group_id, greatest(x, y) AS a, least(x, y) AS b, round(CASE WHEN bool_and(none) THEN {fn.MIN_BRANCH}::DOUBLE ELSE least({fn.MAX_BRANCH}::DOUBLE, greatest({fn.MIN_BRANCH}::DOUBLE, sum(t))) END, 7) AS distance FROM sides JOIN times USING (g, k, n, s) GROUP BY group_id, greatest(x, y), least(x, y)")
 def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distances(spark, sf_dir).withColumn("distance", F.round("distance", 7))
+
+
+def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.group_distances(views.event_arrays(spark, sf_dir).withColumn("col", 99 - F.col("token")))
 
 
 @query()
 def upgma_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.build_trees(pair_distances(spark, sf_dir))
+    return tree.build_trees(_distances(spark, sf_dir))
 
 
 @query()
 def neighbour_joining_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.build_trees(pair_distances(spark, sf_dir), "nj")
+    return tree.build_trees(_distances(spark, sf_dir), "nj")
 
 
 NAMES = "names AS (SELECT DISTINCT p_name AS name FROM part)"

@@ -184,9 +184,13 @@ def pair_counts(alignment: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.withColumn("runs_a", F.coalesce("runs_a", none)).withColumn("runs_b", F.coalesce("runs_b", none))
 
 
+def leaf_action(n: Column, kinds: Column) -> Column:
+    """What becomes of a leaf with n arrays of so many kinds: keep, split into several, prune; missing without any."""
+    return F.when(n.isNull(), "missing").when(n == 1, "keep").when(kinds == 1, "split").otherwise("prune")
+
+
 def combine_duplicate_leaves(leaves: DataFrame, arrays: DataFrame) -> DataFrame:
     """node_id, action: how a leaf meets its arrays by accession: keep, split into several, prune or missing."""
     held = packed(arrays).select("group_id", F.col("array_id").alias("node_id"), "tokens")
     facts = held.groupBy("group_id", "node_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("tokens").alias("kinds"))
-    action = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "keep").when(F.col("kinds") == 1, "split").otherwise("prune")
-    return leaves.join(facts, ["group_id", "node_id"], "left").select("group_id", "node_id", F.coalesce("n", F.lit(0)).alias("n"), action.alias("action"))
+    return leaves.join(facts, ["group_id", "node_id"], "left").select("group_id", "node_id", F.coalesce("n", F.lit(0)).alias("n"), leaf_action(F.col("n"), F.col("kinds")).alias("action"))

@@ -57,6 +57,12 @@ def old_tokens(events: DataFrame, tree: DataFrame) -> DataFrame:
     return events.where(F.col("kind") == "gain").join(root, "node_id", "left_semi").select("group_id", "token").distinct()
 
 
+def old_tokens_by_group(events: DataFrame, trees: DataFrame) -> DataFrame:
+    """The same where every group has its tree."""
+    root = trees.where(F.col("parent_id").isNull()).select("group_id", "node_id")
+    return events.where(F.col("kind") == "gain").join(root, ["group_id", "node_id"], "left_semi").select("group_id", "token").distinct()
+
+
 def blocks_with(block_tokens: DataFrame, tokens: DataFrame, all_of_them: bool = False) -> DataFrame:
     """Blocks that contain one of the tokens, or consist of them only; rows of their tokens."""
     own = ["group_id", "node_id", "block"]

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,27 @@ def grid(spark: SparkSession, **values: list) -> DataFrame:
     return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], ["sim_id", *values])
 
 
+def grid_of(*values: DataFrame) -> DataFrame:
+    """sim_id and a row for each combination of the tables' rows, numbered in order; a grid is a table of parameters."""
+    out = values[0]
+    for v in values[1:]:
+        out = out.join(v)
+    names = out.columns
+    return out.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*names)) - 1).cast("long").alias("sim_id"), *names)
+
+
+def with_skip_reason(parameters: DataFrame) -> DataFrame:
+    """parameters with the reason why a row isn't simulated, null if it is."""
+    return parameters.withColumn("skip_reason", F.when((F.col("gain") == 0) & (F.col("loss") == 0), "both rates are 0"))
+
+
+def turned(packed: DataFrame, *names: str, seed: int = 2357) -> DataFrame:
+    """Packed arrays, each turned around or not, by a hash of its names, with `turned`."""
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), *(F.col(n).cast("string") for n in names)))
+    out = packed.withColumn("turned", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 2 == 1)
+    return out.withColumn("tokens", F.when(F.col("turned"), F.reverse("tokens")).otherwise(F.col("tokens")))
+
+
 def repeated(parameters: DataFrame, runs: int) -> DataFrame:
     return parameters.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tree import ancestors, keys_of
+from .tree import ancestors, keys_of, leaf_counts
 
 COLOURS = 12
 
@@ -30,6 +30,20 @@ def event_labels(events: DataFrame, rank: DataFrame) -> DataFrame:
     return lists.select("group_id", "node_id", "kind", F.when(F.size("t") > 3, F.concat_ws(" ", F.element_at("t", 1), F.lit("-"), F.element_at("t", -1))).otherwise(F.array_join("t", " ")).alias("label"))
 
 
+def age_sorted(events: DataFrame, tree: DataFrame, rank: DataFrame) -> DataFrame:
+    """group_id, token, place: the order of display, oldest first.
+
+    Nodes go by the leaves below them, then by name; a token stands where the first of them gains it, there by rank.
+    Tokens that no node gains come last, as the youngest.
+    """
+    keys = keys_of(tree)
+    counts = leaf_counts(tree).select(*keys, "node_id", "n_leaves")
+    gains = events.where(F.col("kind") == "gain").join(counts, [*keys, "node_id"])
+    first = gains.groupBy("group_id", "token").agg(F.min(F.struct((-F.col("n_leaves")).alias("n"), "node_id")).alias("at"))
+    w = Window.partitionBy("group_id").orderBy(F.col("at").asc_nulls_last(), "rank", "token")
+    return rank.join(first, ["group_id", "token"], "left").select("group_id", "token", F.row_number().over(w).alias("place"))
+
+
 def plain_gains(events: DataFrame, contradictions: DataFrame, duplicates: DataFrame) -> DataFrame:
     """Gains that are neither contradictions nor duplicates."""
     own = ["group_id", "node_id", "token"]

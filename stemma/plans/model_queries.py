@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from stemma import sinks, views
 from stemma.functions import scalar as fn
 from stemma.operators import align, arrays, filters, fit, reconstruct, simulate, tree, visual
+from stemma.tables import held as _held
 
 from .event_queries import ABOVE, BLOCKS, GAIN, LOSS, STATES, Events
-from .table_queries import _raw
+from .table_queries import BR, DISTANCES, RAW, _raw, upgma_trees
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -90,11 +91,75 @@ def renamed_duplicate_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.renamed_duplicates(align.align_groups(_orders_by_customer(spark, sf_dir)))
 
 
-@query()
+#: What comes last in a column depends on the column before only by its last token, which never comes last again but
+#: where it is alone: the best two tokens of each column are enough.
+SPLIT = f"""WITH RECURSIVE {RAW},
+cols AS (SELECT group_id, pos, token, dense_rank() OVER (PARTITION BY group_id ORDER BY pos) AS k FROM (SELECT DISTINCT group_id, pos, token FROM raw)),
+marked AS (SELECT c.*, n.token IS NOT NULL AS after FROM cols c LEFT JOIN cols n ON n.group_id = c.group_id AND n.k = c.k + 1 AND n.token = c.token),
+top AS (SELECT group_id, k, list(token ORDER BY after DESC, token::VARCHAR DESC) AS t FROM marked GROUP BY ALL),
+last AS (SELECT group_id, k, t[1] AS token FROM top WHERE k = 1 UNION ALL
+  SELECT p.group_id, p.k, CASE WHEN p.t[1] = l.token AND len(p.t) > 1 THEN p.t[2] ELSE p.t[1] END FROM last l JOIN top p ON p.group_id = l.group_id AND p.k = l.k + 1),
+kinds AS (SELECT m.*, CASE WHEN l.token IS NOT NULL AND after THEN 1 WHEN l.token IS NOT NULL THEN 0 WHEN after THEN 3 ELSE 2 END AS kind FROM marked m LEFT JOIN last l ON l.group_id = m.group_id AND l.k = m.k - 1 AND l.token = m.token),
+placed AS (SELECT group_id, pos, token, CAST(row_number() OVER (PARTITION BY group_id ORDER BY pos, kind, token::VARCHAR) - 1 AS INT) AS col FROM kinds)
+SELECT group_id, array_id, col, token FROM raw JOIN placed USING (group_id, pos, token)"""
+
+
+@query(SPLIT)
 def split_mismatch_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.split_columns(_raw(spark, sf_dir).select("group_id", "array_id", F.col("pos").alias("col"), "token"))
 
 
+CUSTOMERS = """WITH named AS (SELECT c_nationkey || '_' || c_mktsegment AS group_id, c_custkey AS array_id, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT group_id, count(*) AS cells, count(DISTINCT array_id) AS arrays, count(DISTINCT array_id) AS in_order, 0::BIGINT AS mixed_columns FROM named GROUP BY ALL"""
+
+
+def _kept_in_order(alignment: DataFrame, given: DataFrame, token: str = "token") -> DataFrame:
+    """group_id, cells, arrays, arrays whose tokens stand in the order given, columns of several tokens."""
+    text = lambda rows, at, t: rows.groupBy("group_id", "array_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(at, F.col(t).cast("string").alias("t")))), lambda x: x["t"])).alias(at))
+    both = text(alignment, "col", token).join(text(given, "pos", "token"), ["group_id", "array_id"])
+    mixed = alignment.groupBy("group_id", "col").agg(F.countDistinct(token).alias("n")).groupBy("group_id").agg(F.count_if(F.col("n") > 1).alias("mixed_columns"))
+    cells = alignment.groupBy("group_id").agg(F.count(F.lit(1)).alias("cells"))
+    return both.groupBy("group_id").agg(F.count(F.lit(1)).alias("arrays"), F.count_if(F.col("col") == F.col("pos")).alias("in_order")).join(cells, "group_id").join(mixed, "group_id")
+
+
+@query(CUSTOMERS)
+def alignment_keeps_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every alignment must do: keep each array's tokens in their order, one token to a column."""
+    given = _orders_by_customer(spark, sf_dir)
+    return _kept_in_order(align.align_groups(given), given)
+
+
+@query(CUSTOMERS)
+def renamed_columns_keep_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with joined and renamed columns; every name stands in one column."""
+    given = _orders_by_customer(spark, sf_dir)
+    out = _held(align.renamed_duplicates(align.join_duplicates(align.align_groups(given))))
+    several = out.groupBy("group_id", "token").agg(F.countDistinct("col").alias("n")).groupBy("group_id").agg(F.count_if(F.col("n") > 1).alias("spread"))
+    return _kept_in_order(out, given, "base").join(several, "group_id").withColumn("mixed_columns", F.col("mixed_columns") + F.col("spread")).drop("spread")
+
+
+@query(STATES + """
+SELECT group_id, count(*) AS cells, count(*) AS as_observed, 0::BIGINT AS contradictions FROM profile GROUP BY ALL""")
+def refinement_keeps_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every refined reconstruction must do: leave the leaves as they are, and no contradiction."""
+    e = Events(spark, sf_dir)
+    states = reconstruct.refined_states(e.profile, e.tree, e.order, GAIN, LOSS)[0]
+    left = reconstruct.contradictions(reconstruct.branch_events(states, e.tree), e.tree, e.order).groupBy("group_id").agg(F.count(F.lit(1)).alias("contradictions"))
+    leaves = e.profile.join(states, ["group_id", "node_id", "token"]).groupBy("group_id").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("present") == F.col("state")).alias("as_observed"))
+    return leaves.join(left, "group_id", "left").select("group_id", "cells", "as_observed", F.coalesce("contradictions", F.lit(0)).alias("contradictions"))
+
+
+@query(DISTANCES + f", d AS (SELECT group_id, least({fn.MAX_BRANCH}::DOUBLE, greatest({fn.MIN_BRANCH}::DOUBLE, CASE WHEN bool_and(none) THEN 0 ELSE sum(t) END)) AS distance FROM sides JOIN times USING (g, k, n, s) GROUP BY group_id, greatest(x, y), least(x, y)) SELECT i.group_id, i.n AS leaves, 2 * i.n - 1 AS nodes, true AS ultrametric, round(min(distance) / 2, 7) AS lowest FROM d JOIN (SELECT group_id, count(*) AS n FROM ids GROUP BY ALL) i USING (group_id) GROUP BY ALL")
+def average_linkage_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every group's tree: its leaves and nodes, that leaves are level, and the height of the first join."""
+    nodes = _held(upgma_trees(spark, sf_dir))
+    t = _held(tree.with_depth(nodes))
+    inner = t.select("group_id", F.col("parent_id").alias("node_id")).distinct()
+    lowest = t.join(inner, ["group_id", "node_id"], "left_anti").groupBy("group_id").agg(F.min("branch_length").alias("lowest"))
+    facts = tree.metrics(t, 6).select("group_id", F.col("n_leaves").alias("leaves"), "ultrametric").join(t.groupBy("group_id").agg(F.count(F.lit(1)).alias("nodes")), "group_id")
+    return facts.join(lowest, "group_id").select("group_id", "leaves", "nodes", "ultrametric", F.round("lowest", 7).alias("lowest"))
+
+
 @query()
 def refined_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Events(spark, sf_dir)
@@ -133,11 +198,20 @@ def event_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual.event_labels(reconstruct.branch_events(e.states, e.tree), e.rank)
 
 
-@query()
+def _bundled(rows: str) -> str:
+    """A JSON object of lists of tokens by node; rows: group_id, node_id, token."""
+    lists = f"SELECT group_id, node_id, string_agg(token::VARCHAR, ',' ORDER BY token) AS tokens FROM {rows} GROUP BY ALL"
+    return f"SELECT group_id, '{{' || string_agg('\"' || node_id || '\":[' || tokens || ']', ',' ORDER BY node_id) || '}}' AS json FROM ({lists}) GROUP BY ALL"
+
+
+@query(STATES + f""",
+j1 AS ({_bundled("states WHERE state = 1")}), j2 AS ({_bundled("branch_events WHERE kind = 'gain'")}), j3 AS ({_bundled("branch_events WHERE kind = 'loss'")}),
+j0 AS (SELECT group_id, '[' || string_agg(token::VARCHAR, ',' ORDER BY rank) || ']' AS json FROM ranks GROUP BY ALL)
+SELECT j0.group_id, j0.json AS "order", j1.json AS profiles, j2.json AS gains, j3.json AS losses FROM j0 LEFT JOIN j1 USING (group_id) LEFT JOIN j2 USING (group_id) LEFT JOIN j3 USING (group_id)""")
 def event_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Events(spark, sf_dir)
     states = e.states
-    return sinks.event_bundle(states, reconstruct.branch_events(states, e.tree), e.rank)
+    return sinks.event_bundle(states, reconstruct.branch_events(states, e.tree), e.rank).withColumn("order", F.to_json("order"))
 
 
 @query(STATES + """,
@@ -159,7 +233,7 @@ def fragment_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "supplier").select(k.alias("k"), F.round(fn.fragment_pmf(1 + k % 9, 0.5 + k % 7), 9).alias("p"))
 
 
-@query()
+@query(BR + " SELECT group_id, array_id, '>' || array_id || chr(10) || string_agg(token::VARCHAR, ', ' ORDER BY pos) AS record FROM arrays GROUP BY group_id, array_id")
 def array_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.array_lines(views.brand_arrays(spark, sf_dir))
 

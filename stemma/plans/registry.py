@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import event_queries, model_queries, table_queries
+from . import column_queries, event_queries, file_queries, model_queries, table_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = [event_queries, table_queries, model_queries]
+MODULES = [event_queries, table_queries, model_queries, file_queries, column_queries]
 
 
 def queries() -> dict[str, Query]:

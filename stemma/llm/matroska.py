@@ -6,7 +6,11 @@ nanoseconds, a key flag and its byte range in the file, so that later readers fe
 `mux` stores samples losslessly as an 8-bit PCM track, with laced blocks, clusters and cues.
 
 `packet_table` gives a row for each packet; `read_media` a row for each file, with packets and cues as arrays and
-digests of the bytes at the packets' ranges. One file is one row: memory is bounded by the longest one.
+digests of what the packets' ranges hold. One file is one row: memory is bounded by the longest one, and files are
+read in batches of bounded bytes. `write_media` is written as a table before it is read back.
+
+Of a track's content encodings, stripped headers and zlib are undone when a packet's bytes are taken (`payload`); a
+range is always that of the stored bytes. Other encodings end a file's packets with an error.
 
 A null or empty file has no packets and the error "empty"; a damaged or cut one has its packets up to the damage and
 an error that says where. Repeated rows each get their result. An empty table gives an empty result.
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, strings, table, tuned
+from .common import batches, strings, table, tuned, written
 
 # Element IDs of the Matroska specification.
 EBML, DOC_TYPE = 0x1A45DFA3, 0x4282
@@ -35,6 +39,7 @@ TIMESTAMP_SCALE, DURATION = 0x2AD7B1, 0x4489
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, DEFAULT_DURATION = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
+CONTENT_ENCODINGS, CONTENT_ENCODING, CONTENT_COMPRESSION, COMP_ALGO, COMP_SETTINGS, CONTENT_ENCRYPTION = 0x6D80, 0x6240, 0x5034, 0x4254, 0x4255, 0x5035
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 #: What ends a cluster of unknown size.
 TOP = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS, EBML}
@@ -118,6 +123,13 @@ class Media:
     cues: list[tuple] = field(default_factory=list)
     clusters: int = 0
     error: str | None = None
+    #: Of a track: bytes stripped from the begin of each packet, or null for zlib.
+    encodings: dict[int, bytes | None] = field(default_factory=dict)
+
+    def payload(self, b: bytes, packet: tuple) -> bytes:
+        """What a packet holds, its content encoding undone."""
+        raw, prefix = b[packet[4] : packet[4] + packet[5]], self.encodings.get(packet[0], b"")
+        return zlib.decompress(raw) if prefix is None else prefix + raw
 
 
 def _vint(b: bytes, i: int, end: int, keep: bool = False) -> tuple[int, int, bool]:
@@ -207,6 +219,20 @@ def _block(b: bytes, i: int, end: int, cluster: int, media: Media, scale: int, t
         i += size
 
 
+def _encoding(b: bytes, i: int, end: int) -> bytes | None:
+    found = [(x, y) for k, x, y in _elements(b, i, end) if k == CONTENT_ENCODING]
+    if len(found) != 1:
+        raise Damaged(f"{len(found)} content encodings at {i}")
+    inner = {k: (x, y) for k, x, y in _elements(b, *found[0])}
+    if CONTENT_ENCRYPTION in inner or CONTENT_COMPRESSION not in inner:
+        raise Damaged(f"encrypted content at {i}")
+    held = {k: b[x:y] for k, x, y in _elements(b, *inner[CONTENT_COMPRESSION])}
+    algorithm = int.from_bytes(held.get(COMP_ALGO, b""), "big")
+    if algorithm not in (0, 3):
+        raise Damaged(f"compression {algorithm} at {i}")
+    return held.get(COMP_SETTINGS, b"") if algorithm else None
+
+
 def demux(b: bytes | None) -> Media:
     media = Media()
     if not b:
@@ -227,6 +253,9 @@ def demux(b: bytes | None) -> Media:
                         if k == TRACK_ENTRY:
                             entry = {k2: _uint(b, x2, y2) for k2, x2, y2 in _elements(b, x, y) if k2 in (TRACK_NUMBER, DEFAULT_DURATION)}
                             tracks[entry.get(TRACK_NUMBER, 0)] = entry.get(DEFAULT_DURATION, 0)
+                            for k2, x2, y2 in _elements(b, x, y):
+                                if k2 == CONTENT_ENCODINGS:
+                                    media.encodings[entry.get(TRACK_NUMBER, 0)] = _encoding(b, x2, y2)
                 elif key1 == CLUSTER:
                     media.clusters += 1
                     at = 0
@@ -299,7 +328,10 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
             out = []
             for raw in batch.column(len(names)).to_pylist():
                 m, raw = demux(raw), raw or b""
-                held = b"".join(raw[p[4] : p[4] + p[5]] for p in m.packets)
+                try:
+                    held = b"".join(m.payload(raw, p) for p in m.packets)
+                except zlib.error as e:
+                    held, m.error = b"", f"damaged packet: {e}"
                 out.append(([dict(zip(packet.names, p, strict=True)) for p in m.packets], [dict(zip(cue.names, c, strict=True)) for c in m.cues], m.error, len(held), hashlib.sha256(held).hexdigest(), zlib.crc32(held[-UNIT:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(held, m)))
             kinds = [pa.list_(packet), pa.list_(cue), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))], names=names + added)
@@ -315,5 +347,5 @@ def packet_table(df: DataFrame, media: str = "media") -> DataFrame:
 
 
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = read_media(write_media(table(spark, sf_dir, "documents")))
+    read = read_media(written(write_media(table(spark, sf_dir, "documents")), "media"))
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("packets").alias("n_packets"), F.size("cues").alias("n_cues"))

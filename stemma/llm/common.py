@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch sent to Python; texts may be long, so batches are kept short.
 ARROW_ROWS = 512
+#: Bytes of rows that an operator works on at once, at most, but for a longer row.
+BATCH_BYTES = 8_000_000
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -110,8 +112,17 @@ def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in rows if b.num_rows)
+def batches(rows: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches that have rows, halved until they have `most` bytes or one row: what is made of them is bounded."""
+    for b in rows:
+        todo = [b]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > most:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            elif part.num_rows:
+                yield part
 
 
 def release() -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import op4_ivfpq_neighbours
 from .chat import ORACLE as CHAT_SQL
 from .chat import op8_chat_prefix_targets
+from .group_join import ORACLE as GROUP_JOIN_SQL
 from .group_join import op10_group_join
 from .line_dedup import ORACLE as LINE_DEDUP_SQL
 from .line_dedup import op1_line_dedup
@@ -26,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op8_chat_prefix_targets": CHAT_SQL}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op8_chat_prefix_targets": CHAT_SQL, "op10_group_join": GROUP_JOIN_SQL}

@@ -450,3 +450,16 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
 def op10_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The same from the words themselves, by counting the common shingles of all pairs that have some.
+ORACLE = f"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWERED}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+cut AS (SELECT doc_id, unnest(CASE WHEN len(w) >= {WORDS} THEN list_distinct([array_to_string(w[i:i + {WORDS - 1}], ' ') FOR i IN range(1, len(w) - {WORDS - 2})]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM cut GROUP BY ALL),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM cut x JOIN cut y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= {PERCENT} * (s.n + t.n - c)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id"""

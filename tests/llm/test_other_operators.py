@@ -2,14 +2,16 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stemma.llm import ann, chat, components, entry, matroska, mixing, quality
+from stemma.llm import ann, chat, common, components, entry, matroska, mixing, quality
 
 from .conftest import BASE, TEXTS, texts_of
 
@@ -235,6 +237,42 @@ def test_media_round_trips(docs, none):
     assert packets.where("doc_id = 10").count() > 8
 
 
+def test_media_features(spark):
+    """All columns of a file's row, from the text alone; equal texts have equal ones."""
+    texts = ["", "a", "é" * 40, "x" * 64, "word " * 900, None, "a", "line\n" * 7000]
+    out = matroska.read_media(matroska.write_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    rows = {r.doc_id: r for r in out.collect()}
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        p = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        r, frames = rows[k], -(-len(p) // 512)
+        clusters = -(-frames // 64)
+        levels, crossings = len(set(p)), sum((a >= 128) != (b >= 128) for a, b in zip(p, p[1:], strict=False))
+        want = f"packets={frames};clusters={clusters};cues={clusters};last_ns={(frames - 1) * 64_000_000};sum={sum(p)};energy={sum(x * x for x in p)};peak={max(p)};crossings={crossings};levels={levels}"
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32, r.feature) == (len(raw), len(p), zlib.crc32(p[-64:]), want)
+        assert r.payload_sha256 == hashlib.sha256(p).hexdigest() and r.media_sha256 == hashlib.sha256(matroska.mux(p)).hexdigest() and r.media_bytes == len(matroska.mux(p))
+
+
+def test_content_encodings_are_undone():
+    e, n = matroska.element, matroska.number
+    for algorithm, settings, stored in ((3, b"HEAD", b"tail"), (0, b"", zlib.compress(b"HEADtail")), (1, b"", b"x")):
+        compression = e(matroska.CONTENT_COMPRESSION, n(matroska.COMP_ALGO, algorithm) + (e(matroska.COMP_SETTINGS, settings) if settings else b""))
+        track = e(matroska.TRACK_ENTRY, n(matroska.TRACK_NUMBER, 1) + e(matroska.CONTENT_ENCODINGS, e(matroska.CONTENT_ENCODING, compression)))
+        cluster = e(matroska.CLUSTER, n(matroska.TIMESTAMP, 0) + e(matroska.SIMPLE_BLOCK, matroska.vint(1) + b"\x00\x00\x80" + stored))
+        f = e(matroska.EBML, e(matroska.DOC_TYPE, b"matroska")) + e(matroska.SEGMENT, e(matroska.TRACKS, track) + cluster)
+        m = matroska.demux(f)
+        if algorithm == 1:
+            assert m.error and not m.packets
+        else:
+            assert m.error is None and [m.payload(f, p) for p in m.packets] == [b"HEADtail"] and f[m.packets[0][4] :][: m.packets[0][5]] == stored
+
+
+def test_batches_are_halved():
+    b = pa.RecordBatch.from_arrays([pa.array(["x" * 100] * 37 + ["y" * 5000, ""])], names=["t"])
+    parts = list(common.batches(iter([b, b.slice(0, 0)]), 1000))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([b])) and all(p.nbytes <= 1000 or p.num_rows == 1 for p in parts)
+
+
 def test_lacing_cues_and_damage():
     r = random.Random(1)
     for n in (64, 512, 576, 4096, 4160, 32768, 32832, 640_000):

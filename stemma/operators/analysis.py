@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.functions.scalar import digitize
+from stemma.tables import numbered_rows
 
 
 def histogram(rows: DataFrame, value: str, width: float, *keys: str) -> DataFrame:
@@ -22,7 +23,7 @@ def value_shares(rows: DataFrame, by: str, value: str) -> DataFrame:
 def category_counts(rows: DataFrame, value: str) -> DataFrame:
     """value, n, place: the commonest first."""
     counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), value)))
+    return numbered_rows(counts, "place", F.desc("n"), value).withColumn("place", F.col("place") + 1)
 
 
 def two_way_counts(rows: DataFrame, x: str, hue: str, values: list | None = None) -> DataFrame:

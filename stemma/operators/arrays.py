@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.tables import held as _held
+from stemma.tables import numbered_rows
 
 ARRAY = ["group_id", "array_id"]
 
@@ -80,7 +81,7 @@ def unique_in_order(arrays: DataFrame) -> DataFrame:
 def first_seen_ids(rows: DataFrame, value: str, *order: str) -> DataFrame:
     """value, id: numbers from 1 by first occurrence, over all groups."""
     first = rows.groupBy(value).agg(F.min(F.struct(*order)).alias("at"))
-    return first.select(value, F.row_number().over(Window.orderBy("at", value)).alias("id"))
+    return numbered_rows(first, "id", "at", value).select(value, (F.col("id") + 1).alias("id"))
 
 
 def numbered(arrays: DataFrame, rank: DataFrame) -> DataFrame:

@@ -35,7 +35,8 @@ def similar_pairs(rows: DataFrame, value: str, most: int) -> DataFrame:
     longer = longer.select("y", "nx", "i", F.substring("y", F.col("begin").cast("int") + 1, F.col("size").cast("int")).alias("piece")).distinct()
     met = short.join(longer, ["nx", "i", "piece"]).select("x", "y")
     tiny = v.where(~long_enough)
-    met = met.unionByName(tiny.select(F.col("v").alias("x"), F.col("n").alias("nx")).join(v.select(F.col("v").alias("y"), F.col("n").alias("ny")), F.col("ny") - F.col("nx") <= most).select("x", "y"))
+    near = tiny.select(F.col("v").alias("x"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("n") - most), F.col("n") + most)).alias("n"))
+    met = met.unionByName(near.join(v.select(F.col("v").alias("y"), "n"), "n").select("x", "y"))
     pairs = met.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return pairs.withColumn("distance", F.levenshtein("a", "b", most)).where(F.col("distance") >= 0)
 

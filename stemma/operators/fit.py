@@ -12,11 +12,13 @@ from decimal import Decimal, localcontext
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.functions.scalar import SIGNIFICANCE, chi2_quantile, unbiased_alpha
 
+from stemma.tables import numbered_rows
+
 from .tree import golden, keys_of
 
 
@@ -72,27 +74,42 @@ def derived_rates(rho: Column, alpha: Column, length: Column) -> dict[str, Colum
     return {"per_token": rho * alpha, "insertion": rho * alpha * length}
 
 
-def fit_branches(rows: list[tuple[float, int, int, int]]) -> dict[str, float]:
-    """Both models fitted to branches (t, m, lost, kept) of any lengths, by nested golden sections."""
-    rows = [r for r in rows if r[0] > 0]
+def _best_rates(rows: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each q, the likeliest rate and its ln likelihood; rows: t, m, lost, kept.
 
-    def lnl(rho: float, alpha: float) -> float:
-        out, q = 0.0, 1 / alpha
-        for t, m, lost, kept in rows:
-            p = -math.expm1(-rho * t)
-            out += (m * math.log(max(1e-300, p * q)) if m else 0.0) + ((lost - m) * math.log(max(1e-300, 1 - q * (1 - p))) if lost > m else 0.0) - rho * t * kept
-        return out
+    The ln likelihood is concave in the rate, so its derivative has one root at most.
+    """
+    t, m, lost, kept = rows.T
+    more = lost - m
+    low, high = np.full(len(q), math.log(1e-8)), np.full(len(q), math.log(1e5))
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        for _ in range(80):
+            x = (low + high) / 2
+            e = np.exp(np.exp(x)[:, None] * t)
+            up = (t * (m / (e - 1) + more * q[:, None] / (e - q[:, None]) - kept)).sum(1) > 0
+            low, high = np.where(up, x, low), np.where(up, high, x)
+    rho = np.exp((low + high) / 2)
+    p = -np.expm1(-rho[:, None] * t)
+    blocks = np.where(m > 0, m * np.log(np.maximum(1e-300, p * q[:, None])), 0.0)
+    return rho, (blocks + np.where(more > 0, more * np.log(np.maximum(1e-300, 1 - q[:, None] * (1 - p))), 0.0) - rho[:, None] * t * kept).sum(1)
 
-    if not rows or not any(r[2] for r in rows):
+
+def fit_branches(rows: list[tuple[float, int, int, int]]) -> dict[str, float]:
+    """Both models fitted to branches (t, m, lost, kept) of any lengths: a grid over ln alpha that narrows around the
+    best one, with the best rate for each of its points."""
+    held = np.array([r for r in rows if r[0] > 0], float).reshape(-1, 4)
+    if not held[:, 2].any():
         return {"rho_idm": 0.0, "lnl_idm": 0.0, "rho_bdm": 0.0, "alpha": 1.0, "lnl_bdm": 0.0, "lrt": 0.0}
-    best = lambda a: golden(lambda x: lnl(math.exp(x), a), math.log(1e-8), math.log(1e5), close=1e-11)
-    r0 = math.exp(best(1.0))
-    shape = golden(lambda a: lnl(math.exp(best(math.exp(a))), math.exp(a)), 0.0, math.log(1e3), close=1e-9)
-    alpha = math.exp(shape)
-    r1 = math.exp(best(alpha))
-    if lnl(r1, alpha) < lnl(r0, 1.0):
-        r1, alpha = r0, 1.0
-    l0, l1 = lnl(r0, 1.0), lnl(r1, alpha)
+    low, high, points = 0.0, math.log(1e3), 257
+    for _ in range(9):
+        x = np.linspace(low, high, points)
+        rho, lnl = _best_rates(held, np.exp(-x))
+        best = int(lnl.argmax())
+        low, high, points = x[max(0, best - 1)], x[min(points - 1, best + 1)], 33
+    (r0,), (l0,) = (y.tolist() for y in _best_rates(held, np.ones(1)))
+    r1, alpha, l1 = float(rho[best]), float(np.exp(x[best])), float(lnl[best])
+    if l1 < l0:
+        r1, alpha, l1 = r0, 1.0, l0
     return {"rho_idm": r0, "lnl_idm": l0, "rho_bdm": r1, "alpha": alpha, "lnl_bdm": l1, "lrt": 2 * (l1 - l0)}
 
 
@@ -113,9 +130,9 @@ def fit(branches: DataFrame, *keys: str) -> DataFrame:
 
 def chunked(groups: DataFrame, size: int, order: str = "group_id") -> DataFrame:
     """Pool numbers for groups in order, `size` to a pool; what is left over joins the last pool."""
-    k = F.row_number().over(Window.orderBy(order)) - 1
-    n = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) / size))
-    return groups.withColumn("pool", F.least(F.floor(k / size), n - 1))
+    out = numbered_rows(groups, "__k", order)
+    n = max(1, out.count() // size)
+    return out.withColumn("pool", F.least(F.floor(F.col("__k") / size), F.lit(n - 1).cast("long"))).drop("__k")
 
 
 def with_total(pooled_input: DataFrame, *keys: str) -> DataFrame:

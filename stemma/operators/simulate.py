@@ -7,18 +7,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemma.tables import numbered_rows
+
 
 def grid(spark: SparkSession, **values: list) -> DataFrame:
     """sim_id and a row for each combination; seeds follow sim_id."""
-    out = None
-    for name, v in values.items():
-        one = spark.createDataFrame([(x,) for x in v], [name])
-        out = one if out is None else out.crossJoin(F.broadcast(one))
-    rows = out.orderBy(*values).collect()
-    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], ["sim_id", *values])
+    return grid_of(*(spark.createDataFrame([(x,) for x in v], [name]) for name, v in values.items()))
 
 
 def grid_of(*values: DataFrame) -> DataFrame:
@@ -26,8 +23,7 @@ def grid_of(*values: DataFrame) -> DataFrame:
     out = values[0]
     for v in values[1:]:
         out = out.join(v)
-    names = out.columns
-    return out.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*names)) - 1).cast("long").alias("sim_id"), *names)
+    return numbered_rows(out, "sim_id", *out.columns).select("sim_id", *out.columns)
 
 
 def with_skip_reason(parameters: DataFrame) -> DataFrame:

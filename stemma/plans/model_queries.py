@@ -175,6 +175,17 @@ def moved_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconstruct.moved_tokens(gains, gains.limit(0))
 
 
+@query(STATES + ABOVE + """,
+first AS (SELECT b.*, row_number() OVER (PARTITION BY b.group_id, b.token ORDER BY t.depth, b.node_id) AS k FROM branch_events b JOIN tree t USING (node_id) WHERE kind = 'gain'),
+moved AS (SELECT * FROM first WHERE k > 1 AND NOT (token % 3 = 0 AND node_id LIKE 'u%'))
+SELECT g.group_id, count(m.token) AS n FROM (SELECT DISTINCT group_id FROM first) g LEFT JOIN moved m USING (group_id) GROUP BY ALL""")
+def tokens_moved_from_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gains again elsewhere, but for those that a guide already has."""
+    e = Events(spark, sf_dir)
+    gains = reconstruct.branch_events(e.states, e.tree).where(F.col("kind") == "gain").join(e.tree.select("node_id", "depth"), "node_id")
+    return reconstruct.moved_tokens(gains, gains.where((F.col("token") % 3 == 0) & F.startswith("node_id", F.lit("u"))))
+
+
 @query(STATES + " SELECT group_id, token, bool_or(node_id LIKE 'u%') AS on_leaf FROM branch_events WHERE kind = 'gain' GROUP BY ALL")
 def leaf_only_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Events(spark, sf_dir)

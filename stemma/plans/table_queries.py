@@ -75,7 +75,7 @@ def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EV + ", f AS (SELECT token, min(group_id || '/' || lpad(array_id::VARCHAR, 12, '0') || '/' || lpad(pos::VARCHAR, 6, '0')) AS place FROM arrays GROUP BY ALL) SELECT token, CAST(row_number() OVER (ORDER BY place, token) AS INT) AS id FROM f")
 def first_seen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return arrays.first_seen_ids(views.event_arrays(spark, sf_dir), "token", "group_id", "array_id", "pos")
+    return arrays.first_seen_ids(views.event_arrays(spark, sf_dir), "token", "group_id", "array_id", "pos").withColumn("id", F.col("id").cast("int"))
 
 
 RAW = "raw AS (SELECT event_type AS group_id, user_id AS array_id, CAST(row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) - 1 AS INT) AS pos, CAST(json_extract_string(props, '$.k') AS INT) AS token FROM events)"
@@ -222,8 +222,8 @@ def single_link_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def greedy_leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = views.table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ord"))
-    return cluster.greedy_leader(names.withColumn("repeat", F.lit("all")), "name", 4)
+    names = views.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("repeat"), F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ord"))
+    return cluster.greedy_leader(names, "name", 4)
 
 
 @query(
@@ -335,7 +335,7 @@ def value_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH c AS (SELECT p_type, count(*) AS n FROM part GROUP BY ALL) SELECT *, CAST(row_number() OVER (ORDER BY n DESC, p_type) AS INT) AS place FROM c")
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.category_counts(views.table(spark, sf_dir, "part"), "p_type")
+    return analysis.category_counts(views.table(spark, sf_dir, "part"), "p_type").withColumn("place", F.col("place").cast("int"))
 
 
 @query("SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS F, count(*) FILTER (l_linestatus = 'O') AS O FROM lineitem GROUP BY ALL")

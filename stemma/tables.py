@@ -6,7 +6,8 @@ import os
 import uuid
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _folders: set[str] = set()
 
@@ -45,3 +46,16 @@ def held(df: DataFrame) -> DataFrame:
     path = new_path(spark, "held")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered_rows(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """A written table of df with each row's number in `order`, from 0: inside ranges of rows, and over the ranges.
+
+    No task needs all rows; the table of ranges has a row for each partition. Ties are broken as they come.
+    """
+    part = f"{name}_part"
+    ranged = held(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select(part, (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(part)) - F.col("n")).alias("start"))
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    return ranged.join(F.broadcast(starts), part).withColumn(name, inside + F.col("start")).drop(part, "start")

@@ -45,20 +45,20 @@ STATES = (
     + f""",
 chain AS (SELECT {_A}::DOUBLE AS a, {_B}::DOUBLE AS b, exp(-({_A}::DOUBLE + {_B}::DOUBLE)) AS e),
 p AS (SELECT ln((b + a * e) / (a + b)) AS p00, ln(a * (1 - e) / (a + b)) AS p01, ln(b * (1 - e) / (a + b)) AS p10, ln((a + b * e) / (a + b)) AS p11 FROM chain),
-profile AS (SELECT g.group_id, 'u' || g.array_id AS node_id, t.token, CAST(x.token IS NOT NULL AS INT) AS present
+profile AS MATERIALIZED (SELECT g.group_id, 'u' || g.array_id AS node_id, t.token, CAST(x.token IS NOT NULL AS INT) AS present
   FROM (SELECT DISTINCT group_id, array_id FROM arrays) g JOIN (SELECT DISTINCT group_id, token FROM arrays) t USING (group_id) LEFT JOIN arrays x ON x.group_id = g.group_id AND x.array_id = g.array_id AND x.token = t.token),
-l3 AS (SELECT group_id, node_id, token, present AS c0, present AS c1, CASE present WHEN 1 THEN p01 ELSE p00 END AS m0, CASE present WHEN 1 THEN p11 ELSE p10 END AS m1 FROM profile, p),
-s2 AS (SELECT group_id, parent_id AS node_id, token, sum(m0) AS l0, sum(m1) AS l1 FROM l3 JOIN tree USING (node_id) GROUP BY ALL),
-l2 AS (SELECT group_id, node_id, token, CAST(p01 + l1 > p00 + l0 + 1e-9 AS INT) AS c0, CAST(p11 + l1 > p10 + l0 + 1e-9 AS INT) AS c1, greatest(p00 + l0, p01 + l1) AS m0, greatest(p10 + l0, p11 + l1) AS m1 FROM s2, p),
-s1 AS (SELECT group_id, parent_id AS node_id, token, sum(m0) AS l0, sum(m1) AS l1 FROM l2 JOIN tree USING (node_id) GROUP BY ALL),
-l1 AS (SELECT group_id, node_id, token, CAST(p01 + l1 > p00 + l0 + 1e-9 AS INT) AS c0, CAST(p11 + l1 > p10 + l0 + 1e-9 AS INT) AS c1, greatest(p00 + l0, p01 + l1) AS m0, greatest(p10 + l0, p11 + l1) AS m1 FROM s1, p),
-s0 AS (SELECT group_id, parent_id AS node_id, token, sum(m0) AS l0, sum(m1) AS l1 FROM l1 JOIN tree USING (node_id) GROUP BY ALL),
-t0 AS (SELECT group_id, node_id, token, CAST(l1 + p01 > l0 + p00 + 1e-9 AS INT) AS state FROM s0, p),
-t1 AS (SELECT l.group_id, l.node_id, l.token, CASE u.state WHEN 0 THEN l.c0 ELSE l.c1 END AS state FROM l1 l JOIN tree USING (node_id) JOIN t0 u ON u.group_id = l.group_id AND u.node_id = tree.parent_id AND u.token = l.token),
-t2 AS (SELECT l.group_id, l.node_id, l.token, CASE u.state WHEN 0 THEN l.c0 ELSE l.c1 END AS state FROM l2 l JOIN tree USING (node_id) JOIN t1 u ON u.group_id = l.group_id AND u.node_id = tree.parent_id AND u.token = l.token),
-states AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT group_id, node_id, token, present FROM profile),
-branch_states AS (SELECT s.group_id, s.node_id, s.token, s.state, coalesce(u.state, 0) AS up, tree.parent_id FROM states s JOIN tree USING (node_id) LEFT JOIN states u ON u.group_id = s.group_id AND u.node_id = tree.parent_id AND u.token = s.token),
-branch_events AS (SELECT group_id, node_id, token, CASE state WHEN 1 THEN 'gain' ELSE 'loss' END AS kind FROM branch_states WHERE state <> up)"""
+l3 AS MATERIALIZED (SELECT group_id, node_id, token, present AS c0, present AS c1, CASE present WHEN 1 THEN p01 ELSE p00 END AS m0, CASE present WHEN 1 THEN p11 ELSE p10 END AS m1 FROM profile, p),
+s2 AS MATERIALIZED (SELECT group_id, parent_id AS node_id, token, sum(m0) AS l0, sum(m1) AS l1 FROM l3 JOIN tree USING (node_id) GROUP BY ALL),
+l2 AS MATERIALIZED (SELECT group_id, node_id, token, CAST(p01 + l1 > p00 + l0 + 1e-9 AS INT) AS c0, CAST(p11 + l1 > p10 + l0 + 1e-9 AS INT) AS c1, greatest(p00 + l0, p01 + l1) AS m0, greatest(p10 + l0, p11 + l1) AS m1 FROM s2, p),
+s1 AS MATERIALIZED (SELECT group_id, parent_id AS node_id, token, sum(m0) AS l0, sum(m1) AS l1 FROM l2 JOIN tree USING (node_id) GROUP BY ALL),
+l1 AS MATERIALIZED (SELECT group_id, node_id, token, CAST(p01 + l1 > p00 + l0 + 1e-9 AS INT) AS c0, CAST(p11 + l1 > p10 + l0 + 1e-9 AS INT) AS c1, greatest(p00 + l0, p01 + l1) AS m0, greatest(p10 + l0, p11 + l1) AS m1 FROM s1, p),
+s0 AS MATERIALIZED (SELECT group_id, parent_id AS node_id, token, sum(m0) AS l0, sum(m1) AS l1 FROM l1 JOIN tree USING (node_id) GROUP BY ALL),
+t0 AS MATERIALIZED (SELECT group_id, node_id, token, CAST(l1 + p01 > l0 + p00 + 1e-9 AS INT) AS state FROM s0, p),
+t1 AS MATERIALIZED (SELECT l.group_id, l.node_id, l.token, CASE u.state WHEN 0 THEN l.c0 ELSE l.c1 END AS state FROM l1 l JOIN tree USING (node_id) JOIN t0 u ON u.group_id = l.group_id AND u.node_id = tree.parent_id AND u.token = l.token),
+t2 AS MATERIALIZED (SELECT l.group_id, l.node_id, l.token, CASE u.state WHEN 0 THEN l.c0 ELSE l.c1 END AS state FROM l2 l JOIN tree USING (node_id) JOIN t1 u ON u.group_id = l.group_id AND u.node_id = tree.parent_id AND u.token = l.token),
+states AS MATERIALIZED (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT group_id, node_id, token, present FROM profile),
+branch_states AS MATERIALIZED (SELECT s.group_id, s.node_id, s.token, s.state, coalesce(u.state, 0) AS up, tree.parent_id FROM states s JOIN tree USING (node_id) LEFT JOIN states u ON u.group_id = s.group_id AND u.node_id = tree.parent_id AND u.token = s.token),
+branch_events AS MATERIALIZED (SELECT group_id, node_id, token, CASE state WHEN 1 THEN 'gain' ELSE 'loss' END AS kind FROM branch_states WHERE state <> up)"""
 )
 ABOVE = """,
 above AS (SELECT node_id, parent_id AS ancestor, branch_length AS distance, 1 AS steps FROM tree WHERE parent_id IS NOT NULL

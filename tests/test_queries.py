@@ -4,8 +4,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from stemma.plans import file_queries
 
 BASE = ["event_counts", "mle_idm_bdm_lrt", "pair_counts_and_runs", "array_dedup", "single_link_clusters", "leaf_distance", "leaf_rows", "unseen_probability"]
+BASE += ["ml_states", "branch_gains_losses", "pair_distances", "split_mismatch_columns", "event_bundle", "age_sorted_tokens", "tokens_moved_from_guide", "refinement_keeps_leaves", "first_seen_ids", "category_counts", "pooled_estimates_by_chunk"]
+BASE += [*file_queries.QUERIES, "arrays_without_gaps", "rate_conversions", "group_agreement", "inverted_maps", "near_genes_or_typed", "rows_of_chosen_runs", "leaf_actions", "tree_with_leaf_actions", "parameter_grid", "mutated_arrays"]
 
 
 def rows(table):

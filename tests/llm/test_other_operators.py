@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stemma.llm import ann, chat, common, components, entry, matroska, mixing, quality
+from stemma.llm import ann, chat, common, components, entry, matroska, mixing, quality, token_counts, unigram_scan
 
 from .conftest import BASE, TEXTS, texts_of
+from .test_text_operators import WORD, plain_components
 
 # --- neighbours
 
@@ -361,6 +362,61 @@ def test_pipeline(spark, data):
     assert rows and all(r.round_trip and len(r.ids) == 4 * r.n_pieces for r in rows) and {r.doc_id for r in rows} <= {d for d, _ in kept}
 
 
+def plain_passages(pairs):
+    """Texts without every two neighbouring lines that stand before, in the order of doc_id."""
+    seen, out = set(), {}
+    for doc, text in sorted(pairs):
+        rows, gone = text.split("\n"), set()
+        for k, two in enumerate(zip(rows, rows[1:], strict=False)):
+            gone |= {k, k + 1} if two in seen else set()
+            seen.add(two)
+        out[doc] = "\n".join(x for k, x in enumerate(rows) if k not in gone)
+    return out
+
+
+def test_pipeline_stage_by_stage(spark, data):
+    """Each stage's rows from those of the stage before, by plain Python."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    held = {r.doc_id: r for r in docs.collect()}
+    rules = quality.fit(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    ids = sorted(held)
+    scores = dict(zip(ids, rules.predict(np.array([quality.measure(held[d].text or "") for d in ids])), strict=True))
+    good = {d: held[d].text or "" for d in ids if scores[d] >= quality.THRESHOLD}
+    stages = dict(corpus_pipeline.STAGES)
+    one = common.written(stages["quality"](spark, docs, data), "test")
+    assert dict(texts_of(one)) == good
+    two = common.written(stages["line_dedup"](spark, one, data), "test")
+    passages = plain_passages(good.items())
+    assert dict(texts_of(two)) == passages
+    three = common.written(stages["near_duplicates"](spark, two, data), "test")
+    found = plain_components(list(passages.items()))
+    assert {d for d, _ in texts_of(three)} == {d for d, _, c in found if d == c}
+    four = common.written(stages["mixing"](spark, three, data), "test")
+    left, size = {r.doc_id: r for r in three.collect()}, lambda t: len(mixing_words(t))
+    per, taken, each = Counter(), Counter(), Counter()
+    for r in left.values():
+        per[r.source] += size(r.text)
+    for r in four.collect():
+        taken[r.source] += size(r.text)
+        each[r.doc_id] += size(r.text)
+        assert set(mixing_words(r.text)) <= set(mixing_words(left[r.doc_id].text)) and r.n_chars == len(r.text)
+    assert all(abs(taken[s] - t) <= 0.5 + 1e-9 * t for s, t in plain_targets(per).items()) and all(n <= 2 * size(left[d].text) for d, n in each.items())
+    five = stages["sentencepiece"](spark, four, data)
+    with open(token_counts.model_path(), "rb") as f:
+        v = unigram_scan.Vocabulary(f.read())
+    assert Counter((r.doc_id, bytes(r.ids)) for r in five.collect()) == Counter((r.doc_id, unigram_scan.encode_whole(v, r.text)) for r in four.collect())
+
+
+def mixing_words(text):
+    return WORD.findall(text or "")
+
+
+def test_pipeline_on_empty_tables(spark, data, tmp_path):
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{data}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in entry.queries()] == [f"op{k}" for k in range(1, 11)] and set(entry.oracle_sql()) <= set(entry.queries())
 

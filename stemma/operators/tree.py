@@ -308,24 +308,31 @@ def _matrix(names: list[str], distance: Distances) -> np.ndarray:
 
 
 def upgma(names: list[str], distance: Distances) -> list[Node]:
-    """(node, parent, branch length) of the tree of average linkage; among equal distances the last pair joins."""
+    """(node, parent, branch length) of the tree of average linkage; among equal distances the last pair joins.
+
+    A joined pair keeps the place of its first member, so places stay in order. Every row's least distance is held, and
+    looked for again only where it has gone.
+    """
     d = _matrix(names, distance)
     np.fill_diagonal(d, np.inf)
-    size, height, at, out, live = dict.fromkeys(names, 1), dict.fromkeys(names, 0.0), 0, [], list(names)
-    while len(live) > 1:
-        v = float(d.min())
-        rows, cols = np.nonzero(d == v)
-        last = np.flatnonzero(cols < rows)[-1]
-        i, j = int(rows[last]), int(cols[last])
-        x, y, at = live[i], live[j], at + 1
+    n, at, out, live = len(names), 0, [], list(names)
+    size, height = np.ones(n), np.zeros(n)
+    low = d.min(1) if n else np.empty(0)
+    for _ in range(n - 1):
+        v = float(low.min())
+        i = int(np.flatnonzero(low == v)[-1])
+        j = int(np.flatnonzero(d[i, :i] == v)[-1])
+        at += 1
         name = f"Inner{at}"
-        d[j] = d[:, j] = (size[x] * d[i] + size[y] * d[j]) / (size[x] + size[y])
+        out += [(live[i], name, v / 2 - float(height[i])), (live[j], name, v / 2 - float(height[j]))]
+        gone = (d[i] == low) | (d[j] == low)
+        d[j] = d[:, j] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         d[j, j] = np.inf
-        d = np.delete(np.delete(d, i, 0), i, 1)
-        out += [(x, name, v / 2 - height[x]), (y, name, v / 2 - height[y])]
-        size[name], height[name] = size[x] + size[y], v / 2
-        live[j] = name
-        del live[i]
+        d[i] = d[:, i] = np.inf
+        size[j], height[j], live[j] = size[i] + size[j], v / 2, name
+        gone[[i, j]] = True
+        low = np.minimum(low, d[j])
+        low[gone] = d[gone].min(1)
     return [*out, (live[0], None, 0.0)] if live else []
 
 
@@ -335,20 +342,29 @@ def neighbour_joining(names: list[str], distance: Distances, least: float = MIN_
         return [(n, None, 0.0) for n in names]
     d = _matrix(names, distance)
     live, out, at = list(names), [], 0
-    upper = ~np.tri(len(names), k=-1, dtype=bool)
+    sums, upper = d.sum(1, dtype=np.longdouble), ~np.tri(len(names), k=-1, dtype=bool)
     while len(live) > 2:
-        total = [sum(row) for row in d.tolist()]
-        q = (len(live) - 2) * d - np.array(total)[:, None] - np.array(total)
-        q[upper[: len(live), : len(live)]] = np.inf
-        i, j = map(int, divmod(int(q.argmin()), len(live)))
+        n = len(live)
+        total = sums.astype(float)  # the exact sums, rounded
+        q = d[:n, :n] * (n - 2)
+        q -= total[:, None]
+        q -= total
+        np.copyto(q, np.inf, where=upper[:n, :n])
+        i, j = map(int, divmod(int(q.argmin()), n))
         x, y, at = live[i], live[j], at + 1
         v = float(d[i, j])
         name = f"Inner{at}"
-        lx = (v + (total[i] - total[j]) / (len(live) - 2)) / 2
+        lx = (v + (float(total[i]) - float(total[j])) / (n - 2)) / 2
         out += [(x, name, max(least, lx)), (y, name, max(least, v - lx))]
-        d[j] = d[:, j] = (d[i] + d[j] - v) / 2
+        sums -= d[i, :n]
+        sums -= d[j, :n]
+        d[j, :n] = d[:n, j] = (d[i, :n] + d[j, :n] - v) / 2
         d[j, j] = 0.0
-        d = np.delete(np.delete(d, i, 0), i, 1)
+        sums += d[j, :n]
+        sums[j] = d[j, :n].sum(dtype=np.longdouble) - d[j, i]
+        sums = np.delete(sums, i)
+        d[i : n - 1, :n] = d[i + 1 : n, :n]
+        d[: n - 1, i : n - 1] = d[: n - 1, i + 1 : n]
         live[j] = name
         del live[i]
     x, y = live

@@ -26,9 +26,9 @@ MORE = {
     "tree_path": None, "cluster_spacers": False, "cluster_spacers_max_distance": None, "insertion_rate": GUIDE_GAIN, "deletion_rate": GUIDE_LOSS, "extend_branches": 0.0,
     "tree_insertion_rate": SIMPLE_DISTANCE["gain"], "tree_deletion_rate": SIMPLE_DISTANCE["loss"], "tree_alpha": SIMPLE_DISTANCE["alpha"],
     "lh_fct": "simple", "no_alpha_bias_correction": False, "no_rho_bias_correction": False, "alternative_parameter_estimation": False, "partial_order_blocks": False,
-    "save_reconstructed_events": False, "rec_model": "gtr", "tree_distance_function": "likelihood", "verbosity": 1,
+    "save_reconstructed_events": False, "exclude_groups": None, "rec_model": "gtr", "tree_distance_function": "likelihood", "verbosity": 1,
 }
-CHOICES = {"input_type": {"spacer_fasta", "sf", "ccdb", "ccf_json"}, "lh_fct": {"simple", "ode_based"}, "tree_construction_method": {"upgma", "nj"}, "rec_model": {"gtr"}, "tree_distance_function": {"likelihood"}, "distance_function": {"likelihood"}}
+CHOICES = {"input_type": {"spacer_fasta", "sf", "ccdb", "ccf_json", "named_lists"}, "lh_fct": {"simple", "ode_based"}, "tree_construction_method": {"upgma", "nj"}, "rec_model": {"gtr"}, "tree_distance_function": {"likelihood"}, "distance_function": {"likelihood"}}
 CLASSES = {"rearrangement": "n_rearrangements", "duplication": "n_duplications", "reacquisition": "n_reacquisitions", "independent acquisition": "n_independent_gains", "other": "n_other_duplicate_events"}
 
 
@@ -270,6 +270,8 @@ def read_input(spark: SparkSession, settings: readers.Settings) -> tuple[DataFra
         return readers.enumerated(renamed).withColumn("token", F.col("token").cast("string")), clusters
     if kind == "ccf_json":
         return grouped_finder_arrays(readers.read_finder(spark, f"{settings.input_path}/*/result.json", settings.min_evidence_level), most)
+    if kind == "named_lists":
+        return readers.read_named_lists(spark, settings.input_path), None
     return readers.read_arrays(spark, settings.input_path, None if settings.input_path.endswith((".fa", ".fasta", ".fna")) else readers.FASTA_GLOB), None
 
 
@@ -280,6 +282,8 @@ def main(arguments: list[str]) -> None:
     logging.basicConfig(level=[logging.ERROR, logging.INFO, logging.DEBUG][int(more["verbosity"])])
     spark = SparkSession.builder.appName("stemma").getOrCreate()
     held, clusters = read_input(spark, settings)
+    if named := more["exclude_groups"]:
+        held = held.where(~F.col("group_id").isin([x.strip() for x in named.split(",")]))
     held = _held(held)
     trees = None
     if path := more["tree_path"]:

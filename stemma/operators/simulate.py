@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.tables import numbered_rows
+from stemma.functions.scalar import estimated_gain
+from stemma.tables import held, numbered_rows
 
 
 def grid(spark: SparkSession, **values: list) -> DataFrame:
     """sim_id and a row for each combination; seeds follow sim_id."""
-    return grid_of(*(spark.createDataFrame([(x,) for x in v], [name]) for name, v in values.items()))
+    return grid_of(*(spark.createDataFrame([(x,) for x in v], [name]).coalesce(1) for name, v in values.items()))
 
 
 def grid_of(*values: DataFrame) -> DataFrame:
@@ -28,7 +29,63 @@ def grid_of(*values: DataFrame) -> DataFrame:
 
 def with_skip_reason(parameters: DataFrame) -> DataFrame:
     """parameters with the reason why a row isn't simulated, null if it is."""
-    return parameters.withColumn("skip_reason", F.when((F.col("gain") == 0) & (F.col("loss") == 0), "both rates are 0"))
+    return parameters.withColumn("skip_reason", F.when((F.col("gain") == 0) | (F.col("loss") == 0), "gain or loss rate is 0"))
+
+
+def parameters_of(protocol: DataFrame, model: str = "block", runs: int = 1, seed: int = 0) -> DataFrame:
+    """Parameters of simulations that are like a protocol's groups, `runs` of each; the mean length is kept.
+
+    protocol: group_id, n_arrays, mean_length, rho_idm, rho_bdm, alpha. Seeds follow sim_id.
+    """
+    block = model == "block"
+    loss, alpha = (F.col("rho_bdm"), F.col("alpha")) if block else (F.col("rho_idm"), F.lit(1.0))
+    named = protocol.select("group_id", F.col("n_arrays").cast("int").alias("n_leaves"), estimated_gain(F.lit(model), loss, F.col("mean_length"), alpha).alias("gain"), loss.alias("loss"), alpha.alias("alpha"), F.lit(model).alias("model"))
+    n = named.count()
+    out = repeated(numbered_rows(named, "k", "group_id"), runs)
+    return out.select((F.col("k") + F.col("run") * n).alias("sim_id"), F.concat_ws("-", "group_id", F.col("run").cast("string")).alias("name"), "run", (F.col("k") + F.col("run") * n + seed).alias("seed"), "n_leaves", "gain", "loss", "alpha", "model")
+
+
+def as_states(simulated: DataFrame) -> DataFrame:
+    """The true arrays as a reconstruction: group_id, node_id, token, state for all nodes and tokens of a simulation."""
+    s = simulated.select(F.col("sim_id").alias("group_id"), "node_id", "tokens")
+    every = s.select("group_id", F.explode("tokens").alias("token")).distinct()
+    return s.join(every, "group_id").select("group_id", "node_id", "token", F.array_contains("tokens", F.col("token")).cast("int").alias("state"))
+
+
+def loss_positions(simulated: DataFrame, events: DataFrame) -> DataFrame:
+    """sim_id, by, position: places of lost tokens in their arrays, 0 the youngest and 1 the oldest.
+
+    by event: in the array before each event; by branch: in the parent's array, once for each branch.
+    """
+    at = lambda k, n: F.when(n == 1, 1.0).otherwise(k / (n - 1))
+    lost = events.where(F.col("kind") == "loss").select("sim_id", "before", F.explode("places").alias("k"))
+    parents = simulated.select("sim_id", F.col("node_id").alias("parent_id"), F.col("tokens").alias("up"))
+    both = simulated.join(parents, ["sim_id", "parent_id"]).select("sim_id", "tokens", F.size("up").alias("n"), F.posexplode("up").alias("k", "token"))
+    gone = both.where(~F.array_contains("tokens", F.col("token")))
+    return lost.select("sim_id", F.lit("event").alias("by"), at(F.col("k"), F.col("before")).alias("position")).unionByName(gone.select("sim_id", F.lit("branch").alias("by"), at(F.col("k"), F.col("n")).alias("position")))
+
+
+def run(parameters: DataFrame, turn: bool = False) -> dict[str, DataFrame]:
+    """protocol, arrays, trees and skipped of simulations (sim_id, n_leaves, gain, loss, alpha, model).
+
+    turn: arrays of every second simulation on average are turned around; the protocol tells, 2 for turned ones.
+    """
+    marked = held(with_skip_reason(parameters))
+    plain = marked.where(F.col("skip_reason").isNull()).drop("skip_reason")
+    nodes, events = held(simulate(plain)), held(simulated_events(plain))
+    leaves = nodes.where("is_leaf")
+    seen = leaves.select("sim_id", F.explode("tokens").alias("token")).distinct()
+    ever = nodes.select("sim_id", F.explode("tokens").alias("token")).unionByName(events.where(F.col("kind") == "gain").select("sim_id", F.explode("tokens").alias("token"))).distinct()
+    unseen = ever.join(seen, ["sim_id", "token"], "left_anti").groupBy("sim_id").agg(F.sort_array(F.collect_list("token")).alias("never_seen"), F.count(F.lit(1)).alias("n_never_seen"))
+    lengths = leaves.groupBy("sim_id").agg(F.avg(F.size("tokens")).alias("mean_length"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("node_id", F.size("tokens").alias("n"))))).alias("leaf_lengths"))
+    places = loss_positions(nodes, events).groupBy("sim_id").pivot("by", ["event", "branch"]).agg(F.sort_array(F.collect_list("position"))).withColumnsRenamed({"event": "event_loss_positions", "branch": "branch_loss_positions"})
+    p = plain.join(ever.groupBy("sim_id").agg(F.count(F.lit(1)).alias("n_tokens")), "sim_id", "left").join(lengths, "sim_id").join(unseen, "sim_id", "left").join(places, "sim_id", "left").na.fill(0, ["n_tokens", "n_never_seen"])
+    packed = leaves.select(F.col("sim_id").alias("group_id"), F.col("node_id").alias("array_id"), "tokens")
+    packed = turned(packed, "group_id") if turn else packed.withColumn("turned", F.lit(False))
+    p = p.join(packed.select(F.col("group_id").alias("sim_id"), F.when(F.col("turned"), 2).otherwise(1).alias("orientation")).distinct(), "sim_id")
+    arrays = packed.select("group_id", "array_id", F.posexplode("tokens").alias("pos", "token"))
+    trees = nodes.select(F.col("sim_id").alias("group_id"), "node_id", "parent_id", "branch_length")
+    return {"protocol": p, "arrays": arrays, "trees": trees, "skipped": marked.where(F.col("skip_reason").isNotNull())}
 
 
 def turned(packed: DataFrame, *names: str, seed: int = 2357) -> DataFrame:

@@ -373,7 +373,7 @@ def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.repeated(simulate.grid_of(leaves, gains), 3)
 
 
-@query("SELECT c_custkey AS sim_id, CASE WHEN c_custkey % 5 = 0 THEN 0.0 ELSE 1.5 END::DOUBLE AS gain, CASE WHEN c_custkey % 3 = 0 THEN 0.0 ELSE 0.5 END::DOUBLE AS loss, CASE WHEN c_custkey % 15 = 0 THEN 'both rates are 0' END AS skip_reason FROM customer")
+@query("SELECT c_custkey AS sim_id, CASE WHEN c_custkey % 5 = 0 THEN 0.0 ELSE 1.5 END::DOUBLE AS gain, CASE WHEN c_custkey % 3 = 0 THEN 0.0 ELSE 0.5 END::DOUBLE AS loss, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 3 = 0 THEN 'gain or loss rate is 0' END AS skip_reason FROM customer")
 def skipped_simulations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stemma.operators import simulate
 
@@ -402,3 +402,13 @@ def mutated_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.floor(F.size(t) / 3).cast("int"), F.floor(F.size(t) * 2 / 3).cast("int")
     text = lambda kind, c=None: F.array_join(simulate.mutated(t, kind, a, b, c).cast("array<string>"), ",")
     return arrays.packed(views.brand_arrays(spark, sf_dir)).select("group_id", "array_id", text("duplicate").alias("doubled"), text("reverse").alias("turned"), text("move", F.lit(0)).alias("moved"), text("copy", F.lit(0)).alias("copied"))
+
+
+@query("WITH s AS (SELECT s_name AS group_id, s_suppkey % 9 + 2 AS n, 3.0 + s_suppkey % 7 AS len, 0.1 + s_suppkey % 5 AS rho, 1.0 + s_suppkey % 3 / 2.0 AS alpha FROM supplier), k AS (SELECT *, row_number() OVER (ORDER BY group_id) - 1 AS k, count(*) OVER () AS total FROM s) SELECT k + r * total AS sim_id, group_id || '-' || r AS name, CAST(r AS INT) AS run, k + r * total + 7 AS seed, n::INT AS n_leaves, round(rho * len * alpha, 9) AS gain, round(rho, 9)::DOUBLE AS loss, alpha::DOUBLE AS alpha, 'block' AS model FROM k, unnest(range(2)) u(r)")
+def imported_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters of simulations like a protocol's groups, two runs of each."""
+    from stemma.operators import simulate
+
+    k = F.col("s_suppkey")
+    protocol = views.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("group_id"), (k % 9 + 2).alias("n_arrays"), (3.0 + k % 7).alias("mean_length"), F.lit(0.5).alias("rho_idm"), (0.1 + k % 5).alias("rho_bdm"), (1.0 + k % 3 / 2.0).alias("alpha"))
+    return simulate.parameters_of(protocol, runs=2, seed=7).withColumn("gain", F.round("gain", 9)).withColumn("loss", F.round("loss", 9))

@@ -45,6 +45,14 @@ def simulated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.simulated_events(_parameters(spark, sf_dir)).select("sim_id", "node_id", "kind", F.round("time", 9).alias("time"), text("tokens"), "before", text("places"))
 
 
+@query()
+def simulation_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each simulation with what is true of it."""
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.round(x, 6).cast("string")), ",").alias(c)
+    p = simulate.run(_parameters(spark, sf_dir), turn=True)["protocol"]
+    return p.select("sim_id", "model", "n_tokens", F.round("mean_length", 6).alias("mean_length"), "n_never_seen", "orientation", text("event_loss_positions"), text("branch_loss_positions"))
+
+
 @query()
 def simulated_trees_newick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.newick(simulate.simulate(_parameters(spark, sf_dir)).withColumnRenamed("sim_id", "group_id"))

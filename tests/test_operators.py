@@ -294,3 +294,38 @@ def test_leaves_with_several_arrays(spark):
     actions = spark.createDataFrame([("g", "a", 2, "split"), ("g", "b", 2, "prune"), ("g", "c", 1, "keep")], "group_id string, node_id string, n long, action string")
     got = {(r.node_id, r.parent_id) for r in tree.with_leaf_actions(t, actions).collect()}
     assert got == {("r", None), ("a", "r"), ("a_1", "a"), ("a_2", "a"), ("c", "r")}
+
+
+def test_simulation_run(spark):
+    p = simulate.grid(spark, n_leaves=[5], gain=[0.0, 4.0], loss=[0.5], alpha=[2.0], model=["block", "independent"])
+    out = simulate.run(p, turn=True)
+    rows = {r.sim_id: r for r in out["protocol"].collect()}
+    assert len(rows) == 2 and {r.skip_reason for r in out["skipped"].collect()} == {"gain or loss rate is 0"}
+    nodes, events = simulate.simulate(p.where("gain > 0")).collect(), simulate.simulated_events(p.where("gain > 0")).collect()
+    for k, r in rows.items():
+        arrays = {n.node_id: n for n in nodes if n.sim_id == k}
+        leaves = {t for n in arrays.values() if n.is_leaf for t in n.tokens}
+        ever = {t for n in arrays.values() for t in n.tokens} | {t for e in events if e.sim_id == k and e.kind == "gain" for t in e.tokens}
+        assert r.n_tokens == len(ever) and r.never_seen == sorted(ever - leaves) and r.leaf_lengths == {n: len(x.tokens) for n, x in arrays.items() if x.is_leaf}
+        by_event = sorted(1.0 if e.before == 1 else i / (e.before - 1) for e in events if e.sim_id == k and e.kind == "loss" for i in e.places)
+        up = [(arrays[n.parent_id].tokens, n.tokens) for n in arrays.values() if n.parent_id]
+        by_branch = sorted(1.0 if len(a) == 1 else i / (len(a) - 1) for a, b in up for i, t in enumerate(a) if t not in b)
+        assert [r.event_loss_positions, r.branch_loss_positions] == [pytest.approx(by_event), pytest.approx(by_branch)]
+    whole: dict = {}
+    for r in out["arrays"].orderBy("pos").collect():
+        whole.setdefault((r.group_id, r.array_id), []).append(r.token)
+    assert all(whole[n.sim_id, n.node_id] == (n.tokens[::-1] if rows[n.sim_id].orientation == 2 else n.tokens) for n in nodes if n.is_leaf and n.tokens)
+
+
+def test_simulations_as_reconstructions(spark):
+    """The true arrays as states: their branch events are what simulated events leave at the branches' ends."""
+    p = simulate.grid(spark, n_leaves=[6], gain=[5.0], loss=[0.5], alpha=[2.0], model=["block"])
+    nodes = simulate.simulate(p)
+    t = nodes.select(F.col("sim_id").alias("group_id"), "node_id", "parent_id", "branch_length")
+    got = {(r.node_id, r.token, r.kind) for r in reconstruct.branch_events(simulate.as_states(nodes), t).collect()}
+    held = {n.node_id: n for n in nodes.collect()}
+    want = set()
+    for n in held.values():
+        before = set(held[n.parent_id].tokens) if n.parent_id else set()
+        want |= {(n.node_id, x, "gain") for x in set(n.tokens) - before} | {(n.node_id, x, "loss") for x in before - set(n.tokens)}
+    assert got == want

@@ -125,8 +125,18 @@ def batches(rows: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator
                 yield part
 
 
-def release() -> None:
-    """Give freed memory back at the end of a task: Python workers live on, and later stages need it."""
+#: What operators hold in a worker from task to task; each adds its own.
+HELD: list[dict] = []
+
+
+def release(*kept: dict) -> None:
+    """Give memory back at the end of a task: Python workers live on, and later stages need it.
+
+    What other operators hold is dropped, all of `HELD` but `kept`.
+    """
+    for held in HELD:
+        if not any(held is k for k in kept):
+            held.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only where the C library can

@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, strings, table, tuned
+from .common import HELD, batches, strings, table, tuned
 
 TABLE_SIZE = 1 << 16
 SUMMARY_SIZE = 1 << 14
@@ -108,6 +108,7 @@ def frequent_lengths(docs: DataFrame, model: bytes, text: str = "text", size: in
 
 
 _workers: dict[str, Lengths] = {}
+HELD.append(_workers)
 
 
 def count_tokens(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text", table_size: int = TABLE_SIZE) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, release, strings, table, tuned, written
+from .common import HELD, batches, release, strings, table, tuned, written
 from .token_counts import model_path, pre_tokens
 
 BLANK = "▁"
@@ -475,6 +475,7 @@ def sweep(items: DataFrame, most: int, combined: Callable[[list[bytes]], bytes],
 
 
 _held: dict[str, Vocabulary] = {}
+HELD.append(_held)
 
 
 def vocabulary(model: bytes) -> Vocabulary:
@@ -511,7 +512,7 @@ def encode(docs: DataFrame, model: bytes, carried: list[str], chunk: int = CHUNK
             back = [pa.array([v.decode(np.frombuffer(x, np.int32)) for x in ids], pa.string())] * decoded
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(ids, pa.binary()), *back], names=out_names)
         v.words.forget()
-        release()
+        release(_held)
 
     # A text of one chunk is encoded where it is; one character more stands for the blank put before it.
     whole = given.where(F.length("__text") < chunk).mapInArrow(small, out_types)
@@ -537,7 +538,7 @@ def encode(docs: DataFrame, model: bytes, carried: list[str], chunk: int = CHUNK
             got = [c.matrix().tobytes() for c in held]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary()), pa.array([c.middle for c in held], pa.binary())], names=["__row", "no", "m", "middle"])
         v.words.forget()
-        release()
+        release(_held)
 
     # A chunk's matrix is a small part of the chunk, so a text's matrices are far smaller than the text.
     most = chunks.agg(F.max("no") + 1).first()[0]

@@ -115,3 +115,20 @@ def test_orders_of_a_deep_tree(spark):
     profile = spark.createDataFrame([("g", f"t{k:03}", tok, int(k >= tok)) for k in range(151) for tok in (0, 75, 150)], "group_id string, node_id string, token long, present int")
     states = {(r.node_id, r.token): r.state for r in reconstruct.joint_states(profile, tree.with_depth(t), 0.01, 0.01).collect()}
     assert len(states) == 3 * len(nodes) and all(states[f"n{k:03}", 75] == int(k >= 75) for k in range(151) if k != 75) and all(states[f"n{k:03}", 0] for k in range(151))
+
+
+def test_run_without_usable_groups(spark):
+    held = spark.createDataFrame([("g", "a", 0, "1"), ("h", "b", 0, "2")], "group_id string, array_id string, pos int, token string")
+    for rows in (held, held.limit(0)):
+        out = engine.run(rows, readers.Settings(determine_orientation=True, group_by=2))
+        got = out["protocol"].collect()
+        assert len(got) == rows.count() and all(r.status == "skipped" and r.skip_reason == "minimum_array_number" for r in got)
+        assert out["events"].isEmpty() and out["overall"].isEmpty() and out["pooled"].isEmpty()
+
+
+def test_named_lists_and_excluded_groups(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for g in ("G1", "G2"):
+        (tmp_path / "in" / f"{g}.txt").write_text("('x', 'y')\n\nA: 4, 3, 2, 1\nB: 5, 3, 1\nC: 3, 2, 1\n")
+    engine.main([str(tmp_path / "in"), str(tmp_path / "out"), "--input_type", "named_lists", "--exclude_groups", "G2", "--verbosity", "0"])
+    assert [r.group_id for r in spark.read.parquet(str(tmp_path / "out" / "protocol")).collect()] == ["G1"]

@@ -15,7 +15,6 @@ one doc_id but different texts are documents of their own. An empty table gives
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator

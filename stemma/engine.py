@@ -113,7 +113,7 @@ def _details(states: DataFrame, rated: DataFrame, rank: DataFrame, blocks: DataF
     return out
 
 
-def _alternative(name: str, states: DataFrame, rated: DataFrame, events: DataFrame, tokens: DataFrame) -> list[DataFrame]:
+def _alternative(states: DataFrame, rated: DataFrame, events: DataFrame, tokens: DataFrame) -> list[DataFrame]:
     """Both models fitted to the blocks that hold an old token, and to those of old tokens only."""
     old, out = filters.old_tokens_by_group(events, rated), []
     for kind, all_of_them in (("containing_old", False), ("excluding_young", True)):
@@ -161,7 +161,7 @@ def one_direction(alignment: DataFrame, trees: DataFrame, settings: readers.Sett
     for x in zero_counts:
         p = p.join(x, "group_id", "left").na.fill(0, [c for c in x.columns if c != "group_id"])
     p = _held(p)
-    for x in [*_details(states, rated, rank, blocks, alignment), *(_alternative("", states, rated, events, tokens) if more["alternative_parameter_estimation"] else [])]:
+    for x in [*_details(states, rated, rank, blocks, alignment), *(_alternative(states, rated, events, tokens) if more["alternative_parameter_estimation"] else [])]:
         p = p.join(x, "group_id", "left")
     if not more["no_rho_bias_correction"]:
         gains = events.where(F.col("kind") == "gain").groupBy("group_id", "node_id").agg(F.count(F.lit(1)).alias("gains"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stemma import views
 from stemma.functions.scalar import GUIDE_GAIN, GUIDE_LOSS, decision
-from stemma.operators import analysis, arrays, fit, orient, reconstruct, tree
+from stemma.operators import analysis, arrays, fit, reconstruct
 
 GAIN, LOSS = GUIDE_GAIN / 75, GUIDE_LOSS / 3
 QUERIES: dict = {}

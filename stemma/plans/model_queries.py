@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stemma import sinks, views
 from stemma.functions import scalar as fn
-from stemma.operators import align, arrays, filters, fit, reconstruct, simulate, tree, visual
+from stemma.operators import align, filters, fit, reconstruct, simulate, tree, visual
 from stemma.tables import held as _held
 
 from .event_queries import ABOVE, BLOCKS, GAIN, LOSS, STATES, Events

@@ -220,7 +220,25 @@ def single_link_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.single_linkage(views.table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct(), "name", 4)
 
 
-@query()
+def _greedy(items: str, near: str) -> str:
+    """Clusters by a scan: an item joins the earliest cluster that an earlier item near it is in, or begins one.
+
+    items: key, item, i (its place); near: a condition on x and an earlier y. chosen has key, item, i and head, the place
+    of its cluster's first item.
+    """
+    return f"""items AS ({items}),
+close AS (SELECT x.key, x.i, list(y.i) FILTER (y.i IS NOT NULL) AS js FROM items x LEFT JOIN items y ON y.key = x.key AND y.i < x.i AND {near} GROUP BY ALL),
+scan AS (SELECT key, 0::BIGINT AS i, []::BIGINT[] AS heads FROM (SELECT DISTINCT key FROM items) UNION ALL
+  SELECT s.key, s.i + 1, list_append(s.heads, coalesce(list_min([s.heads[j] FOR j IN c.js]), s.i + 1)) FROM scan s JOIN close c ON c.key = s.key AND c.i = s.i + 1),
+done AS (SELECT key, arg_max(heads, i) AS heads FROM scan GROUP BY ALL),
+chosen AS (SELECT t.key, t.item, t.i, d.heads[t.i] AS head FROM items t JOIN done d USING (key))"""
+
+
+_LEADERS = _greedy("SELECT p_brand AS key, p_name AS item, row_number() OVER (PARTITION BY p_brand ORDER BY min(p_partkey), p_name) AS i FROM part GROUP BY p_brand, p_name", "levenshtein(x.item, y.item) <= 4")
+_OVERLAPS = _greedy("SELECT group_id AS key, array_id AS item, row_number() OVER (PARTITION BY group_id ORDER BY array_id) AS i, list(token) AS tokens FROM arrays GROUP BY group_id, array_id", "list_has_any(x.tokens, y.tokens)")
+
+
+@query(f"WITH RECURSIVE {_LEADERS} SELECT c.key AS repeat, c.item AS name, h.item AS representative FROM chosen c JOIN chosen h ON h.key = c.key AND h.i = c.head")
 def greedy_leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = views.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("repeat"), F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ord"))
     return cluster.greedy_leader(names, "name", 4)
@@ -238,7 +256,7 @@ def overlap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.overlap_components(views.event_arrays(spark, sf_dir))
 
 
-@query()
+@query("WITH RECURSIVE " + views.EVENT_ARRAYS_SQL + "," + _OVERLAPS + " SELECT key AS group_id, item AS array_id, 'g_' || (dense_rank() OVER (PARTITION BY key ORDER BY head) - 1) AS cluster FROM chosen")
 def greedy_overlap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.greedy_overlap(views.event_arrays(spark, sf_dir))
 

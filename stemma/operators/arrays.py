@@ -84,6 +84,17 @@ def first_seen_ids(rows: DataFrame, value: str, *order: str) -> DataFrame:
     return numbered_rows(first, "id", "at", value).select(value, (F.col("id") + 1).alias("id"))
 
 
+def relabelled(rows: DataFrame, ids: DataFrame, value: str = "token") -> DataFrame:
+    """rows with the numbers of `first_seen_ids` instead of their values."""
+    return rows.join(ids, value).withColumn(value, F.col("id")).select(*rows.columns)
+
+
+def names_back(rows: DataFrame, ids: DataFrame, value: str = "token", gap: str = "-") -> DataFrame:
+    """The inverse: values as text; a number without one is a gap."""
+    back = ids.select(F.col("id").alias("__id"), F.col(value).cast("string").alias("__name"))
+    return rows.join(back, F.col(value) == F.col("__id"), "left").withColumn(value, F.coalesce("__name", F.lit(gap))).select(*rows.columns)
+
+
 def numbered(arrays: DataFrame, rank: DataFrame) -> DataFrame:
     """Tokens renamed to L ... 1 from the youngest to the oldest."""
     return arrays.join(rank.select("group_id", "token", F.col("rank").alias("number")), ["group_id", "token"]).select(*ARRAY, "pos", "token", "number")

@@ -422,6 +422,19 @@ def midpoint(nodes: list[Node]) -> list[Node]:
     return out
 
 
+def rooted_at_midpoint(trees: DataFrame) -> DataFrame:
+    """Groups' trees, each with its root in the middle of its longest path; a group's tree is a unit of a task."""
+    kind = trees.schema["group_id"].dataType.simpleString()
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        nodes = [(n, None if p is None or p != p else p, b) for n, p, b in zip(frame["node_id"], frame["parent_id"], frame["branch_length"], strict=True)]
+        out = pd.DataFrame(midpoint(nodes), columns=["node_id", "parent_id", "branch_length"])
+        out.insert(0, "group_id", key[0])
+        return out
+
+    return trees.select("group_id", "node_id", "parent_id", "branch_length").groupBy("group_id").applyInPandas(run, f"group_id {kind}, node_id string, parent_id string, branch_length double")
+
+
 def build_trees(distances: DataFrame, method: str = "upgma", rooted_at_midpoint: bool = False) -> DataFrame:
     """group_id, node_id, parent_id, branch_length: a tree for each group from a, b, distance (a != b)."""
 

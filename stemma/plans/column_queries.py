@@ -412,3 +412,66 @@ def imported_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     protocol = views.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("group_id"), (k % 9 + 2).alias("n_arrays"), (3.0 + k % 7).alias("mean_length"), F.lit(0.5).alias("rho_idm"), (0.1 + k % 5).alias("rho_bdm"), (1.0 + k % 3 / 2.0).alias("alpha"))
     return simulate.parameters_of(protocol, runs=2, seed=7).withColumn("gain", F.round("gain", 9)).withColumn("loss", F.round("loss", 9))
+
+
+# --- runs
+
+
+def _star_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree for each nation: its suppliers below one root."""
+    s = views.table(spark, sf_dir, "supplier")
+    leaves = s.select(F.col("s_nationkey").alias("group_id"), F.concat(F.lit("c"), "s_suppkey").alias("node_id"), F.lit("root").alias("parent_id"), (F.col("s_suppkey") % 7 + 1).cast("double").alias("branch_length"))
+    return leaves.unionByName(s.select(F.col("s_nationkey").alias("group_id"), F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0.0).alias("branch_length")).distinct())
+
+
+@query("WITH s AS (SELECT s_nationkey AS group_id, (s_suppkey % 7 + 1)::DOUBLE AS t FROM supplier), l AS (SELECT group_id, count(*) AS n_leaves, list(t ORDER BY t DESC) AS t FROM s GROUP BY ALL) SELECT group_id, n_leaves, CASE WHEN n_leaves = 1 THEN t[1] ELSE (t[1] + t[2]) / 2 END AS height FROM l")
+def midpoint_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooted in the middle of its longest path, a tree is half of it high."""
+    from stemma.tables import held
+
+    t = held(tree.with_depth(tree.rooted_at_midpoint(_star_trees(spark, sf_dir))))
+    return tree.metrics(t).select("group_id", "n_leaves", "height")
+
+
+@query(BR + ", t AS (SELECT s_nationkey AS group_id, max(s_suppkey % 7 + 1)::DOUBLE AS height FROM supplier GROUP BY ALL), c AS (SELECT c_nationkey AS group_id, count(DISTINCT c_custkey % 11) AS columns FROM customer GROUP BY ALL) SELECT group_id, round(1e-5 / (columns * height), 15) AS gain, round(0.1 / height, 12) AS loss FROM t JOIN c USING (group_id)")
+def rescaled_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guide's rates: loss over the tree's height, gain over columns times height."""
+    from stemma import engine
+
+    alignment = views.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("group_id"), (F.col("c_custkey") % 11).alias("col"))
+    rated = engine.with_rates(_star_trees(spark, sf_dir), alignment, 1e-5, 0.1)
+    return rated.where(F.col("parent_id").isNull()).join(alignment.select("group_id").distinct(), "group_id").select("group_id", F.round("gain", 15).alias("gain"), F.round("loss", 12).alias("loss"))
+
+
+@query(ORDER + ", w AS (SELECT group_id, max(rank) AS width FROM ranks GROUP BY ALL), a AS (SELECT group_id, array_id, width - rank AS col, token FROM arrays JOIN ranks USING (group_id, token) JOIN w USING (group_id)) SELECT group_id, array_id, max(col) OVER (PARTITION BY group_id) - col AS col, token FROM a")
+def mirrored_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An alignment read from the other side."""
+    from stemma import engine
+
+    e = Events(spark, sf_dir)
+    return engine.mirrored(arrays.align_on_order(e.arrays, e.rank))
+
+
+@query("SELECT s_name AS group_id, printf('%s: %s preferred (statistic %.4f, level %.2f), loss rate %.4f, block length %.4f', s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'BDM' ELSE 'IDM' END, s_suppkey * 0.25, 0.01, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 0.5 ELSE 2.0 END, 1.5) AS line FROM supplier")
+def summary_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stemma import sinks
+
+    k = F.col("s_suppkey")
+    p = views.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("group_id"), F.when(k % 2 == 0, "BDM").otherwise("IDM").alias("model"), (k * 0.25).alias("lrt"), (k * 0.5).alias("rho_bdm"), F.lit(2.0).alias("rho_idm"), F.lit(1.5).alias("alpha"))
+    return sinks.summary_lines(p, 0.01)
+
+
+@query(BR + " SELECT group_id, array_id, pos, CASE WHEN token % 10 = 0 THEN '-' ELSE token::VARCHAR END AS token FROM arrays")
+def relabelled_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens as numbers by first occurrence, and back; numbers that the map lacks are gaps."""
+    b = views.brand_arrays(spark, sf_dir)
+    ids = arrays.first_seen_ids(b, "token", "group_id", "array_id", "pos")
+    return arrays.names_back(arrays.relabelled(b.withColumn("token", F.col("token").cast("long")), ids), ids.where(F.col("token") % 10 != 0))
+
+
+@query(BR + PACKED + " SELECT x.group_id, x.array_id, len(list_intersect(x.tokens, y.tokens))::INT AS both, len(list_filter(x.tokens, lambda t: NOT list_contains(y.tokens, t)))::INT AS only_x, len(list_distinct(x.tokens || y.tokens))::INT AS any FROM packed x JOIN packed y ON y.group_id = x.group_id AND y.array_id = (SELECT min(array_id) FROM packed z WHERE z.group_id = x.group_id)")
+def token_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each array's tokens against those of its group's first array."""
+    p = arrays.packed(views.brand_arrays(spark, sf_dir))
+    first = p.groupBy("group_id").agg(F.min_by("tokens", "array_id").alias("y"))
+    return p.join(first, "group_id").select("group_id", "array_id", F.size(F.array_intersect("tokens", "y")).alias("both"), F.size(F.array_except("tokens", "y")).alias("only_x"), F.size(F.array_union("tokens", "y")).alias("any"))

@@ -19,7 +19,6 @@ from collections import Counter as Counts
 from collections.abc import Iterator
 
 import pyarrow as pa
-import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +40,12 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def library(**model):
+    import sentencepiece  # others import this module for its pre-tokens
+
+    return sentencepiece.SentencePieceProcessor(**model)
+
+
 def pre_tokens(text: str) -> list[str]:
     """The pre-tokens of a text, each without its first blank: the library adds that one itself."""
     if not text:
@@ -58,7 +63,7 @@ class Lengths(dict):
     def __init__(self, model: bytes, frequent: dict[str, int], cache_size: int = CACHE_SIZE):
         super().__init__(frequent)
         self.frequent, self.most = frequent, len(frequent) + cache_size
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.library = library(model_proto=model)
         self[""] = len(self.library.encode("  ")) - len(self.library.encode(" ")) or 1
 
     def __missing__(self, key: str) -> int:
@@ -78,7 +83,7 @@ class Lengths(dict):
 
 def check(model: bytes) -> None:
     """Raise where pre-tokens wouldn't be independent of each other."""
-    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    sp = library(model_proto=model)
     if bad := [p for i in range(sp.get_piece_size()) if BLANK in (p := sp.id_to_piece(i)).lstrip(BLANK) and not sp.is_control(i)]:
         raise ValueError(f"pieces with a blank behind another character: {bad[:5]}")
     a, b = sp.encode(" a"), sp.encode("a")
@@ -103,7 +108,7 @@ def frequent_lengths(docs: DataFrame, model: bytes, text: str = "text", size: in
     parts = docs.select(F.col(text)).mapInArrow(summaries, "pre_token string, n bigint")
     top = parts.groupBy("pre_token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pre_token").limit(size)
     words = [r[0] for r in top.select("pre_token").collect() if r[0]]
-    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    sp = library(model_proto=model)
     return {w: len(x) for w, x in zip(words, sp.encode(words, num_threads=1), strict=True)}
 
 

@@ -37,7 +37,6 @@ from functools import cached_property
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,12 +49,14 @@ CHUNK = 1 << 15
 #: Neighbouring chunks, or blocks of them, that are combined at once.
 FAN = 8
 GRAIN = 1 / (1 << 20)
-CACHE_SIZE = 400_000
+CACHE_SIZE = 200_000
 LONGEST_CACHED = 48
 #: Words that are segmented at once, at most; fewer are segmented one by one. Characters whose words meet for that.
 LEARNED, FEW, LEARNED_CHARS = 8192, 8, 1_000_000
 #: The blank in the tables for characters of one byte, of which it takes one's place.
 BLANK_CODE = 127
+#: Characters that the tables have a column for; words with others are segmented one by one.
+COLUMNS = 127
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 #: What the library takes off the worst score for an unknown character.
 UNKNOWN_PENALTY = 10.0
@@ -236,11 +237,16 @@ class Vocabulary:
                     if below:
                         todo.append((len(todo) + 1, below))
         self.state_rows, self.state_scores, self.state_ids = np.array(rows, np.int32), np.array(scores), np.array(ids, np.int32)
-        self.next_states = np.zeros((len(todo) + 1, 256), np.int32)
         moves = np.array(moves)
-        self.next_states[moves[:, 0], moves[:, 1]] = moves[:, 2]
+        # The characters that most pieces have; those that none has share column 0, which leads nowhere.
+        self.columns, seen = np.zeros(256, np.uint8), np.bincount(moves[:, 1], minlength=256)
+        seen[BLANK_CODE] = len(moves)
+        used = np.argsort(-seen, kind="stable")[: min(COLUMNS, np.count_nonzero(seen))]
+        self.columns[used] = np.arange(1, len(used) + 1)
+        self.next_states = np.zeros((len(todo) + 1, len(used) + 1), np.int32)
+        self.next_states[moves[:, 0], self.columns[moves[:, 1]]] = moves[:, 2]
         #: Characters that these tables have: their pieces, or one byte.
-        self.plain = {c for c in map(chr, range(256)) if ord(c) != BLANK_CODE and (ord(c) < 128 or c in self.ids)}
+        self.plain = {chr(c) for c in range(256) if c != BLANK_CODE and (self.columns[c] or not seen[c]) and (c < 128 or chr(c) in self.ids)}
         self.char_ids = np.array([self.bytes.get(c, self.unknown) if len(self.bytes) == 256 else self.unknown for c in range(256)], np.int32)
 
     def segment_all(self, words: list[str]) -> list[bytes]:
@@ -248,12 +254,13 @@ class Vocabulary:
         n, w = len(words[0]) + 1, len(words)
         chars = np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(w, n - 1)
         chars = np.concatenate([np.full((1, w), BLANK_CODE, np.uint8), np.where(chars == 32, BLANK_CODE, chars).T])
+        moves = self.columns[chars]
         best, back, ids = np.full((n + 1, w), NONE), np.zeros((n + 1, w), np.int32), np.full((n + 1, w), -1, np.int32)
         best[0] = 0.0
         for i in range(n):
             some, state = None, np.ones(w, np.int32)
             for j in range(i + 1, min(n, i + self.reach) + 1):
-                c = chars[j - 1] if some is None else chars[j - 1][some]
+                c = moves[j - 1] if some is None else moves[j - 1][some]
                 state = self.next_states[self.state_rows[state], c]
                 if j == i + 1:
                     alone = np.flatnonzero(self.state_ids[state] < 0)
@@ -454,10 +461,10 @@ def sweep(items: DataFrame, most: int, combined: Callable[[list[bytes]], bytes],
     combined is associative. walked gives the states at a few neighbours from that of their block; `start` is a row's.
     """
 
-    def up(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"__row": [key[0]], "no": [key[1]], "m": [combined(list(frame.sort_values("no")["m"]))]})
+    def up(key: Any, frame: Any) -> Any:
+        return type(frame)({"__row": [key[0]], "no": [key[1]], "m": [combined(list(frame.sort_values("no")["m"]))]})
 
-    def down(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+    def down(key: Any, frame: Any) -> Any:
         frame = frame.sort_values("no")
         return frame[["__row", "no"]].assign(at=walked(frame["at"].iloc[0], list(frame["m"])))
 

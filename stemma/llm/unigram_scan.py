@@ -244,6 +244,7 @@ class Vocabulary:
         used = np.argsort(-seen, kind="stable")[: min(COLUMNS, np.count_nonzero(seen))]
         self.columns[used] = np.arange(1, len(used) + 1)
         self.next_states = np.zeros((len(todo) + 1, len(used) + 1), np.int32)
+        moves = moves[self.columns[moves[:, 1]] > 0]
         self.next_states[moves[:, 0], self.columns[moves[:, 1]]] = moves[:, 2]
         #: Characters that these tables have: their pieces, or one byte.
         self.plain = {chr(c) for c in range(256) if c != BLANK_CODE and (self.columns[c] or not seen[c]) and (c < 128 or chr(c) in self.ids)}

@@ -220,7 +220,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Rules:
     got = statistics(rows, ["id", "quality"]).groupBy("id", "quality").agg(F.min("statistics").alias("statistics")).select("id", "quality", "statistics.*")
     table_ = got.toPandas().sort_values("id")
     order = np.random.default_rng(0).permutation(len(table_))
-    return fit_rules(table_[STATISTICS].to_numpy(np.float64)[order], table_["quality"].to_numpy(np.float64)[order])
+    rules = fit_rules(table_[STATISTICS].to_numpy(np.float64)[order], table_["quality"].to_numpy(np.float64)[order])
+    release()  # the driver's memory, too, is needed later
+    return rules
 
 
 def score(docs: DataFrame, rules: Rules) -> DataFrame:

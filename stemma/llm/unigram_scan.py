@@ -504,8 +504,8 @@ def encode(docs: DataFrame, model: bytes, carried: list[str], chunk: int = CHUNK
     decoded adds `decoded`, the text that the ids stand for, where one worker does both.
     """
     spark = tuned(docs.sparkSession)
-    v = vocabulary(model)
-    reach = v.reach
+    reach = vocabulary(model).reach
+    release()  # the driver needs no more of it
     shared = spark.sparkContext.broadcast(model)
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     given = docs.select(*(F.col(f"`{c}`") for c in carried), F.coalesce("text", F.lit("")).alias("__text"))

@@ -1,5 +1,6 @@
 """Line dedup, encoding, token counts, personal data, grouped join: against brute force, and on odd rows."""
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -277,6 +278,17 @@ def test_personal_data_of_odd_rows(docs, none):
     assert pii.protect(none).count() == 0
 
 
+def test_counts_and_digests_of_the_personal_data_query(spark, tmp_path):
+    """Each kind counts its own spans, wherever they stand among the others."""
+    texts = [None, "", "a@b.c", "1.2.3.4 and 300.1.1.1", "4111 1111 1111 1111", "+1 (222) 333-4444", "x@y.example +1 (222) 333-4444 or a@b.c, 4111111111111111 at 10.0.0.1 and 10.0.0.2, z@y.example", "+12223334444 1.2.3.4 a@b.c"]
+    rows = [*enumerate(texts), (6, texts[6]), (None, texts[7])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.op3_pii(spark, str(tmp_path)).collect()]
+    spans = [(d, plain_spans(t or "")) for d, t in rows]
+    want = [(d, *(sum(k == x for _, x, _ in s) for k in range(4)), hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in s).encode()).hexdigest()) for d, s in spans]
+    assert Counter(got) == Counter(want)
+
+
 # --- grouped join
 
 

@@ -9,7 +9,8 @@ kept as the range [0, context_end) instead of a copy, because copies grow with t
 length; its loss span covers only its reply's text. `examples` writes all examples out as whole texts, contexts
 included, for callers that want the copies; `render` does so for one in plain Python.
 
-`digests` reads conversations back: the turns from the formatted ones, all about losses from the expanded examples.
+`digests` reads conversations back: the turns from the formatted ones, all about losses from the examples, which it
+writes out with their contexts on the way, or from those of `expand`.
 
 Turns are ordered by turn (nulls first), then role, then text; rows that repeat are turns of their own. A null
 conv_id is a conversation like any other; a null role or text is an empty one. A conversation without an assistant
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import before, batches, table
+from .common import ARROW_ROWS, BATCH_BYTES, before, batches, table
 
 # The strings that chat templates give a meaning to.
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>"]
@@ -123,16 +124,53 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
+def _written_out(formatted: DataFrame) -> DataFrame:
+    """conv_id, text, begin, low, high: every formatted turn, and behind an assistant's its example with the whole context.
+
+    Examples have their loss span, turns none. A conversation goes through one task, in order; its examples aren't
+    shuffled, so they take no disk. The task holds the conversation's text and `BATCH_BYTES` characters of rows, or a row.
+    """
+    kind = formatted.schema["conv_id"].dataType.simpleString()
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, prefix, out, chars = None, [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            kinds = (conv_type, pa.string(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["conv_id", "text", "begin", "low", "high"])
+
+        for b in batches(rows):
+            conv_type = b.column(0).type
+            for conv, text, begin, low, high in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now != (conv,):
+                    now, prefix = (conv,), []
+                prefix.append(text)
+                out.append((conv, text, begin, None, None))
+                if low is not None:
+                    prefix = ["".join(prefix)]
+                    out.append((conv, prefix[0], 0, low, high))
+                    chars += len(prefix[0])
+                chars += len(text)
+                if chars >= BATCH_BYTES or len(out) >= ARROW_ROWS:
+                    yield packed()
+                    out, chars = [], 0
+        if out:
+            yield packed()
+
+    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "place")
+    return ordered.select("conv_id", "formatted", "begin", "loss_begin", "loss_end").mapInArrow(run, f"conv_id {kind}, text string, begin bigint, low bigint, high bigint")
+
+
 DIGEST = "n_turns bigint, turns_sha256 string, n_examples bigint, loss_chars bigint, loss_sha256 string, formatted_chars bigint, expanded_chars bigint"
 
 
 def digests(formatted: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
-    """A row for each conversation, read back from its formatted turns and from its examples (those of `expand`).
+    """A row for each conversation, read back from its formatted turns and from its examples.
 
-    The hashes run over a conversation's turns in order, so one task reads it, turn by turn: of a conversation, only
-    the state of its hashes is held, never its turns.
+    Without `expanded`, examples are written out with their whole contexts and read from there. Those of `expand`, if
+    given, have ranges instead. The hashes run over a conversation's turns in order, so one task reads it, row by row:
+    of a conversation, only the state of its hashes is held here, never its turns.
     """
-    expanded = expand(formatted) if expanded is None else expanded
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,18 +210,21 @@ def digests(formatted: DataFrame, expanded: DataFrame | None = None) -> DataFram
     def packed(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=names)
 
+    schema = f"conv_id {kind}, {DIGEST}"
+    if expanded is None:
+        return _written_out(formatted).mapInArrow(run, schema)
     none = F.lit(None).cast("long")
     turns = formatted.select("conv_id", "place", F.col("formatted").alias("text"), "begin", none.alias("low"), none.alias("high"))
     targets = expanded.select("conv_id", F.col("target_place").alias("place"), F.col("target").alias("text"), F.col("context_end").alias("begin"), F.col("loss_begin").alias("low"), F.col("loss_end").alias("high"))
     ordered = turns.unionByName(targets).repartition("conv_id").sortWithinPartitions("conv_id", "place", "low")
-    return ordered.select("conv_id", "text", "begin", "low", "high").mapInArrow(run, f"conv_id {kind}, {DIGEST}")
+    return ordered.select("conv_id", "text", "begin", "low", "high").mapInArrow(run, schema)
 
 
 def op8_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame(OWN_CONVERSATION, turns.schema)
     formatted = format_turns(turns.unionByName(own))
-    return digests(formatted, expand(formatted))
+    return digests(formatted)
 
 
 def _escaped_sql(column: str) -> str:

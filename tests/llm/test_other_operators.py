@@ -331,6 +331,10 @@ def test_chat(spark):
             assert whole_examples[e.target_place].text == whole[: e.example_end]
             text, ((low, high),) = chat.render(turns, e.target_place)
             assert whole[: e.example_end] == text and (e.loss_begin, e.loss_end) == (low, high) and chat.unescape(text[low:high]) == turns[e.target_place][1]
+    # The query reads losses from examples that hold their contexts; ranges of `expand` give the same.
+    rows = chat._written_out(formatted).where("low is not null").collect()
+    assert Counter((x.conv_id, x.text, x.low, x.high) for x in rows) == Counter((x.conv_id, x.text, x.loss_begin, x.loss_end) for x in chat.examples(formatted).collect())
+    assert Counter(map(tuple, chat.digests(formatted, chat.expand(formatted)).collect())) == Counter(map(tuple, got.values()))
     assert chat.digests(chat.format_turns(df.limit(0))).count() == 0
 
 

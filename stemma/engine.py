@@ -75,7 +75,7 @@ def estimated_trees(alignment: DataFrame, method: str, more: dict | None = None)
     """A tree for each group from its arrays' distances; a group's arrays are bounded, so its pairs are."""
     more = more or MORE
     rates = (more["tree_insertion_rate"], more["tree_deletion_rate"], more["tree_alpha"])
-    return tree.build_trees(tree.group_distances(alignment.select("group_id", "array_id", "col", "token"), *rates), method)
+    return tree.array_trees(alignment.select("group_id", "array_id", "col", "token"), *rates, method)
 
 
 def with_rates(trees: DataFrame, alignment: DataFrame, gain: float, loss: float) -> DataFrame:

@@ -1,6 +1,7 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,102 @@ def test_group_distances_of_all_pairs(spark):
     assert len(got) == sum(len(v) * (len(v) - 1) // 2 for v in ids.values())
 
 
+def with_copies(spark):
+    """Groups whose arrays are copies in part, one of two equal arrays, one of one array."""
+    import random
+
+    r = random.Random(9)
+    rows = []
+    for g, n, kinds in (("g", 30, 8), ("h", 9, 9), ("twice", 2, 1), ("lone", 1, 1)):
+        seen = [[(c, c) for c in range(12) if c == k or r.random() < 0.5] for k in range(kinds)]
+        rows += [(g, 7 * k, c, t) for k in range(n) for c, t in (seen[k] if k < kinds else r.choice(seen))]
+    return rows, spark.createDataFrame(rows, "group_id string, array_id long, col int, token int")
+
+
+def test_equal_arrays_are_compared_once(spark):
+    rows, alignment = with_copies(spark)
+    ids = {g: sorted({x[1] for x in rows if x[0] == g}) for g in ("g", "h", "twice", "lone")}
+    pairs = spark.createDataFrame([(g, a, b) for g, of in ids.items() for a in of for b in of if a > b], "group_id string, a long, b long")
+    classes = tree.array_classes(alignment)
+    assert {r.group_id: r["count"] for r in classes.groupBy("group_id").count().collect()} == {"g": 8, "h": 9, "twice": 1, "lone": 1}
+    assert tree.class_distances(classes).count() == 8 * 7 // 2 + 9 * 8 // 2
+    got = {(x.group_id, x.a, x.b): x.distance for x in tree.group_distances(alignment).collect()}
+    want = {(x.group_id, x.a, x.b): x.distance for x in tree.pair_distances(arrays.pair_counts(alignment, pairs)).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(v, want[k], rel_tol=1e-8) for k, v in got.items())
+
+
+def test_average_linkage_of_classes(spark):
+    """The tree of classes has the clusters and heights of that of all pairs, copies included."""
+    _, alignment = with_copies(spark)
+
+    def clusters(trees):
+        up = {(r.group_id, r.node_id): (r.parent_id, r.branch_length) for r in trees.collect()}
+        inner, out = {(g, p) for (g, _), (p, _) in up.items()}, {}
+        for g, n in up.keys() - inner:
+            at, high = n, 0.0
+            while at is not None:
+                out.setdefault((g, at), (set(), []))[0].add(n)
+                out[g, at][1].append(high)
+                at, high = up[g, at][0], high + up[g, at][1]
+        assert all(max(h) - min(h) < 1e-9 for _, h in out.values())
+        return {(g, frozenset(below)): round(h[0], 9) for (g, _), (below, h) in out.items()}
+
+    got, want = tree.array_trees(alignment), tree.build_trees(tree.group_distances(alignment))
+    assert got.count() == want.count() == 59 + 17 + 3
+    a, b = clusters(got), clusters(want)
+    whole = lambda x: {k: v for k, v in x.items() if v > 1e-6}
+    assert whole(a) == whole(b) and len(whole(a)) == 7 + 8
+    assert {k for k in a if len(k[1]) == 1} == {k for k in b if len(k[1]) == 1}
+
+
+def plain_neighbour_joining(n, d, least):
+    """Every criterion anew for every join."""
+    d, live, out, at = [list(map(float, r)) for r in d], [str(k) for k in range(n)], [], 0
+    while len(live) > 2:
+        n, total = len(live), [float(sum(map(np.longdouble, r), np.longdouble(0))) for r in d]
+        _, i, j = min((d[i][j] * (n - 2) - total[i] - total[j], i, j) for i in range(n) for j in range(i))
+        v, at = d[i][j], at + 1
+        x = (v + (total[i] - total[j]) / (n - 2)) / 2
+        out += [(live[i], f"Inner{at}", max(least, x)), (live[j], f"Inner{at}", max(least, v - x))]
+        row = [(a + b - v) / 2 for a, b in zip(d[i], d[j], strict=True)]
+        row[j] = 0.0
+        for k in range(n):
+            d[j][k] = d[k][j] = row[k]
+        live[j] = f"Inner{at}"
+        del live[i], d[i]
+        for r in d:
+            del r[i]
+    return out
+
+
+def test_neighbour_joining_by_bounds(spark):
+    rng = np.random.default_rng(3)
+    for n in (3, 4, 7, 20, 33):
+        d = np.tril(rng.integers(1, 2**20, (n, n)), -1) / 2**20
+        d = d + d.T
+        got = tree.neighbour_joining([str(k) for k in range(n)], d)
+        assert got[: 2 * (n - 2)] == plain_neighbour_joining(n, d, tree.MIN_BRANCH)
+    _, alignment = with_copies(spark)
+    got, want = tree.array_trees(alignment, method="nj"), tree.build_trees(tree.group_distances(alignment), "nj")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_neighbour_joining_looks_at_few_rows():
+    """Of some hundred rows, a join looks through a few; a whole look at each join would take 300 * 300 / 2."""
+    looked, plain = [], np.ndarray
+
+    class Counted(plain):
+        def argmin(self, *a, **k):
+            looked.append(len(self))
+            return plain.argmin(self.view(plain), *a, **k)
+
+    rng = np.random.default_rng(4)
+    x = rng.random((300, 60)) < 0.5
+    d = (x[:, None] != x).sum(2) / 7.0
+    tree.neighbour_joining([str(k) for k in range(300)], np.concatenate([d[k, :k] for k in range(300)]).view(Counted))
+    assert 300 <= len(looked) < 300 * 300 / 8
+
+
 def test_distance_queries_take_whole_groups(spark, data):
     from stemma import views
     from stemma.plans import table_queries

@@ -130,6 +130,17 @@ def test_states_with_their_parents_need_no_join(spark):
     assert "Join" not in reconstruct.branch_events(held, t)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_refined_states_are_read_with_their_parents(spark, monkeypatch):
+    """Each round takes events from `up`; the states that come back are as ever."""
+    _, t = small_tree(spark)
+    profile = spark.createDataFrame([("g", n, i, (i >> k) % 2) for i in range(16) for k, n in enumerate("abcd")], "group_id string, node_id string, token int, present int")
+    seen, events = [], reconstruct.branch_events
+    monkeypatch.setattr(reconstruct, "branch_events", lambda states, tree: (seen.append("up" in states.columns), events(states, tree))[1])
+    order = spark.createDataFrame([("g", 1, 2)], "group_id string, younger int, older int")
+    states = reconstruct.refined_states(profile, t, order, 0.4, 0.3)[0]
+    assert seen and all(seen) and states.columns == ["group_id", "node_id", "token", "state"]
+
+
 def test_sizes_of_held_tables_follow_their_rows(spark):
     """Many rows of few values must not look small enough to be broadcast through the driver."""
     from stemma.tables import held

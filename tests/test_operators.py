@@ -1,5 +1,6 @@
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
@@ -341,6 +342,27 @@ def test_neighbour_joining_looks_at_few_rows():
     assert 300 <= len(looked) < 300 * 300 / 8
 
 
+def test_refinement_asks_for_ancestors_and_order_once(spark, data, monkeypatch):
+    from stemma.plans import model_queries
+
+    asked = []
+    for module, name in ((tree, "ancestors"), (reconstruct, "ancestors"), (arrays, "closure")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), n=name, **k: asked.append(n) or f(*a, **k))
+    assert model_queries.refinement_keeps_leaves(spark, data).count() == 5
+    assert sorted(asked) == ["ancestors", "closure"]
+
+
+def test_held_tables_leave_no_mark(spark):
+    """The driver starts a process for each file that it makes, and its memory counts twice until that runs."""
+    from urllib.parse import urlsplit
+
+    from stemma.tables import held
+
+    out = held(spark.range(10))
+    folder = urlsplit(out.inputFiles()[0]).path.rpartition("/")[0]
+    assert out.count() == 10 and not os.path.exists(f"{folder}/_SUCCESS")
+
+
 def test_distance_queries_take_whole_groups(spark, data):
     from stemma import views
     from stemma.plans import table_queries

@@ -342,6 +342,66 @@ def test_neighbour_joining_looks_at_few_rows():
     assert 300 <= len(looked) < 300 * 300 / 8
 
 
+def held_rows(monkeypatch, module):
+    """Collects the rows of every table that the module writes."""
+    counts, held = [], module._held
+
+    def counted(df):
+        out = held(df)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "_held", counted)
+    return counts
+
+
+def plain_sides(a, b):
+    """Gains, kept tokens, deletion runs and their tokens of a against b, from {column: token} by plain loops."""
+    first = min((c for c in a if b.get(c) == a[c]), default=math.inf)
+    runs, run = [], 0
+    for c in sorted(c for c in {*a, *b} if c >= first):
+        if c in a:
+            runs.append(run)
+            run = 0
+        else:
+            run += 1
+    runs = [r for r in [*runs, run] if r]
+    return [sum(c < first for c in a), sum(c >= first for c in a), len(runs), sum(runs)]
+
+
+def test_sides_by_words_of_bits(monkeypatch):
+    """Over several words, with runs and gaps across their borders, arrays without columns, several tokens in a column."""
+    import random
+
+    from stemma.functions.scalar import SIMPLE_DISTANCE
+
+    r = random.Random(6)
+    cells = [{c: r.choice([c, c, 500 + c]) for c in range(200) if r.random() < r.choice([0.0, 0.02, 0.3, 0.9])} for _ in range(40)]
+    cells += [{0: 0, 63: 63, 64: 64}, {0: 0, 64: 64, 127: 127, 199: 199}, {0: 0, 199: 199}, {63: 7}, {}, dict.fromkeys(range(200), 1)]
+    rates = [SIMPLE_DISTANCE[x] for x in ("gain", "loss", "alpha")]
+    far = tree._Distances([np.array(list(x), int) for x in cells], [np.array(list(x.values()), int) for x in cells], *rates)
+    want = []
+    for i, a in enumerate(cells):
+        got = far._sides(i, slice(0, len(cells)))
+        for j, b in enumerate(cells):
+            both = [plain_sides(a, b), plain_sides(b, a)]
+            assert got[:, :, j].tolist() == both
+            want += [float(np.clip(sum(tree.side_times(*([x] for x in s), *rates)[0] for s in both), tree.MIN_BRANCH, 20.0))] * (j < i)
+    assert np.allclose(far.lower(), want, rtol=1e-9)
+    monkeypatch.setattr(tree, "PAIRS", 7)
+    assert np.allclose(far.lower(), want, rtol=1e-9)
+    far.sizes[0] = 60_000  # as if of an array of so many tokens: counts that don't fit a number
+    assert np.allclose(far._fitted(far._sides(3, slice(4, 9))[0]), tree.side_times(*far._sides(3, slice(4, 9))[0], *rates))
+
+
+@pytest.mark.parametrize("method", ["upgma"])
+def test_trees_hold_no_pairs(spark, monkeypatch, method):
+    counts = held_rows(monkeypatch, tree)
+    _, alignment = with_copies(spark)
+    got = tree.array_trees(alignment, method=method)
+    assert got.where("parent_id is null").count() == 3 and counts and max(counts) <= 19
+
+
 def test_refinement_asks_for_ancestors_and_order_once(spark, data, monkeypatch):
     from stemma.plans import model_queries
 

@@ -402,6 +402,15 @@ def test_trees_hold_no_pairs(spark, monkeypatch, method):
     assert got.where("parent_id is null").count() == 3 and counts and max(counts) <= 19
 
 
+def test_metrics_of_a_deep_tree(spark, monkeypatch):
+    """A chain with a leaf at each node: no table has a row for each node and each of those above it."""
+    counts = held_rows(monkeypatch, tree)
+    rows = [("g", f"n{k}", f"n{k - 1}" if k else None, 1.0) for k in range(200)] + [("g", f"x{k}", f"n{k}", 200.0 - k) for k in range(200)]
+    deep = spark.createDataFrame(rows, "group_id string, node_id string, parent_id string, branch_length double")
+    m = tree.metrics(deep.withColumn("depth", F.lit(0))).first()
+    assert (m.height, m.n_leaves, m.ultrametric) == (200.0, 200, True) and max(counts) <= 400
+
+
 def test_refinement_asks_for_ancestors_and_order_once(spark, data, monkeypatch):
     from stemma.plans import model_queries
 

@@ -394,7 +394,7 @@ def test_sides_by_words_of_bits(monkeypatch):
     assert np.allclose(far._fitted(far._sides(3, slice(4, 9))[0]), tree.side_times(*far._sides(3, slice(4, 9))[0], *rates))
 
 
-@pytest.mark.parametrize("method", ["upgma"])
+@pytest.mark.parametrize("method", ["upgma", "nj"])
 def test_trees_hold_no_pairs(spark, monkeypatch, method):
     counts = held_rows(monkeypatch, tree)
     _, alignment = with_copies(spark)

@@ -402,6 +402,20 @@ def test_trees_hold_no_pairs(spark, monkeypatch, method):
     assert got.where("parent_id is null").count() == 3 and counts and max(counts) <= 19
 
 
+def test_pairs_are_neither_held_nor_shuffled(spark, monkeypatch):
+    counts = held_rows(monkeypatch, tree)
+    rows, alignment = with_copies(spark)
+    want = {tuple(x) for x in tree.group_distances(alignment).collect()}
+    monkeypatch.setattr(tree, "BLOCK", 4)
+    monkeypatch.setattr(tree, "PAIRS", 5)
+    pairs = tree.group_distances(alignment)
+    above = pairs._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    assert "Exchange" not in above and "Join" not in above
+    got = pairs.collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want) == 30 * 29 // 2 + 9 * 8 // 2 + 1
+    assert max(counts) <= 19
+
+
 def test_metrics_of_a_deep_tree(spark, monkeypatch):
     """A chain with a leaf at each node: no table has a row for each node and each of those above it."""
     counts = held_rows(monkeypatch, tree)
